@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from .bpe import op4_merge_rounds_bpe
 from .exact_dedup import OP3_SQL, op3_extendible_hash_dedup
 from .quality import op5_quadratic_discriminant_quality
 from .sharding import op1_virtual_slot_sharding
 
-QUERIES = {f.__name__: f for f in (op1_virtual_slot_sharding, op3_extendible_hash_dedup, op5_quadratic_discriminant_quality)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_virtual_slot_sharding,
+        op3_extendible_hash_dedup,
+        op4_merge_rounds_bpe,
+        op5_quadratic_discriminant_quality,
+    )
+}
 
 ORACLE_SQL = {"op3_extendible_hash_dedup": OP3_SQL}
