@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from .bpe import op4_merge_rounds_bpe
 from .exact_dedup import OP3_SQL, op3_extendible_hash_dedup
+from .packing import op8_minimum_bin_slack_packing
 from .quality import op5_quadratic_discriminant_quality
 from .sharding import op1_virtual_slot_sharding
+from .token_output import op9_huffman_token_files
 
 QUERIES = {
     f.__name__: f
@@ -14,6 +16,8 @@ QUERIES = {
         op3_extendible_hash_dedup,
         op4_merge_rounds_bpe,
         op5_quadratic_discriminant_quality,
+        op8_minimum_bin_slack_packing,
+        op9_huffman_token_files,
     )
 }
 
