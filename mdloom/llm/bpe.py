@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-CACHE = 400_000
+CACHE = 800_000
 LONG = 48
 SUB_BATCH = 1 << 20
 
@@ -74,14 +74,18 @@ class Memo:
     def __init__(self, most: int):
         self.most, self.new, self.old = most // 2, {}, {}
 
-    def find(self, keys: list[str]) -> list[bytes | None]:
+    def find(self, keys: list[str]) -> tuple[list[bytes | None], list[int]]:
+        """What is known of the keys, and the places of those that are not."""
         found = list(map(self.new.get, keys))
-        if self.old and None in found:
-            old, new = self.old, self.new
-            for i, f in enumerate(found):
-                if f is None and (f := old.get(keys[i])) is not None:
-                    found[i] = new[keys[i]] = f
-        return found
+        missing, i, old, new = [], -1, self.old, self.new
+        for _ in range(found.count(None)):
+            i = found.index(None, i + 1)
+            key = keys[i]
+            if (f := old.get(key)) is None:
+                missing.append(i)
+            else:
+                found[i] = new[key] = f
+        return found, missing
 
     def add(self, fresh: dict[str, bytes]) -> None:
         if len(self.new) + len(fresh) > self.most:
@@ -96,10 +100,10 @@ class Pieces:
         self.split, self.encode, self.memo = split, encode, Memo(CACHE)
 
     def __call__(self, chunks: list[str]) -> list[bytes]:
-        split = [self.split(c) for c in chunks]
+        split = list(map(self.split, chunks))
         keys = list({p for s in split for p in s})
-        known = dict(zip(keys, self.memo.find(keys), strict=True))
-        fresh = [p for p, f in known.items() if f is None]
+        found, missing = self.memo.find(keys)
+        known, fresh = dict(zip(keys, found, strict=True)), [keys[i] for i in missing]
         new = dict(zip(fresh, self.encode(fresh), strict=True)) if fresh else {}
         known.update(new)
         self.memo.add(new)
@@ -155,18 +159,43 @@ class MergeRounds:
 
 
 class Library:
-    """Encodes texts with the tokenizers package."""
+    """Encodes texts with the tokenizers package; words of letters many to a call, split again by the package's word numbers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, spaced: bool):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
+    def texts(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letters(self, word: str) -> bool:
+        return word[:1] == " " and word[1:].isalpha() if self.spaced else word.isascii() and word.isalpha()
+
+    def __call__(self, words: list[str]) -> list[bytes]:
+        out: list[bytes | None] = [None] * len(words)
+        plain = [i for i, w in enumerate(words) if self._letters(w)]
+        runs = [plain[lo : lo + 512] for lo in range(0, len(plain), 512)]
+        joined = [("" if self.spaced else " ").join([words[i] for i in run]) for run in runs]
+        for run, e in zip(runs, self.tokenizer.encode_batch(joined, add_special_tokens=False), strict=True):
+            numbers = np.array(e.word_ids, np.int64)
+            first = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]])
+            if len(first) == len(run):
+                flat, ends = array("I", e.ids).tobytes(), [*(first[1:] * 4).tolist(), len(numbers) * 4]
+                for i, a, b in zip(run, [0, *ends[:-1]], ends, strict=True):
+                    out[i] = flat[a:b]
+        rest = [i for i, o in enumerate(out) if o is None]
+        for i, ids in zip(rest, self.texts([words[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
+
+def _ambiguous(chunk: str) -> bool:
+    """Whether white space at its start may belong to a longer run: all but one line ending before other text."""
+    return not chunk or chunk[0].isspace() and (chunk[0] != "\n" or len(chunk) == 1 or chunk[1].isspace())
+
 
 class Encoder:
     """Whole texts to ids, by chunks. ``spaced``: a chunk's ids depend on the space before it."""
@@ -194,23 +223,26 @@ class Encoder:
             if any(s in text for s in self.special):
                 out[i] = self.whole([text])[0]
                 continue
-            chunks = text.split(" ")
+            # a line ending starts a chunk of its own: the piece before it cannot reach over it
+            chunks = text.replace("\n", " \n" if self.spaced else " ").split(" ")
             head = chunks.pop(0) if self.spaced else ""
-            found = self.memo.find(chunks)
-            if None in found:
-                missed = [c for c, f in zip(chunks, found, strict=True) if f is None]
-                if self.spaced and any(not c or c[0].isspace() for c in missed):
-                    head, *chunks = ALONE.split(text)
-                    found = self.memo.find(chunks)
-                    missed = [c for c, f in zip(chunks, found, strict=True) if f is None]
-                fresh.update(missed)
+            found, missing = self.memo.find(chunks)
+            if self.spaced and any(_ambiguous(chunks[i]) for i in missing):
+                head, *chunks = ALONE.split(text)
+                found, missing = self.memo.find(chunks)
             if head:
                 heads.append((i, head))
-            waiting.append((i, chunks, found))
+            if missing:
+                fresh.update([chunks[k] for k in missing])
+                waiting.append((i, chunks, found, missing))
+            else:
+                out[i] = b"".join(found)
         news = list(fresh)
-        new = dict(zip(news, self.encode([lead + c for c in news]), strict=True)) if news else {}
-        for i, chunks, found in waiting:
-            out[i] = b"".join([new[c] if f is None else f for c, f in zip(chunks, found, strict=True)] if None in found else found)
+        new = dict(zip(news, self.encode([c if c[:1] == "\n" else lead + c for c in news]), strict=True)) if news else {}
+        for i, chunks, found, missing in waiting:
+            for k in missing:
+                found[k] = new[chunks[k]]
+            out[i] = b"".join(found)
         if heads:
             for (i, _), ids in zip(heads, self.encode([h for _, h in heads]), strict=True):
                 out[i] = ids + out[i]
@@ -221,7 +253,7 @@ class Encoder:
 def rounds_encoder(path: str) -> Encoder:
     """The byte-level vocabulary at ``path``, encoded by merge rounds; kept by each Python worker."""
     v = vocabulary(path)
-    pieces = Pieces(PIECES.findall, MergeRounds(v))
+    pieces = Pieces(byte_pieces, MergeRounds(v))
     cut = re.compile("(" + "|".join(map(re.escape, v.special)) + ")")
 
     def whole(texts: list[str]) -> list[bytes]:
@@ -231,17 +263,34 @@ def rounds_encoder(path: str) -> Encoder:
     return Encoder(pieces, whole, list(v.special), True)
 
 
+def byte_pieces(chunk: str) -> list[str]:
+    """The pre-tokens of a text; letters after one space, and a stop after them, need no pattern."""
+    if chunk[:1] == " ":
+        if chunk[1:].isalpha():
+            return [chunk]
+        if chunk[-1:] in ",.;:!?" and chunk[1:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+    return PIECES.findall(chunk)
+
+
 def word_pieces(chunk: str) -> list[str]:
     """Pieces that the word vocabulary encodes apart; a chunk beyond ASCII stays whole, for its normalisation."""
-    return WORD_PIECES.findall(chunk.lower()) if chunk.isascii() else [chunk]
+    if not chunk.isascii():
+        return [chunk]
+    chunk = chunk.lower()
+    if chunk.isalpha():
+        return [chunk]
+    if chunk[-1:] in ",.;:!?" and chunk[:-1].isalpha():
+        return [chunk[:-1], chunk[-1]]
+    return WORD_PIECES.findall(chunk)
 
 
 @lru_cache(2)
 def library_encoder(path: str, spaced: bool) -> Encoder:
     """The vocabulary at ``path``, encoded by the tokenizers package; kept by each Python worker."""
-    library = Library(path)
+    library = Library(path, spaced)
     special = [t.content for t in library.tokenizer.get_added_tokens_decoder().values()]
-    return Encoder(Pieces(PIECES.findall if spaced else word_pieces, library), library, special, spaced)
+    return Encoder(Pieces(byte_pieces if spaced else word_pieces, library), library.texts, special, spaced)
 
 
 @lru_cache(1)
