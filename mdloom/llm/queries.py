@@ -8,6 +8,7 @@ from .packing import op8_minimum_bin_slack_packing
 from .quality import op5_quadratic_discriminant_quality
 from .sharding import op1_virtual_slot_sharding
 from .token_output import op9_huffman_token_files
+from .top_k import OP6_SQL, op6_threshold_algorithm_top_k
 
 QUERIES = {
     f.__name__: f
@@ -16,9 +17,10 @@ QUERIES = {
         op3_extendible_hash_dedup,
         op4_merge_rounds_bpe,
         op5_quadratic_discriminant_quality,
+        op6_threshold_algorithm_top_k,
         op8_minimum_bin_slack_packing,
         op9_huffman_token_files,
     )
 }
 
-ORACLE_SQL = {"op3_extendible_hash_dedup": OP3_SQL}
+ORACLE_SQL = {"op3_extendible_hash_dedup": OP3_SQL, "op6_threshold_algorithm_top_k": OP6_SQL}
