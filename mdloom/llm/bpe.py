@@ -1,42 +1,35 @@
-"""BPE encoding and decoding.
+"""BPE encoding and decoding in batched numpy rounds.
 
-Texts are cut into chunks at single spaces, where no merge can cross, and chunks are looked up in a bounded
-cache; only chunks not seen before are encoded, many at a time. ``MergeRounds`` does that in batched numpy
-rounds: the symbols of all words lie in one flat array, each pair's rank is found by binary search over the
-sorted pair keys, and every round merges each word's lowest-ranked pair. ``Library`` leaves it to the
-tokenizers package. Decoding gathers the bytes of ids from a flat table.
+The texts of a batch lie in one byte buffer. Byte classes cut it into words, the vocabulary's pre-tokens;
+equal words of a batch are found by sorting their hashes and encoded once, and hashes of recent words are
+kept in sorted arrays. Words that are not known are encoded together: their symbols lie in one flat array,
+each pair's rank is found by binary search over the sorted pair keys, and every round merges each word's
+lowest-ranked pair wherever it stands. Decoding gathers the bytes of ids from a flat table.
 
-Defined cases: null text is empty and has no ids; texts without spaces are one chunk, kept out of the cache
-when long; special tokens written out in a text become their ids, as in the tokenizers package; repeated
-rows are each encoded; an empty table gives no rows.
+The byte classes decide for ASCII and the letters of Latin-1; a text with other characters, or one that
+spells a special token, goes to the tokenizers package whole. Words are told apart by 64-bit hashes.
+
+Defined cases: null text is empty and has no ids; special tokens written out in a text become their ids, as
+in the tokenizers package; repeated rows are each encoded; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import json
-import re
-from array import array
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
-
-CACHE = 800_000
-LONG = 48
-SUB_BATCH = 1 << 20
+from .common import mix, portions, table, utf8
 
-_SPACE = r"\t-\r " + "".join(map(chr, (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
-#: The pre-tokenisation pattern of the byte-level vocabulary, with its white space spelt out.
-PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
-#: The same for the word vocabulary, for lower-case ASCII.
-WORD_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^ \t-\ra-z0-9]+")
-#: A space that is alone between two other characters: a word starts there whatever surrounds it.
-ALONE = re.compile(r"(?<=\S) (?=\S)")
+KNOWN = 400_000
+SUB_BATCH = 2 << 20
+SUFFIX = "</w>"
+LETTER, DIGIT, OTHER, SPACE, BREAK = 1, 2, 3, 4, 5
+BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -46,290 +39,273 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... of each range, one after another."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
 class Vocabulary:
-    """A byte-level BPE vocabulary file as flat arrays."""
+    """A byte-level BPE vocabulary file as flat arrays. ``suffixed``: words end in symbols of their own, are lower case, and keep no space."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, letters = spec["model"]["vocab"], byte_alphabet()
+        self.suffixed = spec["model"]["end_of_word_suffix"] == SUFFIX
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        size = max([*vocab.values(), *self.special.values()]) + 1
-        spelt = [b""] * size
+        spelt = [b""] * (max([*vocab.values(), *self.special.values()]) + 1)
         for token, i in vocab.items():
-            spelt[i] = bytes(letters[c] for c in token)
+            spelt[i] = bytes(letters[c] for c in token.removesuffix(SUFFIX if self.suffixed else "\0")) + b" " * (self.suffixed and token.endswith(SUFFIX))
         for token, i in self.special.items():
             spelt[i] = token.encode()
-        self.spelt = spelt
-        self.base = np.array([vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])], np.int64)
+        self.sizes = np.fromiter(map(len, spelt), np.int64, len(spelt))
+        self.at = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(spelt), np.uint8)
+        order = [c for c, _ in sorted(letters.items(), key=lambda x: x[1])]
+        self.base = np.array([vocab[c] for c in order], np.int64)
+        self.last = np.array([vocab[c + SUFFIX] for c in order], np.int64) if self.suffixed else self.base
         pairs = [(vocab[a], vocab[b], vocab[a + b]) for a, b in spec["model"]["merges"]]
         keys = np.array([a << 20 | b for a, b, _ in pairs], np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.rank, self.merged = keys[order], order.astype(np.int64), np.array([m for *_, m in pairs], np.int64)
-
-
-class Memo:
-    """A bounded map: when the newer half is full it becomes the older one, and what is used moves over."""
-
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most // 2, {}, {}
-
-    def find(self, keys: list[str]) -> tuple[list[bytes | None], list[int]]:
-        """What is known of the keys, and the places of those that are not."""
-        found = list(map(self.new.get, keys))
-        missing, i, old, new = [], -1, self.old, self.new
-        for _ in range(found.count(None)):
-            i = found.index(None, i + 1)
-            key = keys[i]
-            if (f := old.get(key)) is None:
-                missing.append(i)
-            else:
-                found[i] = new[key] = f
-        return found, missing
-
-    def add(self, fresh: dict[str, bytes]) -> None:
-        if len(self.new) + len(fresh) > self.most:
-            self.old, self.new = self.new, {}
-        self.new.update((k, v) for k, v in fresh.items() if len(k) <= LONG)
-
-
-class Pieces:
-    """Encodes chunks by their pieces, each piece once while it is remembered."""
-
-    def __init__(self, split, encode):
-        self.split, self.encode, self.memo = split, encode, Memo(CACHE)
-
-    def __call__(self, chunks: list[str]) -> list[bytes]:
-        split = list(map(self.split, chunks))
-        keys = list({p for s in split for p in s})
-        found, missing = self.memo.find(keys)
-        known, fresh = dict(zip(keys, found, strict=True)), [keys[i] for i in missing]
-        new = dict(zip(fresh, self.encode(fresh), strict=True)) if fresh else {}
-        known.update(new)
-        self.memo.add(new)
-        return [known[s[0]] if len(s) == 1 else b"".join([known[p] for p in s]) for s in split]
-
-
-class MergeRounds:
-    """Encodes words in batched merge rounds."""
-
-    def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
-
-    def __call__(self, words: list[str]) -> list[bytes]:
-        """The ids of each word, as little-endian unsigned 32-bit integers."""
-        words = [w.encode() for w in words]
-        v, none = self.v, len(self.v.keys)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        symbols = v.base[np.frombuffer(b"".join(words), np.uint8)]
-        word = np.repeat(np.arange(len(words)), lengths)
-        done_at, done = [], []
-        while len(symbols):
-            key = symbols[:-1] << 20 | symbols[1:]
-            at = np.minimum(np.searchsorted(v.keys, key), none - 1)
-            same = word[:-1] == word[1:]
-            rank = np.full(len(symbols), none, np.int64)
-            rank[:-1] = np.where(same & (v.keys[at] == key), v.rank[at], none)
-            first = np.flatnonzero(np.r_[True, ~same])
-            least = np.minimum.reduceat(rank, first)
-            of_word = np.repeat(least, np.diff(np.r_[first, len(word)]))
-            active = of_word < none
-            if not active.all():
-                done_at.append(word[~active])
-                done.append(symbols[~active])
-                symbols, word, rank, of_word = symbols[active], word[active], rank[active], of_word[active]
-            if not len(symbols):
-                break
-            hit = rank == of_word
-            i = np.flatnonzero(hit)
-            run = np.r_[True, np.diff(i) > 1]  # of a run of overlapping hits, every other one counts
-            begin = np.maximum.accumulate(np.where(run, np.arange(len(i)), 0))
-            i = i[(np.arange(len(i)) - begin) % 2 == 0]
-            symbols[i] = v.merged[rank[i]]
-            keep = np.ones(len(symbols), bool)
-            keep[i + 1] = False
-            symbols, word = symbols[keep], word[keep]
-        if not done:
-            return [b""] * len(words)
-        at, ids = np.concatenate(done_at), np.concatenate(done)
-        order = np.argsort(at, kind="stable")
-        ends = np.cumsum(np.bincount(at, minlength=len(words))) * 4
-        flat = ids[order].astype("<u4").tobytes()
-        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-
-
-class Library:
-    """Encodes texts with the tokenizers package; words of letters many to a call, split again by the package's word numbers."""
-
-    def __init__(self, path: str, spaced: bool):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.spaced = Tokenizer.from_file(path), spaced
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _letters(self, word: str) -> bool:
-        return word[:1] == " " and word[1:].isalpha() if self.spaced else word.isascii() and word.isalpha()
-
-    def __call__(self, words: list[str]) -> list[bytes]:
-        out: list[bytes | None] = [None] * len(words)
-        plain = [i for i, w in enumerate(words) if self._letters(w)]
-        runs = [plain[lo : lo + 512] for lo in range(0, len(plain), 512)]
-        joined = [("" if self.spaced else " ").join([words[i] for i in run]) for run in runs]
-        for run, e in zip(runs, self.tokenizer.encode_batch(joined, add_special_tokens=False), strict=True):
-            numbers = np.array(e.word_ids, np.int64)
-            first = np.flatnonzero(np.r_[True, numbers[1:] != numbers[:-1]])
-            if len(first) == len(run):
-                flat, ends = array("I", e.ids).tobytes(), [*(first[1:] * 4).tolist(), len(numbers) * 4]
-                for i, a, b in zip(run, [0, *ends[:-1]], ends, strict=True):
-                    out[i] = flat[a:b]
-        rest = [i for i, o in enumerate(out) if o is None]
-        for i, ids in zip(rest, self.texts([words[i] for i in rest]), strict=True):
-            out[i] = ids
-        return out
-
-
-def _ambiguous(chunk: str) -> bool:
-    """Whether white space at its start may belong to a longer run: all but one line ending before other text."""
-    return not chunk or chunk[0].isspace() and (chunk[0] != "\n" or len(chunk) == 1 or chunk[1].isspace())
+        by = np.argsort(keys, kind="stable")
+        self.keys, self.rank, self.merged = keys[by], by.astype(np.int64), np.array([m for *_, m in pairs], np.int64)
+
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair, by binary search; the number of pairs where there is none."""
+        key = left << 20 | right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank[at], len(self.keys))
+
+
+def merge_rounds(v: Vocabulary, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, numbers of ids) of words whose bytes stand one after another; every word has one byte at least."""
+    none = len(v.keys)
+    symbols = v.base[data]
+    ends = np.cumsum(sizes)
+    symbols[ends - 1] = v.last[data[ends - 1]]
+    word = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    rank = np.full(len(symbols), none, np.int64)
+    same = word[:-1] == word[1:]
+    rank[:-1][same] = v.ranks(symbols[:-1][same], symbols[1:][same])
+    done_word, done = [], []
+    while len(symbols):
+        first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        of_word = np.repeat(np.minimum.reduceat(rank, first), np.diff(np.r_[first, len(word)]))
+        active = of_word < none
+        if not active.all():
+            done_word.append(word[~active])
+            done.append(symbols[~active])
+            symbols, word, rank, of_word = symbols[active], word[active], rank[active], of_word[active]
+        if not len(symbols):
+            break
+        i = np.flatnonzero(rank == of_word)
+        run = np.r_[True, np.diff(i) > 1]  # of a run of overlapping hits, every other one counts
+        begin = np.maximum.accumulate(np.where(run, np.arange(len(i)), 0))
+        i = i[(np.arange(len(i)) - begin) % 2 == 0]
+        symbols[i] = v.merged[rank[i]]
+        keep = np.ones(len(symbols), bool)
+        keep[i + 1] = False
+        now = np.cumsum(keep) - 1
+        symbols, word, rank, i = symbols[keep], word[keep], rank[keep], now[i]
+        for j in (i[i > 0] - 1, i):  # only pairs beside a merged symbol have new ranks
+            last = j + 1 >= len(word)
+            rank[j[last]] = none
+            j = j[~last]
+            inside = word[j] == word[j + 1]
+            rank[j[~inside]] = none
+            j = j[inside]
+            rank[j] = v.ranks(symbols[j], symbols[j + 1])
+    at, ids = np.concatenate(done_word), np.concatenate(done)
+    return ids[np.argsort(at, kind="stable")].astype(np.uint32), np.bincount(at, minlength=len(sizes))
+
+
+def _classes() -> np.ndarray:
+    out = np.full(256, OTHER, np.uint8)
+    out[65:91] = out[97:123] = out[128:] = LETTER
+    out[48:58] = DIGIT
+    out[9:14], out[32] = BREAK, SPACE
+    return out
+
+
+CLASS = _classes()
+
+
+def lower(data: np.ndarray) -> np.ndarray:
+    """Lower case for ASCII and the letters of Latin-1."""
+    out = np.where((data >= 65) & (data <= 90), data + 32, data)
+    second = np.zeros(len(data), bool)
+    second[1:] = data[:-1] == 0xC3
+    return np.where(second & (data >= 0x80) & (data <= 0x9E) & (data != 0x97), data + 32, out).astype(np.uint8)
+
+
+def word_starts(data: np.ndarray, offsets: np.ndarray, suffixed: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, sizes) of the pre-tokens of texts in ``data``: by class, with one space before, contractions apart."""
+    cls = CLASS[data]
+    before, after = np.zeros_like(cls), np.zeros_like(cls)
+    before[1:], after[:-1] = cls[:-1], cls[1:]
+    edge = offsets[:-1][np.diff(offsets) > 0]
+    before[edge] = 0
+    after[edge[1:] - 1] = 0
+    blank = cls >= SPACE
+    if suffixed:
+        start = (before != cls) | (cls == DIGIT)
+    else:
+        start = np.where(blank, (before < SPACE) | (after > 0) & (after < SPACE), (before != cls) & (before != SPACE))
+    quotes = np.flatnonzero(start & (data == 0x27))
+    if len(quotes):
+        end = offsets[np.searchsorted(offsets, quotes, "right")]
+        padded = np.r_[data, np.zeros(2, np.uint8)]
+        one, two = padded[quotes + 1], padded[np.minimum(quotes + 2, len(data) + 1)]
+        short = (quotes + 1 < end) & np.isin(one, np.frombuffer(b"stmd", np.uint8))
+        long = (quotes + 2 < end) & (((one == 0x72) | (one == 0x76)) & (two == 0x65) | (one == 0x6C) & (two == 0x6C))
+        for found, size in ((short, 2), (long, 3)):
+            start[quotes[found] + 1] = False
+            if size == 3:
+                start[quotes[found] + 2] = False
+            then = quotes[found] + size
+            start[then[then < end[found]]] = True
+    at = np.flatnonzero(start)
+    size = np.diff(np.r_[at, len(data)])
+    if suffixed:
+        word = cls[at] < SPACE
+        at, size = at[word], size[word]
+    return at, size
 
 
 class Encoder:
-    """Whole texts to ids, by chunks. ``spaced``: a chunk's ids depend on the space before it."""
-
-    def __init__(self, encode, whole, special: list[str], spaced: bool):
-        self.encode, self.whole, self.special, self.spaced = encode, whole, special, spaced
-        self.memo = Memo(CACHE)
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        lo = 0
-        while lo < len(texts):
-            hi, size = lo, 0
-            while hi < len(texts) and (hi == lo or size + len(texts[hi]) <= SUB_BATCH):
-                size += len(texts[hi])
-                hi += 1
-            self._some(texts, lo, hi, out)
-            lo = hi
-        return out
-
-    def _some(self, texts: list[str], lo: int, hi: int, out: list[bytes]) -> None:
-        lead, waiting, heads, fresh = " " if self.spaced else "", [], [], set()
-        for i in range(lo, hi):
-            text = texts[i]
-            if any(s in text for s in self.special):
-                out[i] = self.whole([text])[0]
-                continue
-            # a line ending starts a chunk of its own: the piece before it cannot reach over it
-            chunks = text.replace("\n", " \n" if self.spaced else " ").split(" ")
-            head = chunks.pop(0) if self.spaced else ""
-            found, missing = self.memo.find(chunks)
-            if self.spaced and any(_ambiguous(chunks[i]) for i in missing):
-                head, *chunks = ALONE.split(text)
-                found, missing = self.memo.find(chunks)
-            if head:
-                heads.append((i, head))
-            if missing:
-                fresh.update([chunks[k] for k in missing])
-                waiting.append((i, chunks, found, missing))
-            else:
-                out[i] = b"".join(found)
-        news = list(fresh)
-        new = dict(zip(news, self.encode([c if c[:1] == "\n" else lead + c for c in news]), strict=True)) if news else {}
-        for i, chunks, found, missing in waiting:
-            for k in missing:
-                found[k] = new[chunks[k]]
-            out[i] = b"".join(found)
-        if heads:
-            for (i, _), ids in zip(heads, self.encode([h for _, h in heads]), strict=True):
-                out[i] = ids + out[i]
-        self.memo.add(new)
-
-
-@lru_cache(1)
-def rounds_encoder(path: str) -> Encoder:
-    """The byte-level vocabulary at ``path``, encoded by merge rounds; kept by each Python worker."""
-    v = vocabulary(path)
-    pieces = Pieces(byte_pieces, MergeRounds(v))
-    cut = re.compile("(" + "|".join(map(re.escape, v.special)) + ")")
-
-    def whole(texts: list[str]) -> list[bytes]:
-        ids = v.special
-        return [b"".join(array("I", [ids[p]]).tobytes() if p in ids else pieces([p])[0] for p in cut.split(t) if p) for t in texts]
-
-    return Encoder(pieces, whole, list(v.special), True)
-
-
-def byte_pieces(chunk: str) -> list[str]:
-    """The pre-tokens of a text; letters after one space, and a stop after them, need no pattern."""
-    if chunk[:1] == " ":
-        if chunk[1:].isalpha():
-            return [chunk]
-        if chunk[-1:] in ",.;:!?" and chunk[1:-1].isalpha():
-            return [chunk[:-1], chunk[-1]]
-    return PIECES.findall(chunk)
-
-
-def word_pieces(chunk: str) -> list[str]:
-    """Pieces that the word vocabulary encodes apart; a chunk beyond ASCII stays whole, for its normalisation."""
-    if not chunk.isascii():
-        return [chunk]
-    chunk = chunk.lower()
-    if chunk.isalpha():
-        return [chunk]
-    if chunk[-1:] in ",.;:!?" and chunk[:-1].isalpha():
-        return [chunk[:-1], chunk[-1]]
-    return WORD_PIECES.findall(chunk)
+    """Whole texts to ids. ``whole``: encodes texts beyond the byte classes."""
+
+    def __init__(self, v: Vocabulary, whole):
+        self.v, self.whole = v, whole
+        self.hashes, self.starts, self.sizes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.power = self.inverse = np.ones(1, np.uint64)
+        self.letter = mix(np.arange(1, 257, dtype=np.uint64) * BASE)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): the ids of every text, one after another."""
+        data, offsets = utf8(texts)
+        flats, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for lo, hi in portions(offsets, SUB_BATCH):
+            own = offsets[lo : hi + 1]
+            flat, count = self._portion(data[own[0] : own[-1]], own - own[0], texts.slice(lo, hi - lo))
+            flats.append(flat)
+            counts.append(count)
+        return np.concatenate(flats), np.r_[0, np.cumsum(np.concatenate(counts))]
+
+    def _portion(self, data: np.ndarray, offsets: np.ndarray, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        n, size = len(offsets) - 1, np.diff(offsets)
+        lead = data == 0xC3
+        second = np.zeros(len(data), bool)
+        second[1:] = lead[:-1]
+        odd = (data >= 0x80) & ~lead & ~(second & (data != 0x97) & (data != 0xB7))
+        odd[1:] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)  # "<|", as special tokens start
+        beyond = np.zeros(n, bool)
+        beyond[np.searchsorted(offsets, np.flatnonzero(odd), "right") - 1] = True
+        if not beyond.any():
+            return self._plain(data, offsets)
+        flat, count = self._plain(data[np.repeat(~beyond, size)], np.r_[0, np.cumsum(size[~beyond])])
+        parts, counts, at, ends = [], np.zeros(n, np.int64), 0, np.r_[0, np.cumsum(count)]
+        counts[~beyond] = count
+        left = np.cumsum(~beyond)
+        others = self.whole(texts.filter(pa.array(beyond)).to_pylist())
+        for i, ids in zip(np.flatnonzero(beyond).tolist(), others, strict=True):
+            parts += [flat[ends[at] : ends[left[i]]], ids]
+            at, counts[i] = left[i], len(ids)
+        return np.concatenate([*parts, flat[ends[at] :]]), counts
+
+    def _powers(self, n: int) -> None:
+        if len(self.power) < n:
+            step = np.full(n, BASE, np.uint64)
+            back = np.full(n, pow(int(BASE), -1, 1 << 64), np.uint64)
+            step[0] = back[0] = 1
+            self.power, self.inverse = np.multiply.accumulate(step), np.multiply.accumulate(back)
+
+    def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(offsets) - 1
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(n, np.int64)
+        if self.v.suffixed:
+            data = lower(data)
+        at, size = word_starts(data, offsets, self.v.suffixed)
+        if not len(at):
+            return np.zeros(0, np.uint32), np.zeros(n, np.int64)
+        self._powers(len(data))
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.letter[data] * self.power[: len(data)], out=sums[1:])
+        hashes = mix((sums[at + size] - sums[at]) * self.inverse[at] + size.astype(np.uint64))
+        word, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        found = np.minimum(np.searchsorted(self.hashes, word), max(0, len(self.hashes) - 1))
+        known = self.hashes[found] == word if len(self.hashes) else np.zeros(len(word), bool)
+        start, count = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+        start[known], count[known] = self.starts[found[known]], self.sizes[found[known]]
+        if not known.all():
+            new = first[~known]
+            ids, sizes = merge_rounds(self.v, data[_ranges(at[new], size[new])], size[new])
+            start[~known], count[~known] = len(self.ids) + np.cumsum(sizes) - sizes, sizes
+            self.ids = np.concatenate([self.ids, ids])
+        out_size = count[which]
+        flat = self.ids[_ranges(start[which], out_size)]
+        ends = np.r_[0, np.cumsum(out_size)]
+        marks = np.searchsorted(at, offsets)
+        if not known.all():
+            self._remember(word, start, count, known)
+        return flat, np.diff(ends[marks])
+
+    def _remember(self, word: np.ndarray, start: np.ndarray, count: np.ndarray, known: np.ndarray) -> None:
+        if len(self.hashes) + int((~known).sum()) > KNOWN:  # only the words of this portion stay
+            self.ids = self.ids[_ranges(start, count)]
+            self.hashes, self.starts, self.sizes = word, np.cumsum(count) - count, count
+            return
+        both = np.concatenate([self.hashes, word[~known]])
+        order = np.argsort(both, kind="stable")
+        self.hashes = both[order]
+        self.starts = np.concatenate([self.starts, start[~known]])[order]
+        self.sizes = np.concatenate([self.sizes, count[~known]])[order]
 
 
 @lru_cache(2)
-def library_encoder(path: str, spaced: bool) -> Encoder:
-    """The vocabulary at ``path``, encoded by the tokenizers package; kept by each Python worker."""
-    library = Library(path, spaced)
-    special = [t.content for t in library.tokenizer.get_added_tokens_decoder().values()]
-    return Encoder(Pieces(byte_pieces if spaced else word_pieces, library), library.texts, special, spaced)
-
-
-@lru_cache(1)
 def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def decode(ids: np.ndarray, spelt: list[bytes]) -> bytes:
-    """The text of ids in UTF-8; bytes that are no UTF-8 become U+FFFD."""
-    raw = b"".join([spelt[i] for i in ids.tolist()])
-    try:
-        raw.decode()
-    except UnicodeDecodeError:
-        raw = raw.decode(errors="replace").encode()
-    return raw
+@lru_cache(2)
+def encoder(path: str) -> Encoder:
+    """The encoder of the vocabulary at ``path``; kept by each Python worker."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+
+    def whole(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    return Encoder(vocabulary(path), whole)
 
 
-def _lists(blobs: list[bytes]) -> pa.Array:
-    sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
-    flat = np.frombuffer(b"".join(blobs), np.int32)
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(flat))
+def decode(v: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The texts that ids spell, in UTF-8; bytes that are no UTF-8 become U+FFFD."""
+    size = v.sizes[ids]
+    flat = v.bytes[_ranges(v.at[ids], size)].tobytes()
+    ends = np.r_[0, np.cumsum(size)][offsets].tolist()
+    raw = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    return pa.array([r.decode(errors="replace") for r in raw], pa.string())
 
 
-def texts_of(column: pa.Array) -> list[str]:
-    return [t or "" for t in column.to_pylist()]
+def lists(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat.astype(np.int32)))
 
 
 def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, decoded): the ids of every whole text, and the text that those ids give back."""
 
     def run(batches):
-        encoder = rounds_encoder(path)
-        spelt = vocabulary(path).spelt
+        encode, v = encoder(path), vocabulary(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                blobs = encoder(texts_of(part.column(1)))
-                back = [decode(np.frombuffer(b, "<u4"), spelt) for b in blobs]
-                yield pa.record_batch([part.column(0), _lists(blobs), pa.array(back, pa.binary()).cast(pa.string())], ["doc_id", "ids", "decoded"])
+                ids, offsets = encode(part.column(1))
+                yield pa.record_batch([part.column(0), lists(ids, offsets), decode(v, ids, offsets)], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 

@@ -14,14 +14,13 @@ gives no rows.
 from __future__ import annotations
 
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import library_encoder, texts_of
+from .bpe import encoder
 from .common import stored, table
 
 CAPACITY = 4096
@@ -94,13 +93,14 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END)
     """(doc_id, piece, start, length, ids_crc32) of every whole text, encoded and cut."""
 
     def run(batches):
-        encoder, tail = library_encoder(path, False), array("I", [end]).tobytes()
+        encode, tail = encoder(path), np.array([end], "<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
                 home, number, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(encoder(texts_of(part.column(1)))):
-                    ids += tail
+                flat, offsets = encode(part.column(1))
+                for i in range(part.num_rows):
+                    ids = flat[offsets[i] : offsets[i + 1]].tobytes() + tail
                     for n, at in enumerate(range(0, len(ids), capacity * 4)):
                         own = ids[at : at + capacity * 4]
                         home.append(i)

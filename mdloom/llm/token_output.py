@@ -14,7 +14,6 @@ no blocks and reads back no rows.
 from __future__ import annotations
 
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import library_encoder, texts_of
+from .bpe import encoder
 from .common import discard, parts, stored, table
 
 LIMIT = 16
@@ -133,21 +132,22 @@ def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """(doc_id, ids): ids with the end id, as compressed little-endian integers, stored."""
 
     def run(batches):
-        encoder, tail = library_encoder(path, True), array("I", [end]).tobytes()
+        encode = encoder(path)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1000):
                 part = batch.slice(lo, 1000)
-                blobs = [_squeeze(ids + tail) for ids in encoder(texts_of(part.column(1)))]
+                flat, offsets = encode(part.column(1))
+                blobs = [_squeeze(np.append(flat[a:b], np.uint32(end))) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.record_batch([part.column(0), pa.array(blobs, pa.binary())], ["doc_id", "ids"])
 
     return stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary"), "ids")
 
 
-def _squeeze(ids: bytes) -> bytes:
+def _squeeze(ids: np.ndarray) -> bytes:
     """Low and high halves apart, compressed."""
-    halves = np.frombuffer(ids, "<u2").reshape(-1, 2).T
+    halves = ids.astype("<u4").view("<u2").reshape(-1, 2).T
     raw = halves[0].tobytes() + (halves[1].tobytes() if halves[1].any() else b"")
-    return len(ids).to_bytes(8, "little") + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    return (len(ids) * 4).to_bytes(8, "little") + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def _unsqueeze(blob: bytes) -> np.ndarray:
