@@ -23,13 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, portions, table, utf8
+from .common import Hasher, portions, ranges, table, utf8
 
 KNOWN = 400_000
 SUB_BATCH = 2 << 20
 SUFFIX = "</w>"
 LETTER, DIGIT, OTHER, SPACE, BREAK = 1, 2, 3, 4, 5
-BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -39,12 +38,6 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... of each range, one after another."""
-    ends = np.cumsum(size)
-    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)
-
-
 class Vocabulary:
     """A byte-level BPE vocabulary file as flat arrays. ``suffixed``: words end in symbols of their own, are lower case, and keep no space."""
 
@@ -178,8 +171,7 @@ class Encoder:
     def __init__(self, v: Vocabulary, whole):
         self.v, self.whole = v, whole
         self.hashes, self.starts, self.sizes, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self.power = self.inverse = np.ones(1, np.uint64)
-        self.letter = mix(np.arange(1, 257, dtype=np.uint64) * BASE)
+        self.hasher = Hasher()
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the ids of every text, one after another."""
@@ -213,13 +205,6 @@ class Encoder:
             at, counts[i] = left[i], len(ids)
         return np.concatenate([*parts, flat[ends[at] :]]), counts
 
-    def _powers(self, n: int) -> None:
-        if len(self.power) < n:
-            step = np.full(n, BASE, np.uint64)
-            back = np.full(n, pow(int(BASE), -1, 1 << 64), np.uint64)
-            step[0] = back[0] = 1
-            self.power, self.inverse = np.multiply.accumulate(step), np.multiply.accumulate(back)
-
     def _plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(offsets) - 1
         if not len(data):
@@ -229,10 +214,7 @@ class Encoder:
         at, size = word_starts(data, offsets, self.v.suffixed)
         if not len(at):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
-        self._powers(len(data))
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(self.letter[data] * self.power[: len(data)], out=sums[1:])
-        hashes = mix((sums[at + size] - sums[at]) * self.inverse[at] + size.astype(np.uint64))
+        hashes = self.hasher(data, at, size)
         word, first, which = np.unique(hashes, return_index=True, return_inverse=True)
         found = np.minimum(np.searchsorted(self.hashes, word), max(0, len(self.hashes) - 1))
         known = self.hashes[found] == word if len(self.hashes) else np.zeros(len(word), bool)
@@ -240,11 +222,11 @@ class Encoder:
         start[known], count[known] = self.starts[found[known]], self.sizes[found[known]]
         if not known.all():
             new = first[~known]
-            ids, sizes = merge_rounds(self.v, data[_ranges(at[new], size[new])], size[new])
+            ids, sizes = merge_rounds(self.v, data[ranges(at[new], size[new])], size[new])
             start[~known], count[~known] = len(self.ids) + np.cumsum(sizes) - sizes, sizes
             self.ids = np.concatenate([self.ids, ids])
         out_size = count[which]
-        flat = self.ids[_ranges(start[which], out_size)]
+        flat = self.ids[ranges(start[which], out_size)]
         ends = np.r_[0, np.cumsum(out_size)]
         marks = np.searchsorted(at, offsets)
         if not known.all():
@@ -253,7 +235,7 @@ class Encoder:
 
     def _remember(self, word: np.ndarray, start: np.ndarray, count: np.ndarray, known: np.ndarray) -> None:
         if len(self.hashes) + int((~known).sum()) > KNOWN:  # only the words of this portion stay
-            self.ids = self.ids[_ranges(start, count)]
+            self.ids = self.ids[ranges(start, count)]
             self.hashes, self.starts, self.sizes = word, np.cumsum(count) - count, count
             return
         both = np.concatenate([self.hashes, word[~known]])
@@ -286,7 +268,7 @@ def encoder(path: str) -> Encoder:
 def decode(v: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """The texts that ids spell, in UTF-8; bytes that are no UTF-8 become U+FFFD."""
     size = v.sizes[ids]
-    flat = v.bytes[_ranges(v.at[ids], size)].tobytes()
+    flat = v.bytes[ranges(v.at[ids], size)].tobytes()
     ends = np.r_[0, np.cumsum(size)][offsets].tolist()
     raw = [flat[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
     return pa.array([r.decode(errors="replace") for r in raw], pa.string())

@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,3 +81,61 @@ def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(27))
     x = x * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(31))
+
+
+BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Hasher:
+    """64-bit hashes of byte ranges, from prefix sums of letters times powers of an odd base."""
+
+    def __init__(self):
+        self.power = self.inverse = np.ones(1, np.uint64)
+        self.letter = mix(np.arange(1, 257, dtype=np.uint64) * BASE)
+
+    def __call__(self, data: np.ndarray, at: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        if len(self.power) < len(data) + 1:
+            step = np.full(len(data) + 1, BASE, np.uint64)
+            back = np.full(len(data) + 1, pow(int(BASE), -1, 1 << 64), np.uint64)
+            step[0] = back[0] = 1
+            self.power, self.inverse = np.multiply.accumulate(step), np.multiply.accumulate(back)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.letter[data] * self.power[: len(data)], out=sums[1:])
+        return mix((sums[at + size] - sums[at]) * self.inverse[at] + np.asarray(size, np.uint64))
+
+
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... of each range, one after another."""
+    ends = np.cumsum(size)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs: it does so when the driver collects its garbage."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(doc, label) for the nodes of (a, b): the smallest node of each connected component, by large-star and small-star.
+
+    Neighbourhoods are only ever reduced to their minimum, and joined to it, so a hub's edges split over tasks.
+    """
+    spark = edges.sparkSession
+    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
+    mark = None
+    while True:
+        both = now.union(now.select("v", "u"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("x"), "m").where("x > m").union(least.select("u", "m"))
+        after = stored(small.toDF("u", "v").distinct(), "edges")
+        found = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        discard(spark, now)
+        now = after
+        if found == mark:
+            return now.select(F.col("u").alias("doc"), F.col("v").alias("label")).union(now.select(F.col("v").alias("doc"), F.col("v").alias("label")).distinct())
+        mark = found

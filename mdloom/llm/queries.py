@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .bpe import op4_merge_rounds_bpe
 from .exact_dedup import OP3_SQL, op3_extendible_hash_dedup
+from .jaccard import op2_parity_sketch_jaccard
 from .packing import op8_minimum_bin_slack_packing
 from .quality import op5_quadratic_discriminant_quality
 from .sharding import op1_virtual_slot_sharding
@@ -14,6 +15,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_virtual_slot_sharding,
+        op2_parity_sketch_jaccard,
         op3_extendible_hash_dedup,
         op4_merge_rounds_bpe,
         op5_quadratic_discriminant_quality,
