@@ -8,6 +8,7 @@ from .jaccard import op2_parity_sketch_jaccard
 from .packing import op8_minimum_bin_slack_packing
 from .quality import op5_quadratic_discriminant_quality
 from .sharding import op1_virtual_slot_sharding
+from .suffix_dedup import op10_prefix_doubling_dedup
 from .token_output import op9_huffman_token_files
 from .top_k import OP6_SQL, op6_threshold_algorithm_top_k
 
@@ -22,6 +23,7 @@ QUERIES = {
         op6_threshold_algorithm_top_k,
         op8_minimum_bin_slack_packing,
         op9_huffman_token_files,
+        op10_prefix_doubling_dedup,
     )
 }
 
