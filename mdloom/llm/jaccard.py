@@ -9,11 +9,13 @@ blocks only the fullest are sent: enough that two similar documents still share
 blocks with few or no shingles, which many documents share by chance, stay home. A document with too few
 filled blocks also sends its first shingles, for partners that are alike in this.
 
-Documents that share a block are candidates. Within a batch, equal sets collapse to one and only the first
-of the documents sharing a block goes on, so no block sends more than one record a batch. Candidates are
-compared by size, by the Hamming distance of a short sketch, and then by their shingle sets. Each block's
-documents are first compared with one of them; pairs that verified links have put into one component need
-no comparison, and what is left is compared in full.
+Documents that share a block are a group. Within a batch, equal sets collapse to one, and of a block that many
+documents of a batch share only the first goes on, while the others stay as rows of their own, so no block
+gathers more than a few records a batch. Groups of the same documents collapse, however many blocks they
+share. Candidate pairs are compared by size, by the Hamming distance of a short sketch, and then by their
+shingle sets. If groups are small, all their pairs are compared at once; else each group is first compared
+with one of its documents, pairs that verified links have put into one component need no comparison, and
+what is left is compared in full.
 
 Defined cases: null and empty texts, and texts of white space, have an empty set and link with nothing;
 fewer than five words are one shingle; rows that share a doc_id are one node, and each keeps its own set
@@ -34,12 +36,14 @@ SPREAD = 1.4
 SPARE = 0.3
 SUB_BATCH = 2 << 20
 BROADCAST_IDS = 1_000_000
-FULL_PAIRS = 4
-STAR_ROUNDS = 6
+FULL_PAIRS = 2
+STAR_ROUNDS = 4
 
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
-EDGE, INFO, MATE = -1, -2, -3
+EDGE, INFO, WIDE, GROUP = -1, -2, -3, -4
+CROWD = 64
+LARGE = 4096
 
 
 def bands(top: int) -> np.ndarray:
@@ -161,10 +165,10 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sift(docs: DataFrame) -> DataFrame:
-    """One shuffle: stored rows (kind, a, b, sketch).
+    """One shuffle: stored rows (kind, a, b, sketch, docs).
 
     INFO: document, set size, short sketch (one for each input row). EDGE: two documents with equal sets.
-    MATE: key, document, for the keys that two documents or more share.
+    GROUP: a hash of the documents that share a key, and those documents. WIDE: key, document, where they are many.
     """
     spark = docs.sparkSession
     n_buckets = 4 * parts(spark)
@@ -211,12 +215,13 @@ def sift(docs: DataFrame) -> DataFrame:
             order = np.lexsort((doc, key))
             doc, key = doc[order], key[order]
             head = np.r_[True, key[1:] != key[:-1]][: len(key)]
-            alone = head & np.r_[key[1:] != key[:-1], True][: len(key)]
-            if not alone.all():
-                yield _row([MATE], [key[~alone].tobytes()], [doc[~alone].tobytes()])
-            # shared keys send their first document, marked by its sign
-            sent = np.where(alone, doc, ~doc)[head]
-            key = key[head]
+            start = np.flatnonzero(head)
+            crowd = np.repeat(np.diff(np.r_[start, len(key)]) > CROWD, np.diff(np.r_[start, len(key)])) if len(key) else head
+            if crowd.any():
+                yield _row([WIDE], [key[crowd].tobytes()], [doc[crowd].tobytes()])
+            # a crowd sends its first document, marked by its sign
+            sent = np.where(crowd, ~doc, doc)[~crowd | head]
+            key = key[~crowd | head]
             cut = np.searchsorted(key, np.arange(1, n_buckets, dtype=np.uint64) * np.uint64((1 << 64) // n_buckets))
             edges = np.r_[0, cut, len(key)]
             full = np.flatnonzero(np.diff(edges))
@@ -227,47 +232,64 @@ def sift(docs: DataFrame) -> DataFrame:
         return pa.record_batch([pa.array(bucket, pa.int32()), *(pa.array(x if x is not None else [None] * n, pa.binary()) for x in (a, b, c, d))], ["bucket", "a", "b", "c", "d"])
 
     def gather(batches):
-        def out(kind, a, b, sketch=None):
+        def out(kind, a, b, sketch=None, docs=None):
             k = pa.array(np.full(len(a), kind, np.int32))
-            return pa.record_batch([k, pa.array(a) if not isinstance(a, pa.Array) else a, pa.array(b), *(pa.array(sketch[:, i].view(np.int64)) if sketch is not None else pa.nulls(len(a), pa.int64()) for i in range(4))], ["kind", "a", "b", "s0", "s1", "s2", "s3"])
+            sketches = [pa.array(sketch[:, i].view(np.int64)) if sketch is not None else pa.nulls(len(a), pa.int64()) for i in range(4)]
+            return pa.record_batch([k, a if isinstance(a, pa.Array) else pa.array(a), pa.array(b), *sketches, docs if docs is not None else pa.nulls(len(a), pa.list_(pa.int64()))], ["kind", "a", "b", "s0", "s1", "s2", "s3", "docs"])
 
-        def shared(held):
+        def keyed(low, bucket):
+            return mix(low + np.asarray(bucket, np.uint64)).view(np.int64)
+
+        def shared(held, bucket):
             both = [_unpack(x) for x in held]
             key, doc = np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both])
             order = np.argsort(key, kind="stable")
             key, doc = key[order], doc[order]
-            same = key[1:] == key[:-1]
-            mate = np.r_[same, False] | np.r_[False, same]
-            return key[mate].view(np.int64), doc[mate]
+            crowd = doc < 0
+            doc = np.where(crowd, ~doc, doc)
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            size = np.diff(np.r_[start, len(key)])
+            wide = (np.add.reduceat(crowd.astype(np.int64), start) > 0) | (size > LARGE)
+            of_wide = np.repeat(wide, size)
+            if wide.any():  # documents of crowds have their rows already, but for their first
+                yield out(WIDE, keyed(key[of_wide], bucket), doc[of_wide])
+            group = ~wide & (size > 1)
+            if group.any():
+                mine = np.repeat(group, size)
+                key, doc = key[mine], doc[mine]
+                order = np.lexsort((doc, key))
+                doc, size = doc[order], size[group]
+                ends = np.r_[0, np.cumsum(size)]
+                name = np.add.reduceat(mix(doc.view(np.uint64) + BASE), ends[:-1])
+                _, one = np.unique(name, return_index=True)
+                docs = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(doc)).take(pa.array(one))
+                yield out(GROUP, name[one].view(np.int64), size[one].astype(np.int64), None, docs)
 
         bucket, held = None, []
         for batch in batches:
             for k, a, b, c, d in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if k >= 0:
                     if k != bucket and held:
-                        key, doc = shared(held)
-                        yield out(MATE, mix(key.view(np.uint64) + np.uint64(bucket)).view(np.int64), np.where(doc < 0, ~doc, doc))
+                        yield from shared(held, bucket)
                         held = []
                     bucket = k
                     held.append(a)
                 elif k == INFO:
                     ids = pa.array(np.frombuffer(a, np.int64), mask=~np.frombuffer(d, bool))
                     yield out(INFO, ids, np.frombuffer(b, np.int64), np.frombuffer(c, np.uint64).reshape(-1, 4))
-                elif k == MATE:
+                elif k == WIDE:
                     key = np.frombuffer(a, np.uint64)
-                    low = key & np.uint64((1 << 48) - 1)
                     home = np.minimum(key // np.uint64((1 << 64) // n_buckets), np.uint64(n_buckets - 1))
-                    yield out(MATE, mix(low + home).view(np.int64), np.frombuffer(b, np.int64))
+                    yield out(WIDE, keyed(key & np.uint64((1 << 48) - 1), home), np.frombuffer(b, np.int64))
                 else:
                     yield out(k, np.frombuffer(a, np.int64), np.frombuffer(b, np.int64))
         if held:
-            key, doc = shared(held)
-            yield out(MATE, mix(key.view(np.uint64) + np.uint64(bucket)).view(np.int64), np.where(doc < 0, ~doc, doc))
+            yield from shared(held, bucket)
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(split, "bucket int, a binary, b binary, c binary, d binary")
     salt = F.when(F.col("bucket") < 0, F.xxhash64("a")).otherwise(F.col("bucket").cast("long"))
     dealt = rows.withColumn("salt", salt).repartition(parts(spark), "salt").sortWithinPartitions("bucket").drop("salt")
-    out = stored(dealt.mapInArrow(gather, "kind int, a long, b long, s0 long, s1 long, s2 long, s3 long"), "sifted")
+    out = stored(dealt.mapInArrow(gather, "kind int, a long, b long, s0 long, s1 long, s2 long, s3 long, docs array<long>"), "sifted")
     release(spark)
     return out
 
@@ -324,34 +346,37 @@ def link(docs: DataFrame) -> DataFrame:
     sifted = sift(docs)
     rows = sifted.where(F.col("kind") == INFO)
     info = rows.where("a IS NOT NULL")
-    mates = sifted.where(F.col("kind") == MATE).select(F.col("a").alias("key"), F.col("b").alias("doc")).distinct()
+    groups = sifted.where(F.col("kind") == GROUP).groupBy("a").agg(F.any_value("docs").alias("docs"))
+    wide = sifted.where(F.col("kind") == WIDE).select(F.col("a").alias("key"), F.col("b").alias("doc")).distinct()
+    mates = stored(groups.select(F.col("a").alias("key"), F.explode("docs").alias("doc")).unionByName(wide), "mates")
     links = sifted.where(F.col("kind") == EDGE).select("a", "b")
-    hashes = sets(docs, mates.select("doc").distinct())
-    tested = stored(spark.createDataFrame([], "a long, b long"), "tested")
-    labels, grouped = None, mates
-    for turn in range(STAR_ROUNDS + 1):
-        if labels is not None:
-            named = mates.join(labels.withColumnRenamed("label", "own"), "doc", "left").withColumn("own", F.coalesce("own", "doc"))
-            open_keys = named.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-            size = open_keys.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
-            if not size["rows"]:
-                break
+    hashes = sets(docs, stored(mates.select("doc").distinct(), "touched"))
+    tested, named, turn = None, mates.withColumn("own", F.col("doc")), 0
+    while True:
+        opened = named.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+        open_keys = stored(opened.select("key", "n"), "open")
+        size = open_keys.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
+        if size["rows"]:
             grouped = named.join(open_keys.select("key"), "key")
-            if turn == STAR_ROUNDS or size["pairs"] <= FULL_PAIRS * size["rows"] + 200_000:
-                turn = STAR_ROUNDS
-        if labels is not None and turn == STAR_ROUNDS:
-            other = grouped.select("key", F.col("doc").alias("d2"), F.col("own").alias("o2"))
-            pairs = grouped.join(other, "key").where("doc < d2 AND own <> o2").select(F.col("doc").alias("a"), F.col("d2").alias("b"))
+            full = turn == STAR_ROUNDS or size["pairs"] <= FULL_PAIRS * size["rows"] + 100_000
+            if full:
+                other = grouped.select("key", F.col("doc").alias("d2"), F.col("own").alias("o2"))
+                pairs = grouped.join(other, "key").where("doc < d2 AND own <> o2").select(F.col("doc").alias("a"), F.col("d2").alias("b"))
+            else:
+                order = F.struct((F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")).alias("rank"), "doc")
+                centre = grouped.groupBy("key").agg(F.min(order).getField("doc").alias("c"), F.min_by("own", order).alias("oc"))
+                pairs = grouped.join(centre, "key").where("own <> oc").select(F.least("doc", "c").alias("a"), F.greatest("doc", "c").alias("b"))
+            likely = plausible(pairs.distinct(), info)
+            fresh = stored(likely if tested is None else likely.join(tested, ["a", "b"], "left_anti"), "pairs")
+            links = links.unionByName(stored(verified(fresh, hashes), "links"))
+            tested = fresh if tested is None else tested.unionByName(fresh)
         else:
-            order = F.struct((F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")).alias("rank"), "doc")
-            centre = grouped.groupBy("key").agg(F.min(order).getField("doc").alias("c"), *([F.min_by("own", order).alias("oc")] if labels is not None else []))
-            pairs = grouped.join(centre, "key").where("doc <> c" if labels is None else "doc <> c AND own <> oc").select(F.least("doc", "c").alias("a"), F.greatest("doc", "c").alias("b"))
-        fresh = stored(plausible(pairs.distinct(), info).join(tested, ["a", "b"], "left_anti"), "pairs")
-        found = stored(verified(fresh, hashes), "links")
-        links, tested = links.unionByName(found), tested.unionByName(fresh)
+            full = True
         labels = components(links)
-        if turn == STAR_ROUNDS:
+        if full:
             break
+        named = mates.join(labels.withColumnRenamed("label", "own"), "doc", "left").withColumn("own", F.coalesce("own", "doc"))
+        turn += 1
     discard(spark, hashes)
     named = labels.select(F.col("doc").alias("a"), "label")
     return rows.join(named, "a", "left").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.coalesce("label", "a").alias("component_id"))

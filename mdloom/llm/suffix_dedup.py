@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from .common import Hasher, mix, parts, portions, ranges, release, stored, table, utf8
 
 LENGTH = 50
-SUB_BATCH = 2 << 20
+SUB_BATCH = 1 << 20
 BROADCAST_BYTES = 48 << 20
-RECORDS = 2 << 20
+RECORDS = 1 << 20
 
 Records = tuple[np.ndarray, np.ndarray, np.ndarray]  # rank, document, position
 
