@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bpe import op4_merge_rounds_bpe
 from .exact_dedup import OP3_SQL, op3_extendible_hash_dedup
 from .jaccard import op2_parity_sketch_jaccard
+from .line_dedup import op7_segment_edit_line_dedup
 from .packing import op8_minimum_bin_slack_packing
 from .quality import op5_quadratic_discriminant_quality
 from .sharding import op1_virtual_slot_sharding
@@ -21,6 +22,7 @@ QUERIES = {
         op4_merge_rounds_bpe,
         op5_quadratic_discriminant_quality,
         op6_threshold_algorithm_top_k,
+        op7_segment_edit_line_dedup,
         op8_minimum_bin_slack_packing,
         op9_huffman_token_files,
         op10_prefix_doubling_dedup,
