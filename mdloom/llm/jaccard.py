@@ -43,6 +43,8 @@ BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
 EDGE, INFO, WIDE, GROUP = -1, -2, -3, -4
 CROWD = 64
+NUMBERS = 16
+SKETCH = [f"s{k}" for k in range(NUMBERS)]
 LARGE = 4096
 
 
@@ -141,13 +143,11 @@ def block_keys(owner: np.ndarray, value: np.ndarray, size: np.ndarray) -> tuple[
 
 
 def short_sketch(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
-    """256 parity bits of each document, as four numbers."""
-    out = np.zeros((n, 4), np.uint64)
-    bit = (value & np.uint64(255)).astype(np.int64)
-    odd = np.bincount(owner * 256 + bit, minlength=n * 256).reshape(n, 4, 64) & 1
-    for k in range(64):
-        out[:, :] |= odd[:, :, k].astype(np.uint64) << np.uint64(k)
-    return out
+    """64 * NUMBERS parity bits of each document, as so many numbers."""
+    flat = owner * NUMBERS + (value & np.uint64(NUMBERS - 1)).astype(np.int64)
+    out = np.zeros(n * NUMBERS, np.uint64)
+    np.bitwise_xor.at(out, flat, np.uint64(1) << (value >> np.uint64(8) & np.uint64(63)))
+    return out.reshape(n, NUMBERS)
 
 
 def _pack(key: np.ndarray, doc: np.ndarray) -> bytes:
@@ -234,8 +234,8 @@ def sift(docs: DataFrame) -> DataFrame:
     def gather(batches):
         def out(kind, a, b, sketch=None, docs=None):
             k = pa.array(np.full(len(a), kind, np.int32))
-            sketches = [pa.array(sketch[:, i].view(np.int64)) if sketch is not None else pa.nulls(len(a), pa.int64()) for i in range(4)]
-            return pa.record_batch([k, a if isinstance(a, pa.Array) else pa.array(a), pa.array(b), *sketches, docs if docs is not None else pa.nulls(len(a), pa.list_(pa.int64()))], ["kind", "a", "b", "s0", "s1", "s2", "s3", "docs"])
+            sketches = [pa.array(sketch[:, i].view(np.int64)) if sketch is not None else pa.nulls(len(a), pa.int64()) for i in range(NUMBERS)]
+            return pa.record_batch([k, a if isinstance(a, pa.Array) else pa.array(a), pa.array(b), *sketches, docs if docs is not None else pa.nulls(len(a), pa.list_(pa.int64()))], ["kind", "a", "b", *SKETCH, "docs"])
 
         def keyed(low, bucket):
             return mix(low + np.asarray(bucket, np.uint64)).view(np.int64)
@@ -276,7 +276,7 @@ def sift(docs: DataFrame) -> DataFrame:
                     held.append(a)
                 elif k == INFO:
                     ids = pa.array(np.frombuffer(a, np.int64), mask=~np.frombuffer(d, bool))
-                    yield out(INFO, ids, np.frombuffer(b, np.int64), np.frombuffer(c, np.uint64).reshape(-1, 4))
+                    yield out(INFO, ids, np.frombuffer(b, np.int64), np.frombuffer(c, np.uint64).reshape(-1, NUMBERS))
                 elif k == WIDE:
                     key = np.frombuffer(a, np.uint64)
                     home = np.minimum(key // np.uint64((1 << 64) // n_buckets), np.uint64(n_buckets - 1))
@@ -289,7 +289,7 @@ def sift(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(split, "bucket int, a binary, b binary, c binary, d binary")
     salt = F.when(F.col("bucket") < 0, F.xxhash64("a")).otherwise(F.col("bucket").cast("long"))
     dealt = rows.withColumn("salt", salt).repartition(parts(spark), "salt").sortWithinPartitions("bucket").drop("salt")
-    out = stored(dealt.mapInArrow(gather, "kind int, a long, b long, s0 long, s1 long, s2 long, s3 long, docs array<long>"), "sifted")
+    out = stored(dealt.mapInArrow(gather, f"kind int, a long, b long, {', '.join(f'{s} long' for s in SKETCH)}, docs array<long>"), "sifted")
     release(spark)
     return out
 
@@ -331,13 +331,15 @@ def verified(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
     return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def plausible(pairs: DataFrame, info: DataFrame) -> DataFrame:
-    """Pairs (a, b) with a < b that sizes and the Hamming distance of the short sketches allow."""
-    one = info.select(F.col("a").alias("a"), F.col("b").alias("na"), *(F.col(f"s{k}").alias(f"x{k}") for k in range(4)))
-    two = info.select(F.col("a").alias("b"), F.col("b").alias("nb"), *(F.col(f"s{k}").alias(f"y{k}") for k in range(4)))
-    far = sum(F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(4))
-    fine = (F.least("na", "nb") * 5 >= F.greatest("na", "nb") * 4) & (far * 9 <= F.col("na") + F.col("nb"))
-    return pairs.join(one, "a").join(two, "b").where(fine).select("a", "b").distinct()
+def similar(one: str, two: str):
+    """What set sizes and the Hamming distance of short sketches allow, of columns with these prefixes."""
+    far = sum(F.bit_count(F.col(one + s).bitwiseXOR(F.col(two + s))) for s in SKETCH)
+    n, m = F.col(one + "n"), F.col(two + "n")
+    return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (far * 9 <= n + m)
+
+
+def renamed(rows: DataFrame, prefix: str) -> DataFrame:
+    return rows.select("key", *(F.col(c).alias(prefix + c) for c in rows.columns if c != "key"))
 
 
 def link(docs: DataFrame) -> DataFrame:
@@ -348,30 +350,33 @@ def link(docs: DataFrame) -> DataFrame:
     info = rows.where("a IS NOT NULL")
     groups = sifted.where(F.col("kind") == GROUP).groupBy("a").agg(F.any_value("docs").alias("docs"))
     wide = sifted.where(F.col("kind") == WIDE).select(F.col("a").alias("key"), F.col("b").alias("doc")).distinct()
-    mates = stored(groups.select(F.col("a").alias("key"), F.explode("docs").alias("doc")).unionByName(wide), "mates")
+    members = stored(groups.select(F.col("a").alias("key"), F.explode("docs").alias("doc")).unionByName(wide), "members")
+    crowd = members.groupBy("key").agg(F.count("*").alias("weight"))
+    weight = members.join(crowd, "key").groupBy("doc").agg(F.sum("weight").alias("weight"))
+    one = info.select(F.col("a").alias("doc"), F.col("b").alias("n"), *SKETCH).dropDuplicates(["doc"]).join(weight, "doc")
+    mates = stored(members.join(one, "doc"), "mates")
     links = sifted.where(F.col("kind") == EDGE).select("a", "b")
-    hashes = sets(docs, stored(mates.select("doc").distinct(), "touched"))
+    hashes = sets(docs, stored(one.select("doc"), "touched"))
     tested, named, turn = None, mates.withColumn("own", F.col("doc")), 0
     while True:
         opened = named.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("n")).where("lo < hi")
         open_keys = stored(opened.select("key", "n"), "open")
         size = open_keys.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
+        full = True
         if size["rows"]:
             grouped = named.join(open_keys.select("key"), "key")
             full = turn == STAR_ROUNDS or size["pairs"] <= FULL_PAIRS * size["rows"] + 100_000
             if full:
-                other = grouped.select("key", F.col("doc").alias("d2"), F.col("own").alias("o2"))
-                pairs = grouped.join(other, "key").where("doc < d2 AND own <> o2").select(F.col("doc").alias("a"), F.col("d2").alias("b"))
-            else:
-                order = F.struct((F.xxhash64("doc", F.lit(turn)) if turn else F.col("doc")).alias("rank"), "doc")
-                centre = grouped.groupBy("key").agg(F.min(order).getField("doc").alias("c"), F.min_by("own", order).alias("oc"))
-                pairs = grouped.join(centre, "key").where("own <> oc").select(F.least("doc", "c").alias("a"), F.greatest("doc", "c").alias("b"))
-            likely = plausible(pairs.distinct(), info)
+                paired = renamed(grouped, "l_").join(renamed(grouped, "r_"), "key")
+            else:  # one document of each group: the one that shares most, then others by chance
+                order = F.struct(F.xxhash64("doc", F.lit(turn)).alias("rank") if turn else (-F.col("weight")).alias("rank"), "doc")
+                centre = grouped.groupBy("key").agg(F.min_by(F.struct(*[c for c in grouped.columns if c != "key"]), order).alias("c")).select("key", "c.*")
+                paired = renamed(grouped, "l_").join(renamed(centre, "r_"), "key")
+            apart = (F.col("l_own") != F.col("r_own")) & (F.col("l_doc") < F.col("r_doc") if full else F.lit(True))
+            likely = paired.where(apart & similar("l_", "r_")).select(F.least("l_doc", "r_doc").alias("a"), F.greatest("l_doc", "r_doc").alias("b")).distinct()
             fresh = stored(likely if tested is None else likely.join(tested, ["a", "b"], "left_anti"), "pairs")
             links = links.unionByName(stored(verified(fresh, hashes), "links"))
             tested = fresh if tested is None else tested.unionByName(fresh)
-        else:
-            full = True
         labels = components(links)
         if full:
             break
