@@ -110,7 +110,8 @@ def exchange(source: DataFrame, records, collect, schema: str, firsts, share: in
     are earlier ones where asked for, or any. Documents of one number after division by ``share`` are of one age.
     """
     spark = source.sparkSession
-    n = 4 * parts(spark)
+    homes = parts(spark)
+    n = 4 * homes
     step = np.uint64((1 << 64) // n)
     asks = np.array(firsts)
 
@@ -127,7 +128,7 @@ def exchange(source: DataFrame, records, collect, schema: str, firsts, share: in
             i = np.flatnonzero(settled)
             if len(i):
                 # answered here: marked by a negative bucket
-                for b, blob in zip(*_answers(doc[i], place[i], doc[first[i]], place[first[i]], n), strict=True):
+                for b, blob in zip(*_answers(doc[i], place[i], doc[first[i]], place[first[i]], homes), strict=True):
                     yield _rows([-1 - b], [blob])
             go = np.where(asking, ~later, ~several | (first == np.arange(len(first))))
             mark = go & several & ~asking
@@ -155,10 +156,18 @@ def exchange(source: DataFrame, records, collect, schema: str, firsts, share: in
             first, several = _groups(rank, doc, share)
             reply = np.where(asks[place & 3], several & (doc // share > doc[first] // share), several & ~marked)
             i = np.flatnonzero(reply)
-            if len(i):
-                at, blobs = _answers(doc[i], place[i], doc[first[i]], place[first[i]], n)
+            told.append((doc[i], place[i], doc[first[i]], place[first[i]]))
+            if sum(len(x[0]) for x in told) >= RECORDS:
+                yield from tell()
+
+        def tell():
+            columns = [np.concatenate(c) for c in zip(*told, strict=True)]
+            told.clear()
+            if len(columns[0]):
+                at, blobs = _answers(*columns, homes)
                 yield _rows(at.tolist(), blobs)
 
+        told: list[tuple] = []
         bucket, held = None, []
         for batch in batches:
             for k, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -172,6 +181,8 @@ def exchange(source: DataFrame, records, collect, schema: str, firsts, share: in
                 held.append(blob)
         if held:
             yield from answer(held)
+        if told:
+            yield from tell()
 
     def gather(batches):
         def rows(held):
