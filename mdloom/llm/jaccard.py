@@ -387,5 +387,11 @@ def link(docs: DataFrame) -> DataFrame:
     return rows.join(named, "a", "left").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.coalesce("label", "a").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """``docs`` without the documents that have a smaller one in their component."""
+    others = stored(link(docs).where("component_id < doc_id").select("doc_id").distinct(), "near-copies")
+    return docs.join(F.broadcast(others) if others.count() <= BROADCAST_IDS else others, "doc_id", "left_anti").select(docs.columns)
+
+
 def op2_parity_sketch_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"))

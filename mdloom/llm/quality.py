@@ -19,10 +19,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import portions, stored, table, utf8
+from .common import discard, portions, stored, table, utf8
 
 THRESHOLD = 0.7
 SHRINK_DIAGONAL = 0.1
@@ -198,14 +198,39 @@ def apply(model: Model, xs: DataFrame) -> DataFrame:
     return xs.mapInArrow(run, "doc_id long, score double")
 
 
+def held_out() -> Column:
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of all labelled rows that are not held out, and the features of every document."""
+    xs = stored(features(docs), "quality-features")
+    known = labels.where(F.col("quality").isin(0, 1)).where(~held_out()).select("doc_id", "quality")
+    return fit(xs.join(known, "doc_id")), xs
+
+
+def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose score reaches the threshold."""
+    model, xs = train(docs, labels)
+    discard(docs.sparkSession, xs)
+    column = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = utf8(batch.column(column))
+            for lo, hi in portions(offsets, SUB_BATCH):
+                own = offsets[lo : hi + 1]
+                score = model.score(statistics(counts(data[own[0] : own[-1]], own - own[0])))
+                yield batch.slice(lo, hi - lo).filter(pa.array(score >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every document; held-out rows teach nothing."""
-    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
-    xs = stored(features(docs), "quality-features")
-    known = labels.where(F.col("quality").isin(0, 1)).where(~F.coalesce(held_out, F.lit(False))).select("doc_id", "quality")
-    model = fit(xs.join(known, "doc_id"))
+    model, xs = train(docs, labels)
     return apply(model, xs).select(
-        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")
     )
 
 

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Hasher, mix, parts, portions, ranges, release, stored, table, utf8
 
@@ -393,6 +394,39 @@ def kept_bytes(raw: bytes, spans: list[dict]) -> bytes:
     return b"".join(out)
 
 
+def whole_characters(raw: bytes, spans: list[dict]) -> list[dict]:
+    """Spans narrowed so that no character loses a part of its bytes."""
+    out = []
+    for s in spans:
+        a, b = s["start"], s["stop"]
+        while a < b and raw[a] & 0xC0 == 0x80:
+            a += 1
+        while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
+            b -= 1
+        if b > a:
+            out.append({"start": a, "stop": b})
+    return out
+
+
+def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """``docs`` with repeated bytes removed, whole characters only, and n_removed."""
+    names = docs.columns
+    column = names.index("text")
+
+    def run(batches):
+        for batch in batches:
+            texts, removed = [], []
+            for text, spans in zip(batch.column(column).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+                raw = (text or "").encode()
+                spans = whole_characters(raw, spans)
+                texts.append(kept_bytes(raw, spans).decode() if spans else text)
+                removed.append(sum(s["stop"] - s["start"] for s in spans))
+            columns = [pa.array(texts, pa.string()) if i == column else batch.column(i) for i in range(len(names))]
+            yield pa.record_batch([*columns, pa.array(removed, pa.int64())], [*names, "n_removed"])
+
+    return removals(docs, length).mapInArrow(run, StructType([*docs.schema.fields, StructField("n_removed", LongType())]))
+
+
 def digest(cut: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of ``removals``."""
 
