@@ -36,8 +36,8 @@ SPREAD = 1.4
 SPARE = 0.3
 SUB_BATCH = 2 << 20
 BROADCAST_IDS = 1_000_000
-FULL_PAIRS = 2
-STAR_ROUNDS = 4
+FULL_PAIRS = 20
+STAR_ROUNDS = 3
 
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
@@ -45,6 +45,7 @@ EDGE, INFO, WIDE, GROUP = -1, -2, -3, -4
 CROWD = 64
 NUMBERS = 16
 SKETCH = [f"s{k}" for k in range(NUMBERS)]
+FIRST = SKETCH[:4]
 LARGE = 4096
 
 
@@ -326,14 +327,16 @@ def verified(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
                 keep.append(both > 0 and both * 100 >= (len(x) + len(y) - both) * 80)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
+    ends = stored(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "ends")
+    hashes = hashes.join(F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends, "doc", "left_semi")
     right = pairs.join(hashes.select(F.col("doc").alias("b"), F.col("hashes").alias("y")), "b")
     full = right.join(hashes.select(F.col("doc").alias("a"), F.col("hashes").alias("x")), "a")
     return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def similar(one: str, two: str):
-    """What set sizes and the Hamming distance of short sketches allow, of columns with these prefixes."""
-    far = sum(F.bit_count(F.col(one + s).bitwiseXOR(F.col(two + s))) for s in SKETCH)
+def similar(one: str, two: str, sketch: list[str]):
+    """What set sizes and the Hamming distance of sketches allow, of columns with these prefixes."""
+    far = sum(F.bit_count(F.col(one + s).bitwiseXOR(F.col(two + s))) for s in sketch)
     n, m = F.col(one + "n"), F.col(two + "n")
     return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (far * 9 <= n + m)
 
@@ -353,8 +356,10 @@ def link(docs: DataFrame) -> DataFrame:
     members = stored(groups.select(F.col("a").alias("key"), F.explode("docs").alias("doc")).unionByName(wide), "members")
     crowd = members.groupBy("key").agg(F.count("*").alias("weight"))
     weight = members.join(crowd, "key").groupBy("doc").agg(F.sum("weight").alias("weight"))
-    one = info.select(F.col("a").alias("doc"), F.col("b").alias("n"), *SKETCH).dropDuplicates(["doc"]).join(weight, "doc")
-    mates = stored(members.join(one, "doc"), "mates")
+    one = stored(info.select(F.col("a").alias("doc"), F.col("b").alias("n"), *SKETCH).join(weight, "doc").dropDuplicates(["doc"]), "sketches")
+    mates = stored(members.join(one.select("doc", "n", "weight", *FIRST), "doc"), "mates")
+    discard(spark, members)
+    release(spark)
     links = sifted.where(F.col("kind") == EDGE).select("a", "b")
     hashes = sets(docs, stored(one.select("doc"), "touched"))
     tested, named, turn = None, mates.withColumn("own", F.col("doc")), 0
@@ -365,7 +370,7 @@ def link(docs: DataFrame) -> DataFrame:
         full = True
         if size["rows"]:
             grouped = named.join(open_keys.select("key"), "key")
-            full = turn == STAR_ROUNDS or size["pairs"] <= FULL_PAIRS * size["rows"] + 100_000
+            full = turn == STAR_ROUNDS or size["pairs"] <= FULL_PAIRS * size["rows"] + 1_000_000
             if full:
                 paired = renamed(grouped, "l_").join(renamed(grouped, "r_"), "key")
             else:  # one document of each group: the one that shares most, then others by chance
@@ -373,16 +378,20 @@ def link(docs: DataFrame) -> DataFrame:
                 centre = grouped.groupBy("key").agg(F.min_by(F.struct(*[c for c in grouped.columns if c != "key"]), order).alias("c")).select("key", "c.*")
                 paired = renamed(grouped, "l_").join(renamed(centre, "r_"), "key")
             apart = (F.col("l_own") != F.col("r_own")) & (F.col("l_doc") < F.col("r_doc") if full else F.lit(True))
-            likely = paired.where(apart & similar("l_", "r_")).select(F.least("l_doc", "r_doc").alias("a"), F.greatest("l_doc", "r_doc").alias("b")).distinct()
+            near = paired.where(apart & similar("l_", "r_", FIRST)).select(F.least("l_doc", "r_doc").alias("a"), F.greatest("l_doc", "r_doc").alias("b")).distinct()
+            ends = [one.select(F.col("doc").alias(key), *(F.col(c).alias(f"{key}_{c}") for c in ("n", *SKETCH))) for key in ("a", "b")]
+            likely = near.join(ends[0], "a").join(ends[1], "b").where(similar("a_", "b_", SKETCH)).select("a", "b")
             fresh = stored(likely if tested is None else likely.join(tested, ["a", "b"], "left_anti"), "pairs")
             links = links.unionByName(stored(verified(fresh, hashes), "links"))
             tested = fresh if tested is None else tested.unionByName(fresh)
         labels = components(links)
+        discard(spark, open_keys)
+        release(spark)
         if full:
             break
         named = mates.join(labels.withColumnRenamed("label", "own"), "doc", "left").withColumn("own", F.coalesce("own", "doc"))
         turn += 1
-    discard(spark, hashes)
+    discard(spark, hashes, mates, one)
     named = labels.select(F.col("doc").alias("a"), "label")
     return rows.join(named, "a", "left").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.coalesce("label", "a").alias("component_id"))
 
