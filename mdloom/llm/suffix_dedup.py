@@ -32,9 +32,9 @@ from pyspark.sql.types import LongType, StructField, StructType
 from .common import Hasher, mix, parts, portions, ranges, release, stored, table, utf8
 
 LENGTH = 50
-SUB_BATCH = 1 << 20
+SUB_BATCH = 1 << 19
 BROADCAST_BYTES = 48 << 20
-RECORDS = 1 << 20
+RECORDS = 1 << 18
 
 Records = tuple[np.ndarray, np.ndarray, np.ndarray]  # rank, document, position
 
