@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .common import discard, portions, stored, table, utf8
 
@@ -28,7 +29,7 @@ THRESHOLD = 0.7
 SHRINK_DIAGONAL = 0.1
 SHRINK_POOLED = 0.2
 TEMPER = 0.5
-SUB_BATCH = 4 << 20
+SUB_BATCH = 1 << 20
 
 # Byte classes; a byte belongs to the first that lists it. Bytes of non-ASCII characters count as lower case.
 CLASSES = {
@@ -213,17 +214,17 @@ def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose score reaches the threshold."""
     model, xs = train(docs, labels)
     discard(docs.sparkSession, xs)
-    column = docs.columns.index("text")
 
-    def run(batches):
-        for batch in batches:
-            data, offsets = utf8(batch.column(column))
-            for lo, hi in portions(offsets, SUB_BATCH):
-                own = offsets[lo : hi + 1]
-                score = model.score(statistics(counts(data[own[0] : own[-1]], own - own[0])))
-                yield batch.slice(lo, hi - lo).filter(pa.array(score >= THRESHOLD))
+    @F.arrow_udf(DoubleType())
+    def score(texts: pa.Array) -> pa.Array:
+        data, offsets = utf8(texts)
+        out = [np.zeros(0)]
+        for lo, hi in portions(offsets, SUB_BATCH):
+            own = offsets[lo : hi + 1]
+            out.append(model.score(statistics(counts(data[own[0] : own[-1]], own - own[0]))))
+        return pa.array(np.concatenate(out))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(score("text") >= THRESHOLD)  # texts go to Python, only scores come back
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
