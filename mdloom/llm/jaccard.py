@@ -34,7 +34,8 @@ from .common import BASE, Hasher, components, discard, mix, parts, portions, rel
 WORDS = 5
 SPREAD = 1.4
 SPARE = 0.3
-SUB_BATCH = 2 << 20
+SUB_BATCH = 1 << 20
+BATCH = 8 << 20
 BROADCAST_IDS = 1_000_000
 FULL_PAIRS = 20
 STAR_ROUNDS = 3
@@ -176,57 +177,61 @@ def sift(docs: DataFrame) -> DataFrame:
 
     def split(batches):
         hasher = Hasher()
-        for batch in batches:
-            ids = batch.column(0)
-            there = ~np.asarray(ids.is_null())
-            doc_id = np.asarray(ids.fill_null(0))
-            data, offsets = utf8(batch.column(1))
-            all_docs, all_keys, sizes, sums, sketches = [], [], [], [], []
-            for lo, hi in portions(offsets, SUB_BATCH):
-                own = offsets[lo : hi + 1]
-                owner, value = shingles(data[own[0] : own[-1]], own - own[0], hasher)
-                n = hi - lo
-                size = np.bincount(owner, minlength=n)
-                total = np.zeros((n, 2), np.uint64)
-                np.add.at(total[:, 0], owner, value)
-                np.bitwise_xor.at(total[:, 1], owner, mix(value + BASE))
-                sizes.append(size)
-                sums.append(total)
-                sketches.append(short_sketch(owner, value, n))
-                send = there[lo:hi][owner]
-                doc, key = block_keys(owner[send], value[send], size)
-                all_docs.append(doc + lo)
-                all_keys.append(key)
-            size, total = np.concatenate(sizes), np.concatenate(sums)
-            row = [INFO], [np.where(there, doc_id, 0).tobytes()], [size.astype(np.int64).tobytes()], [np.concatenate(sketches).tobytes()], [there.tobytes()]
-            yield _row(*row)
-            # documents with equal sets: only the first of the batch goes on
-            order = np.lexsort((doc_id, total[:, 1], total[:, 0], size))
-            order = order[there[order] & (size[order] > 0)]
-            head = np.r_[True, (np.diff(size[order]) != 0) | (total[order[1:]] != total[order[:-1]]).any(1)][: len(order)]
-            of = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))] if len(order) else order
-            copy = of != order
-            if copy.any():
-                yield _row([EDGE], [doc_id[of[copy]].tobytes()], [doc_id[order[copy]].tobytes()])
-            first = np.zeros(len(size), bool)
-            first[of] = True
-            doc, key = np.concatenate(all_docs), np.concatenate(all_keys)
-            keep = first[doc]
-            doc, key = doc_id[doc[keep]], key[keep]
-            order = np.lexsort((doc, key))
-            doc, key = doc[order], key[order]
-            head = np.r_[True, key[1:] != key[:-1]][: len(key)]
-            start = np.flatnonzero(head)
-            crowd = np.repeat(np.diff(np.r_[start, len(key)]) > CROWD, np.diff(np.r_[start, len(key)])) if len(key) else head
-            if crowd.any():
-                yield _row([WIDE], [key[crowd].tobytes()], [doc[crowd].tobytes()])
-            # a crowd sends its first document, marked by its sign
-            sent = np.where(crowd, ~doc, doc)[~crowd | head]
-            key = key[~crowd | head]
-            cut = np.searchsorted(key, np.arange(1, n_buckets, dtype=np.uint64) * np.uint64((1 << 64) // n_buckets))
-            edges = np.r_[0, cut, len(key)]
-            full = np.flatnonzero(np.diff(edges))
-            yield _row(full.tolist(), [_pack(key[edges[b] : edges[b + 1]], sent[edges[b] : edges[b + 1]]) for b in full], [None] * len(full))
+        for whole in batches:
+            for lo, hi in portions(utf8(whole.column(1))[1], BATCH):
+                yield from one_batch(whole.slice(lo, hi - lo), hasher)
+
+    def one_batch(batch, hasher):
+        ids = batch.column(0)
+        there = ~np.asarray(ids.is_null())
+        doc_id = np.asarray(ids.fill_null(0))
+        data, offsets = utf8(batch.column(1))
+        all_docs, all_keys, sizes, sums, sketches = [], [], [], [], []
+        for lo, hi in portions(offsets, SUB_BATCH):
+            own = offsets[lo : hi + 1]
+            owner, value = shingles(data[own[0] : own[-1]], own - own[0], hasher)
+            n = hi - lo
+            size = np.bincount(owner, minlength=n)
+            total = np.zeros((n, 2), np.uint64)
+            np.add.at(total[:, 0], owner, value)
+            np.bitwise_xor.at(total[:, 1], owner, mix(value + BASE))
+            sizes.append(size)
+            sums.append(total)
+            sketches.append(short_sketch(owner, value, n))
+            send = there[lo:hi][owner]
+            doc, key = block_keys(owner[send], value[send], size)
+            all_docs.append(doc + lo)
+            all_keys.append(key)
+        size, total = np.concatenate(sizes), np.concatenate(sums)
+        row = [INFO], [np.where(there, doc_id, 0).tobytes()], [size.astype(np.int64).tobytes()], [np.concatenate(sketches).tobytes()], [there.tobytes()]
+        yield _row(*row)
+        # documents with equal sets: only the first of the batch goes on
+        order = np.lexsort((doc_id, total[:, 1], total[:, 0], size))
+        order = order[there[order] & (size[order] > 0)]
+        head = np.r_[True, (np.diff(size[order]) != 0) | (total[order[1:]] != total[order[:-1]]).any(1)][: len(order)]
+        of = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))] if len(order) else order
+        copy = of != order
+        if copy.any():
+            yield _row([EDGE], [doc_id[of[copy]].tobytes()], [doc_id[order[copy]].tobytes()])
+        first = np.zeros(len(size), bool)
+        first[of] = True
+        doc, key = np.concatenate(all_docs), np.concatenate(all_keys)
+        keep = first[doc]
+        doc, key = doc_id[doc[keep]], key[keep]
+        order = np.lexsort((doc, key))
+        doc, key = doc[order], key[order]
+        head = np.r_[True, key[1:] != key[:-1]][: len(key)]
+        start = np.flatnonzero(head)
+        crowd = np.repeat(np.diff(np.r_[start, len(key)]) > CROWD, np.diff(np.r_[start, len(key)])) if len(key) else head
+        if crowd.any():
+            yield _row([WIDE], [key[crowd].tobytes()], [doc[crowd].tobytes()])
+        # a crowd sends its first document, marked by its sign
+        sent = np.where(crowd, ~doc, doc)[~crowd | head]
+        key = key[~crowd | head]
+        cut = np.searchsorted(key, np.arange(1, n_buckets, dtype=np.uint64) * np.uint64((1 << 64) // n_buckets))
+        edges = np.r_[0, cut, len(key)]
+        full = np.flatnonzero(np.diff(edges))
+        yield _row(full.tolist(), [_pack(key[edges[b] : edges[b + 1]], sent[edges[b] : edges[b + 1]]) for b in full], [None] * len(full))
 
     def _row(bucket, a, b, c=None, d=None):
         n = len(bucket)
