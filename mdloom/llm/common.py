@@ -43,6 +43,17 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def masked(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` with every column but doc_id and text under a name that clashes with none of ours."""
+    names = [c if c in ("doc_id", "text") else f"_column{i}" for i, c in enumerate(docs.columns)]
+    return docs.toDF(*names), names
+
+
+def unmasked(out: DataFrame, docs: DataFrame, names: list[str], added: list[str]) -> DataFrame:
+    """The columns of ``docs`` under their names again, and ``added``; an input column of an added name gives way."""
+    return out.select(*(F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c not in added), *added)
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

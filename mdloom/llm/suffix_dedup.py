@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Hasher, mix, parts, portions, ranges, release, stored, table, utf8
+from .common import Hasher, masked, mix, parts, portions, ranges, release, stored, table, unmasked, utf8
 
 LENGTH = 50
 SUB_BATCH = 1 << 19
@@ -356,6 +356,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, share: int = 1) -> DataFrame
 
 def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """Every row of ``docs`` with ``spans``: (start, stop) byte ranges that repeat an earlier document, in order."""
+    given_docs = docs
+    docs, masks = masked(docs)
     names, given = docs.columns, docs.dtypes
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     share = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_distinct(text_hash).alias("n")).agg(F.max("n")).first()[0] or 1
@@ -382,7 +384,8 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     joined = _joined(docs, found, "left", "_node").select(*(docs[c] for c in names), "known", "windows")
     schema = ", ".join(f"`{c}` {t}" for c, t in given)
-    return joined.mapInArrow(run, f"{schema}, spans array<struct<start: long, stop: long>>")
+    out = joined.mapInArrow(run, f"{schema}, spans array<struct<start: long, stop: long>>")
+    return unmasked(out, given_docs, masks, ["spans"])
 
 
 def kept_bytes(raw: bytes, spans: list[dict]) -> bytes:
@@ -410,7 +413,8 @@ def whole_characters(raw: bytes, spans: list[dict]) -> list[dict]:
 
 def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated bytes removed, whole characters only, and n_removed."""
-    names = docs.columns
+    cut = removals(docs, length)
+    names = cut.columns[:-1]
     column = names.index("text")
 
     def run(batches):
@@ -424,7 +428,7 @@ def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if i == column else batch.column(i) for i in range(len(names))]
             yield pa.record_batch([*columns, pa.array(removed, pa.int64())], [*names, "n_removed"])
 
-    return removals(docs, length).mapInArrow(run, StructType([*docs.schema.fields, StructField("n_removed", LongType())]))
+    return cut.mapInArrow(run, StructType([*cut.schema.fields[:-1], StructField("n_removed", LongType())]))
 
 
 def digest(cut: DataFrame) -> DataFrame:
