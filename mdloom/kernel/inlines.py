@@ -8,11 +8,15 @@ from . import grammar as g
 from .constructs import Constructs
 from .tree import Joined, Node, Segment
 
-SPECIAL = re.compile(rb"[\n\\`$\{<_*~\[!\]hHwW@A-Za-z0-9+\-.]")
+MARKS = rb"[\n\\`$\{<_*~\[!\]]"
+# Where an address may start: a scheme or www. that no letter precedes, or the run of characters before an @.
+WEB = rb"|(?<![A-Za-z])(?:[hH][tT][tT][pP][sS]?://|[wW][wW][wW]\.)"
+MAIL = rb"|(?<![A-Za-z0-9+\-._/])[A-Za-z0-9+\-.][A-Za-z0-9+\-._]*@"
+SPECIAL = {(web, mail): re.compile(MARKS + WEB * web + MAIL * mail) for web in (False, True) for mail in (False, True)}
+WEB_HINT = re.compile(rb"://|[wW]\.")
 PLAIN = re.compile(rb"[^\n\\`$\{<_*~\[!\]@:w]*\Z", re.I)
-ATEXT_RUN = re.compile(rb"[A-Za-z0-9+\-._]+")
-LETTERS = re.compile(rb"[A-Za-z]+")
 EMAIL = re.compile(rb"[A-Za-z0-9+\-._]+@((?:[A-Za-z0-9_\-]|\.(?=[A-Za-z0-9]))+)")
+BACKTICKS, DOLLARS = re.compile(rb"`+"), re.compile(rb"\$+")
 HTTP = re.compile(rb"https?://", re.I)
 WWW = re.compile(rb"www\.(?=.)", re.I | re.S)
 TRAILING = frozenset("!\"'),*.:;?_~")
@@ -289,7 +293,7 @@ class Inlines:
         dead: dict[bytes, bool] = {}
         wiki_dead = 0
         literals = on.gfm_autolink_literal
-        special = SPECIAL if literals else re.compile(rb"[\n\\`$\{<_*~\[!\]]")
+        special = SPECIAL[bool(literals and WEB_HINT.search(t)), literals and last_at >= 0]
         while True:
             m = special.search(t, i)
             if not m:
@@ -305,7 +309,7 @@ class Inlines:
                 else:
                     i += 2 if g.ESCAPE.match(t, i) else 1
             elif c == b"`":
-                run = len(re.compile(rb"`+").match(t, i)[0])
+                run = len(BACKTICKS.match(t, i)[0])
                 close = self.closing(i + run, b"`", run)
                 if close is None:
                     i += run
@@ -317,7 +321,7 @@ class Inlines:
                 self.add("CodeSpan", i, close + run, (a, b))
                 i = close + run
             elif c == b"$" and on.math_text:
-                run = len(re.compile(rb"\$+").match(t, i)[0])
+                run = len(DOLLARS.match(t, i)[0])
                 close = self.closing(i + run, b"$", run) if run >= (1 if on.math_text_single_dollar else 2) else None
                 if close is None:
                     i += run
@@ -359,17 +363,9 @@ class Inlines:
                 i = self.open(i, True) if t[i + 1 : i + 2] == b"[" else i + 1
             elif c == b"]":
                 i = self.close(i)
-            elif literals and not self.brackets and c not in b"~@{$":
-                end = literal_end(t, i, char_before(t, i), last_at > i)
-                if end:
-                    self.add("AutolinkLiteral", i, end)
-                    i = end
-                else:
-                    letters = LETTERS.match(t, i)
-                    i = letters.end() if letters else i + 1
-                    # a letter run is tried once; so is the word it runs on into
-                    if letters and i < n and re.match(rb"[A-Za-z0-9+\-.]", t[i : i + 1]):
-                        i += 1
+            elif literals and not self.brackets and c not in b"~{$" and (end := literal_end(t, i, char_before(t, i), last_at > i)):
+                self.add("AutolinkLiteral", i, end)
+                i = end
             else:
                 i += 1
         self.text(len(t.rstrip(g.WS)))
