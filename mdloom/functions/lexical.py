@@ -110,6 +110,22 @@ def item_interrupts(line: Column) -> Column:
     return t.rlike(r"\A(?:[-*+]|0{0,8}1[.)])[ \t]+[^ \t]")
 
 
+def is_container(line: Column) -> Column:
+    """Whether a line opens a container even inside a paragraph: a quote, a footnote definition, or an item that interrupts."""
+    t = flow_tail(line)
+    return F.coalesce(t.startswith(">") | t.rlike(FOOTNOTE) | (item_interrupts(line) & ~t.rlike(THEMATIC)), F.lit(False))
+
+
+def run_length(text: Column, marker: str) -> Column:
+    """How often a character stands at the start of a text."""
+    return F.length(F.regexp_extract(text, rf"\A\Q{marker}\E*", 0))
+
+
+def escapes_next(text: Column) -> Column:
+    """Whether a text starts with a backslash before ASCII punctuation."""
+    return text.rlike(r"\A\\[!-/:-@\[-`{-~]")
+
+
 def ordered_number(marker: Column) -> Column:
     return F.regexp_extract(marker, r"\A([0-9]+)[.)]*\z", 1).try_cast("bigint")
 

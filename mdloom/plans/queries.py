@@ -235,6 +235,16 @@ def lex_item_interrupts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.table(spark, sf_dir, "part").select("p_partkey", lx.item_interrupts(line).alias("interrupts"))
 
 
+@query("SELECT p_partkey, p_partkey % 5 IN (0, 2) AS container, CAST(p_partkey % 7 AS INTEGER) AS run, p_partkey % 2 = 0 AS escapes FROM part")
+def lex_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, runs of a marker and escapes."""
+    k = F.col("p_partkey")
+    line = F.get(F.array(*map(F.lit, ("> a", "2. a", "[^a]: b", "# a", "- - -"))), (k % 5).cast("int"))
+    run = F.concat(F.repeat(F.lit("~"), (k % 7).cast("int")), F.lit(" ~"))
+    escape = F.when(k % 2 == 0, "\\*").otherwise("\\a")
+    return corpus.table(spark, sf_dir, "part").select("p_partkey", lx.is_container(line).alias("container"), lx.run_length(run, "~").alias("run"), lx.escapes_next(escape).alias("escapes"))
+
+
 # ---- inlines, references
 
 
