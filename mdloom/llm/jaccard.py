@@ -37,7 +37,7 @@ SPARE = 0.3
 SUB_BATCH = 1 << 20
 BATCH = 8 << 20
 BROADCAST_IDS = 1_000_000
-FULL_PAIRS = 20
+FULL_PAIRS = 256
 STAR_ROUNDS = 3
 
 BLANK = np.zeros(256, bool)
@@ -367,7 +367,7 @@ def link(docs: DataFrame) -> DataFrame:
     release(spark)
     links = sifted.where(F.col("kind") == EDGE).select("a", "b")
     hashes = sets(docs, stored(one.select("doc"), "touched"))
-    tested, named, turn = None, mates.withColumn("own", F.col("doc")), 0
+    labels, tested, named, turn = None, None, mates.withColumn("own", F.col("doc")), 0
     while True:
         opened = named.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("n")).where("lo < hi")
         open_keys = stored(opened.select("key", "n"), "open")
@@ -375,7 +375,7 @@ def link(docs: DataFrame) -> DataFrame:
         full = True
         if size["rows"]:
             grouped = named.join(open_keys.select("key"), "key")
-            full = turn == STAR_ROUNDS or size["pairs"] <= FULL_PAIRS * size["rows"] + 1_000_000
+            full = turn == STAR_ROUNDS or turn > 0 and size["pairs"] <= FULL_PAIRS * size["rows"] + 16_000_000
             if full:
                 paired = renamed(grouped, "l_").join(renamed(grouped, "r_"), "key")
             else:  # one document of each group: the one that shares most, then others by chance
@@ -387,9 +387,13 @@ def link(docs: DataFrame) -> DataFrame:
             ends = [one.select(F.col("doc").alias(key), *(F.col(c).alias(f"{key}_{c}") for c in ("n", *SKETCH))) for key in ("a", "b")]
             likely = near.join(ends[0], "a").join(ends[1], "b").where(similar("a_", "b_", SKETCH)).select("a", "b")
             fresh = stored(likely if tested is None else likely.join(tested, ["a", "b"], "left_anti"), "pairs")
-            links = links.unionByName(stored(verified(fresh, hashes), "links"))
+            found = stored(verified(fresh, hashes), "links")
             tested = fresh if tested is None else tested.unionByName(fresh)
-        labels = components(links)
+            if labels is None or found.limit(1).count():
+                links = links.unionByName(found)
+                labels = components(links)
+        if labels is None:
+            labels = components(links)
         discard(spark, open_keys)
         release(spark)
         if full:
