@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Hasher, portions, ranges, table, utf8
+from .common import Hasher, portions, ranges, table, tidy, utf8
 
 KNOWN = 400_000
 SUB_BATCH = 2 << 20
@@ -289,7 +289,7 @@ def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
                 ids, offsets = encode(part.column(1))
                 yield pa.record_batch([part.column(0), lists(ids, offsets), decode(v, ids, offsets)], ["doc_id", "ids", "decoded"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, ids array<int>, decoded string")
 
 
 def op4_merge_rounds_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +46,19 @@ def discard(spark: SparkSession, *frames: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def tidy(run):
+    """``run``, giving freed memory back once a task ends: Python workers live on and share an executor's memory."""
+
+    def whole(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # C libraries other than GNU's
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def masked(docs: DataFrame) -> tuple[DataFrame, list[str]]:
     """``docs`` with every column but doc_id and text under a name that clashes with none of ours."""
     names = [c if c in ("doc_id", "text") else f"_column{i}" for i, c in enumerate(docs.columns)]
@@ -123,8 +139,6 @@ def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished jobs: it does so when the driver collects its garbage."""
-    import gc
-
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 

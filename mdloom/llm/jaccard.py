@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, Hasher, components, discard, mix, parts, portions, release, stored, table, utf8
+from .common import BASE, Hasher, components, discard, mix, parts, portions, release, stored, table, tidy, utf8
 
 WORDS = 5
 SPREAD = 1.4
@@ -292,10 +292,10 @@ def sift(docs: DataFrame) -> DataFrame:
         if held:
             yield from shared(held, bucket)
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(split, "bucket int, a binary, b binary, c binary, d binary")
+    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(split), "bucket int, a binary, b binary, c binary, d binary")
     salt = F.when(F.col("bucket") < 0, F.xxhash64("a")).otherwise(F.col("bucket").cast("long"))
     dealt = rows.withColumn("salt", salt).repartition(parts(spark), "salt").sortWithinPartitions("bucket").drop("salt")
-    out = stored(dealt.mapInArrow(gather, f"kind int, a long, b long, {', '.join(f'{s} long' for s in SKETCH)}, docs array<long>"), "sifted")
+    out = stored(dealt.mapInArrow(tidy(gather), f"kind int, a long, b long, {', '.join(f'{s} long' for s in SKETCH)}, docs array<long>"), "sifted")
     release(spark)
     return out
 
@@ -316,7 +316,7 @@ def sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted, "doc", "left_semi")
-    return stored(texts.mapInArrow(run, "doc long, hashes binary"), "sets")
+    return stored(texts.mapInArrow(tidy(run), "doc long, hashes binary"), "sets")
 
 
 def verified(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -336,7 +336,7 @@ def verified(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
     hashes = hashes.join(F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends, "doc", "left_semi")
     right = pairs.join(hashes.select(F.col("doc").alias("b"), F.col("hashes").alias("y")), "b")
     full = right.join(hashes.select(F.col("doc").alias("a"), F.col("hashes").alias("x")), "a")
-    return full.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return full.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def similar(one: str, two: str, sketch: list[str]):

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import discard, portions, stored, table, utf8
+from .common import discard, portions, stored, table, tidy, utf8
 
 THRESHOLD = 0.7
 SHRINK_DIAGONAL = 0.1
@@ -121,7 +121,7 @@ def features(docs: DataFrame) -> DataFrame:
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1])
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), flat.cast(pa.list_(pa.float64()))], ["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x array<double>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, x array<double>")
 
 
 @dataclass
@@ -159,7 +159,7 @@ def fit(labelled: DataFrame) -> Model:
         for c, (n, s, q) in sums.items():
             yield pa.record_batch([pa.array([c]), pa.array([n]), pa.array([s.tolist()]), pa.array([q.ravel().tolist()])], ["c", "n", "s", "q"])
 
-    sums = labelled.select("x", F.col("quality").cast("long")).mapInArrow(run, "c long, n long, s array<double>, q array<double>")
+    sums = labelled.select("x", F.col("quality").cast("long")).mapInArrow(tidy(run), "c long, n long, s array<double>, q array<double>")
     # one row per class and task, added up on the executors before two rows reach the driver
     added = sums.select("c", "n", F.posexplode(F.concat("s", "q")).alias("i", "v")).groupBy("c", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
     by: dict[int, dict[int, float]] = {0: {}, 1: {}}
@@ -196,7 +196,7 @@ def apply(model: Model, xs: DataFrame) -> DataFrame:
                 x = np.asarray(batch.column(1).flatten()).reshape(n, -1)
                 yield pa.record_batch([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
 
-    return xs.mapInArrow(run, "doc_id long, score double")
+    return xs.mapInArrow(tidy(run), "doc_id long, score double")
 
 
 def held_out() -> Column:

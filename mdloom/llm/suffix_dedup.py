@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Hasher, masked, mix, parts, portions, ranges, release, stored, table, unmasked, utf8
+from .common import Hasher, masked, mix, parts, portions, ranges, release, stored, table, tidy, unmasked, utf8
 
 LENGTH = 50
 SUB_BATCH = 1 << 19
@@ -211,9 +211,9 @@ def exchange(source: DataFrame, records, collect, schema: str, firsts, share: in
 
     kind = "bucket int, blob binary"
     key = F.when(F.col("bucket") < 0, F.xxhash64("blob")).otherwise(F.col("bucket").cast("long"))
-    dealt = source.mapInArrow(split, kind).withColumn("key", key).repartition(parts(spark), "key").sortWithinPartitions("bucket").drop("key")
-    replies = dealt.mapInArrow(meet, kind).repartition(parts(spark), "bucket").sortWithinPartitions("bucket")
-    out = stored(replies.mapInArrow(gather, f"doc_id long, {schema}"), "round")
+    dealt = source.mapInArrow(tidy(split), kind).withColumn("key", key).repartition(parts(spark), "key").sortWithinPartitions("bucket").drop("key")
+    replies = dealt.mapInArrow(tidy(meet), kind).repartition(parts(spark), "bucket").sortWithinPartitions("bucket")
+    out = stored(replies.mapInArrow(tidy(gather), f"doc_id long, {schema}"), "round")
     release(spark)
     return out
 
@@ -384,7 +384,7 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     joined = _joined(docs, found, "left", "_node").select(*(docs[c] for c in names), "known", "windows")
     schema = ", ".join(f"`{c}` {t}" for c, t in given)
-    out = joined.mapInArrow(run, f"{schema}, spans array<struct<start: long, stop: long>>")
+    out = joined.mapInArrow(tidy(run), f"{schema}, spans array<struct<start: long, stop: long>>")
     return unmasked(out, given_docs, masks, ["spans"])
 
 
@@ -428,7 +428,7 @@ def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if i == column else batch.column(i) for i in range(len(names))]
             yield pa.record_batch([*columns, pa.array(removed, pa.int64())], [*names, "n_removed"])
 
-    return cut.mapInArrow(run, StructType([*cut.schema.fields[:-1], StructField("n_removed", LongType())]))
+    return cut.mapInArrow(tidy(run), StructType([*cut.schema.fields[:-1], StructField("n_removed", LongType())]))
 
 
 def digest(cut: DataFrame) -> DataFrame:
@@ -445,7 +445,7 @@ def digest(cut: DataFrame) -> DataFrame:
                 sha.append(hashlib.sha256(kept_bytes(raw, spans)).hexdigest())
             yield pa.record_batch([ids, *(pa.array(x, pa.int64()) for x in (n, removed, count)), pa.array(sha, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return cut.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return cut.select("doc_id", "text", "spans").mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op10_prefix_doubling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

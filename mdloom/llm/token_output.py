@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import discard, parts, stored, table
+from .common import discard, parts, stored, table, tidy
 
 LIMIT = 16
 STEP = 64
@@ -140,7 +140,7 @@ def encoded(docs: DataFrame, path: str, end: int = END) -> DataFrame:
                 blobs = [_squeeze(np.append(flat[a:b], np.uint32(end))) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
                 yield pa.record_batch([part.column(0), pa.array(blobs, pa.binary())], ["doc_id", "ids"])
 
-    return stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, ids binary"), "ids")
+    return stored(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(run), "doc_id long, ids binary"), "ids")
 
 
 def _squeeze(ids: np.ndarray) -> bytes:
@@ -170,7 +170,7 @@ def count_ids(ids: DataFrame) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pa.record_batch([pa.array(used), pa.array(total[used])], ["id", "n"])
 
-    rows = ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = ids.select("ids").mapInArrow(tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     out = np.zeros(int(rows["id"].max()) + 1 if len(rows) else 0, np.int64)
     out[rows["id"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out
@@ -206,7 +206,7 @@ def write(ids: DataFrame, lengths: np.ndarray) -> DataFrame:
 
     tie = F.xxhash64("ids")
     spread = ids.select("doc_id", "ids", tie.alias("tie")).repartitionByRange(parts(ids.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return stored(spread.select("doc_id", "ids").mapInArrow(run, BLOCKS), "huffman-blocks")
+    return stored(spread.select("doc_id", "ids").mapInArrow(tidy(run), BLOCKS), "huffman-blocks")
 
 
 def read(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
@@ -237,7 +237,7 @@ def read(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
         base.append((r.part, at))
         at += r.n
     before = blocks.sparkSession.createDataFrame(base, "part int, before long")
-    docs = blocks.mapInArrow(run, "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
+    docs = blocks.mapInArrow(tidy(run), "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
     return docs.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 

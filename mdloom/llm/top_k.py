@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, tidy
 
 K = 20
 SCALE = 64
@@ -59,7 +59,7 @@ def _packed(vectors: DataFrame, size: int, name: str, lists: bool) -> tuple[Data
             kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
             yield pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["block", "n", "ids", "values", "lists"])
 
-    return stored(vectors.repartition(max(1, count)).mapInArrow(run, "block long, n int, ids binary, values binary, lists binary"), name), count
+    return stored(vectors.repartition(max(1, count)).mapInArrow(tidy(run), "block long, n int, ids binary, values binary, lists binary"), name), count
 
 
 def _upto(n: int):
