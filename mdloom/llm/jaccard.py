@@ -46,7 +46,6 @@ EDGE, INFO, WIDE, GROUP = -1, -2, -3, -4
 CROWD = 64
 NUMBERS = 16
 SKETCH = [f"s{k}" for k in range(NUMBERS)]
-FIRST = SKETCH[:4]
 LARGE = 4096
 
 
@@ -339,9 +338,9 @@ def verified(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
     return full.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
-def similar(one: str, two: str, sketch: list[str]):
+def similar(one: str, two: str):
     """What set sizes and the Hamming distance of sketches allow, of columns with these prefixes."""
-    far = sum(F.bit_count(F.col(one + s).bitwiseXOR(F.col(two + s))) for s in sketch)
+    far = sum(F.bit_count(F.col(one + s).bitwiseXOR(F.col(two + s))) for s in SKETCH)
     n, m = F.col(one + "n"), F.col(two + "n")
     return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (far * 9 <= n + m)
 
@@ -362,14 +361,14 @@ def link(docs: DataFrame) -> DataFrame:
     crowd = members.groupBy("key").agg(F.count("*").alias("weight"))
     weight = members.join(crowd, "key").groupBy("doc").agg(F.sum("weight").alias("weight"))
     one = stored(info.select(F.col("a").alias("doc"), F.col("b").alias("n"), *SKETCH).join(weight, "doc").dropDuplicates(["doc"]), "sketches")
-    mates = stored(members.join(one.select("doc", "n", "weight", *FIRST), "doc"), "mates")
+    mates = stored(members.join(one, "doc"), "mates")
     discard(spark, members)
     release(spark)
     links = sifted.where(F.col("kind") == EDGE).select("a", "b")
     hashes = sets(docs, stored(one.select("doc"), "touched"))
     labels, tested, named, turn = None, None, mates.withColumn("own", F.col("doc")), 0
     while True:
-        opened = named.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+        opened = named.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("n")).where(f"lo < hi AND n > {2 if turn else 1}")  # a pair's one comparison is behind it
         open_keys = stored(opened.select("key", "n"), "open")
         size = open_keys.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
         full = True
@@ -383,9 +382,7 @@ def link(docs: DataFrame) -> DataFrame:
                 centre = grouped.groupBy("key").agg(F.min_by(F.struct(*[c for c in grouped.columns if c != "key"]), order).alias("c")).select("key", "c.*")
                 paired = renamed(grouped, "l_").join(renamed(centre, "r_"), "key")
             apart = (F.col("l_own") != F.col("r_own")) & (F.col("l_doc") < F.col("r_doc") if full else F.lit(True))
-            near = paired.where(apart & similar("l_", "r_", FIRST)).select(F.least("l_doc", "r_doc").alias("a"), F.greatest("l_doc", "r_doc").alias("b")).distinct()
-            ends = [one.select(F.col("doc").alias(key), *(F.col(c).alias(f"{key}_{c}") for c in ("n", *SKETCH))) for key in ("a", "b")]
-            likely = near.join(ends[0], "a").join(ends[1], "b").where(similar("a_", "b_", SKETCH)).select("a", "b")
+            likely = paired.where(apart & similar("l_", "r_")).select(F.least("l_doc", "r_doc").alias("a"), F.greatest("l_doc", "r_doc").alias("b")).distinct()
             fresh = stored(likely if tested is None else likely.join(tested, ["a", "b"], "left_anti"), "pairs")
             found = stored(verified(fresh, hashes), "links")
             tested = fresh if tested is None else tested.unionByName(fresh)
