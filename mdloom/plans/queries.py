@@ -11,6 +11,7 @@ from ..kernel.constructs import Constructs
 from ..operators import invariants, resolve, views
 from ..operators.parse import blank_lines, diagnostics, parse_markdown, render_html, signatures, snapshots
 from ..sources import corpus
+from ..sources.store import stored
 
 QUERIES, SQL = {}, {}
 
@@ -25,6 +26,11 @@ def query(sql: str | None = None):
     return add
 
 
+def _parsed(docs: DataFrame, inlines: bool = True) -> DataFrame:
+    """The nodes of documents, parsed once for all the views of a query."""
+    return stored(parse_markdown(docs, inlines=inlines), "nodes")
+
+
 def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.table(spark, sf_dir, "documents").select("doc_id", "text")
 
@@ -36,7 +42,7 @@ def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:
 def md_order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order sheets as Markdown tables, parsed, and their cells summed."""
     docs = corpus.order_sheets(spark, sf_dir)
-    cells = views.table_cells(parse_markdown(docs), docs).where("row > 0 AND col IN (1, 2)")
+    cells = views.table_cells(_parsed(docs), docs).where("row > 0 AND col IN (1, 2)")
     rows = cells.groupBy("doc_id", "table_id", "row").agg(F.max(F.when(F.col("col") == 1, F.col("content"))).alias("l_returnflag"), F.max(F.when(F.col("col") == 2, F.col("content").try_cast("bigint"))).alias("q"))
     return rows.groupBy("l_returnflag").agg(F.count("*").alias("n_lines"), F.sum("q").alias("sum_qty"))
 
@@ -83,7 +89,7 @@ def md_diagnostics_small_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def md_nation_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headings and nested lists."""
     docs = corpus.nation_outlines(spark, sf_dir)
-    nodes = parse_markdown(docs)
+    nodes = _parsed(docs)
     heads = views.headings(nodes, docs).select("doc_id", F.col("content").alias("region"))
     items = nodes.where("type = 'ListItem'").select("doc_id", "node_id", "depth")
     texts = views.plain_text(nodes, docs, "Paragraph")
@@ -127,7 +133,7 @@ def md_blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey AS doc_id, count(*) + 1 AS n_rows, 'Right,Center,Right,Right' AS aligned FROM lineitem GROUP BY l_orderkey")
 def md_table_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = parse_markdown(corpus.order_sheets(spark, sf_dir), inlines=False)
+    nodes = _parsed(corpus.order_sheets(spark, sf_dir), inlines=False)
     rows = nodes.where("type = 'TableRow'").groupBy("doc_id").agg(F.count("*").alias("n_rows"))
     return rows.join(nodes.where("type = 'Table'").select("doc_id", F.array_join("align", ",").alias("aligned")), "doc_id")
 
@@ -135,14 +141,14 @@ def md_table_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(NULL AS BIGINT) AS doc_id, 0 AS list_id WHERE false")
 def md_list_tightness_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.customer_checklists(spark, sf_dir).unionByName(corpus.token_soup(spark, 500).withColumn("doc_id", F.col("doc_id") + 1_000_000))
-    return views.tightness_check(parse_markdown(docs, inlines=False), blank_lines(docs))
+    return views.tightness_check(_parsed(docs, inlines=False), blank_lines(docs))
 
 
 @query("SELECT l_orderkey AS doc_id, 'Order ' || l_orderkey AS path, 'Table' AS type FROM lineitem GROUP BY l_orderkey")
 def md_section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each block with the path of its nearest heading."""
     docs = corpus.order_sheets(spark, sf_dir)
-    nodes = parse_markdown(docs)
+    nodes = _parsed(docs)
     paths = views.outline(nodes, docs).select("doc_id", F.col("node_id").alias("heading_id"), "path")
     return views.sections(nodes).where("type = 'Table'").join(paths, ["doc_id", "heading_id"]).select("doc_id", "path", "type")
 
@@ -251,7 +257,7 @@ def lex_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(p_size AS BIGINT) AS doc_id, CAST(sum(CASE WHEN p_partkey % 3 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS resolved, CAST(sum(CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS dangling FROM part GROUP BY p_size")
 def md_part_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.part_catalogues(spark, sf_dir)
-    nodes = parse_markdown(docs)
+    nodes = _parsed(docs)
     found = resolve.links(nodes, docs).where("url IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("resolved"))
     lost = resolve.dangling_labels(nodes, docs).groupBy("doc_id").agg(F.count("*").alias("dangling"))
     full = docs.select("doc_id").join(found, "doc_id", "left").join(lost, "doc_id", "left")
@@ -267,7 +273,7 @@ def md_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(NULL AS BIGINT) AS doc_id, '' AS label_key WHERE false")
 def md_unused_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.part_catalogues(spark, sf_dir)
-    return resolve.unused_definitions(parse_markdown(docs), docs)
+    return resolve.unused_definitions(_parsed(docs), docs)
 
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -285,7 +291,7 @@ def md_inline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey AS doc_id, 'n' || c_custkey AS called, 'o' AS unused FROM customer")
 def md_footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _notes(spark, sf_dir)
-    nodes = parse_markdown(docs)
+    nodes = _parsed(docs)
     called = resolve.references(nodes, docs).where("type = 'FootnoteReference'").select("doc_id", F.col("label_key").alias("called"))
     return called.join(resolve.unused_footnotes(nodes, docs).select("doc_id", F.col("label_key").alias("unused")), "doc_id")
 
@@ -294,7 +300,7 @@ def md_footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def md_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text content: breaks and footnote calls have none, entities are decoded."""
     docs = _notes(spark, sf_dir)
-    nodes = parse_markdown(docs)
+    nodes = _parsed(docs)
     first = nodes.where("type = 'Paragraph' AND parent_id = 0").select("doc_id", "node_id")
     text = views.plain_text(nodes, docs, "Paragraph").join(first, ["doc_id", "node_id"])
     return text.select("doc_id", F.regexp_replace("content", "(?s)xy.*", "x").alias("content"))
@@ -395,7 +401,7 @@ def md_structural_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def check_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No broken span in prose or in random token soup."""
     docs = _prose(spark, sf_dir).unionByName(corpus.token_soup(spark, 3000).withColumn("doc_id", F.col("doc_id") + 10**12))
-    return invariants.broken_spans(parse_markdown(docs), docs)
+    return invariants.broken_spans(_parsed(docs), docs)
 
 
 @query("SELECT CAST(NULL AS BIGINT) AS doc_id, 0 AS ord WHERE false")
