@@ -253,14 +253,18 @@ def vocabulary(path: str) -> Vocabulary:
 @lru_cache(2)
 def encoder(path: str) -> Encoder:
     """The encoder of the vocabulary at ``path``; kept by each Python worker."""
-    from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(path)
-    library.no_truncation()
-    library.no_padding()
+    @lru_cache(1)
+    def library():  # loaded by the first text that needs it
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(path)
+        out.no_truncation()
+        out.no_padding()
+        return out
 
     def whole(texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint32) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, np.uint32) for e in library().encode_batch_fast(texts, add_special_tokens=False)]
 
     return Encoder(vocabulary(path), whole)
 

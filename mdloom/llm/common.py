@@ -14,7 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ARROW_BYTES = 16 << 20
+
+
+def modest(spark: SparkSession) -> None:
+    """Arrow batches of at most ARROW_BYTES in this session: a batch is held on both sides of the Python boundary."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).lower().rstrip("b")
+    if not now.isdigit() or not 0 < int(now) <= ARROW_BYTES:
+        spark.conf.set(key, f"{ARROW_BYTES}b")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -33,6 +45,7 @@ def scratch(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: it outlives lost executors and has no lineage."""
     spark = df.sparkSession
+    modest(spark)
     path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

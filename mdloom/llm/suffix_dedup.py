@@ -27,7 +27,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import Hasher, masked, mix, parts, portions, ranges, release, stored, table, tidy, unmasked, utf8
 
@@ -354,11 +353,14 @@ def repeated(docs: DataFrame, length: int = LENGTH, share: int = 1) -> DataFrame
     return two.select("doc_id", "known").join(three, "doc_id", "full_outer")
 
 
-def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Every row of ``docs`` with ``spans``: (start, stop) byte ranges that repeat an earlier document, in order."""
+def removals(docs: DataFrame, length: int = LENGTH, cut: bool = False) -> DataFrame:
+    """Every row of ``docs`` with ``spans``: (start, stop) byte ranges that repeat an earlier document, in order.
+
+    With ``cut``, spans keep to whole characters, and the texts are without them.
+    """
     given_docs = docs
     docs, masks = masked(docs)
-    names, given = docs.columns, docs.dtypes
+    names, given, column = docs.columns, docs.dtypes, docs.columns.index("text")
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     share = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count_distinct(text_hash).alias("n")).agg(F.max("n")).first()[0] or 1
     if share == 1:
@@ -379,8 +381,17 @@ def removals(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 s = _spread(w) if w else np.zeros(0, np.int64)
                 start, stop = union(np.concatenate([a, s]), np.concatenate([b - 1, s]) + length)
                 spans.append([{"start": x, "stop": y} for x, y in zip(start.tolist(), stop.tolist(), strict=True)])
+            columns = [batch.column(i) for i in range(len(names))]
+            if cut:
+                texts = columns[column].to_pylist()
+                for i, own in enumerate(spans):
+                    if own:
+                        raw = texts[i].encode()
+                        spans[i] = own = whole_characters(raw, own)
+                        texts[i] = kept_bytes(raw, own).decode()
+                columns[column] = pa.array(texts, pa.string())
             kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-            yield pa.record_batch([*(batch.column(i) for i in range(len(names))), pa.array(spans, kind)], [*names, "spans"])
+            yield pa.record_batch([*columns, pa.array(spans, kind)], [*names, "spans"])
 
     joined = _joined(docs, found, "left", "_node").select(*(docs[c] for c in names), "known", "windows")
     schema = ", ".join(f"`{c}` {t}" for c, t in given)
@@ -413,22 +424,9 @@ def whole_characters(raw: bytes, spans: list[dict]) -> list[dict]:
 
 def cut_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated bytes removed, whole characters only, and n_removed."""
-    cut = removals(docs, length)
-    names = cut.columns[:-1]
-    column = names.index("text")
-
-    def run(batches):
-        for batch in batches:
-            texts, removed = [], []
-            for text, spans in zip(batch.column(column).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
-                raw = (text or "").encode()
-                spans = whole_characters(raw, spans)
-                texts.append(kept_bytes(raw, spans).decode() if spans else text)
-                removed.append(sum(s["stop"] - s["start"] for s in spans))
-            columns = [pa.array(texts, pa.string()) if i == column else batch.column(i) for i in range(len(names))]
-            yield pa.record_batch([*columns, pa.array(removed, pa.int64())], [*names, "n_removed"])
-
-    return cut.mapInArrow(tidy(run), StructType([*cut.schema.fields[:-1], StructField("n_removed", LongType())]))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    cut = removals(docs, length, cut=True)
+    return cut.select(*(c for c in cut.columns if c not in ("spans", "n_removed")), removed.alias("n_removed"))
 
 
 def digest(cut: DataFrame) -> DataFrame:
