@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from .common import Hasher, masked, mix, parts, portions, ranges, release, stored, table, tidy, unmasked, utf8
 
 LENGTH = 50
-SUB_BATCH = 1 << 19
+SUB_BATCH = 1 << 18
 BROADCAST_BYTES = 48 << 20
-RECORDS = 1 << 18
+RECORDS = 1 << 17
 
 Records = tuple[np.ndarray, np.ndarray, np.ndarray]  # rank, document, position
 
