@@ -256,6 +256,44 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def reach(n):
+    """The threshold that op7 states for a shorter line of n characters."""
+    return 0 if n < 32 else 2 if n < 60 else 3 if n < 80 else max(4, n // 32)
+
+
+def test_line_dedup_threshold_grows_with_length(spark):
+    rng = random.Random(7)
+    words = ["ab", "cdée", "fghij", "klm", "nopqrstuvwxyzabcd", "漢字漢字👍👍👍👍", "e", "st,"]
+
+    def line(n):
+        return " ".join(rng.choice(words) + str(rng.randrange(99)) for _ in range(n))[:n].strip() + "."
+
+    def edited(text, edits):
+        b = list(text)
+        for i in rng.sample(range(len(b)), edits):
+            b[i] = rng.choice(["", "Q", b[i] + "Z"])
+        return "".join(b)
+
+    def spaced(text, edits):
+        """Edits at even distances leave the shortest common pieces."""
+        b = list(text)
+        for i in range(edits):
+            b[(i + 1) * len(b) // (edits + 1)] = "#"
+        return "".join(b)
+
+    sizes = [32, 45, 59, 60, 61, 79, 80, 83, 99, 124, 127, 128, 130, 131, 160, 162, 199, 255, 256, 259, 330, 512, 530]
+    bases = [line(n) for n in sizes]
+    kinds = [x for b in bases for x in (b, edited(b, reach(len(b))), edited(b, reach(len(b)) + 2), spaced(b, reach(len(b))), spaced(b, reach(len(b)) + 1))]
+    near = {(a, b) for a in kinds for b in kinds if a < b and abs(len(a) - len(b)) <= reach(min(len(a), len(b))) and distance(a, b) <= reach(min(len(a), len(b)))}
+    assert sum(min(map(len, x)) >= 60 and distance(*x) > 2 for x in near) > 30
+    docs = frame(spark, list(enumerate(kinds)))
+    ids = {r.id: r.line for r in line_dedup.lines(docs).collect()}
+    spots = line_dedup.lines(docs).select("doc_id", "owner", "place", "id")
+    assert {tuple(sorted((ids[r.a], ids[r.b]))) for r in line_dedup.near_links(docs, spots).collect()} == near
+    text = "word " * 30
+    assert line_dedup.dedup_lines(frame(spark, [(1, text + "one"), (2, text + "six")])).where("n_dropped = 1").count() == 1
+
+
 def test_packing(spark):
     data = rows() + [(1, "word " * 9000), (2, None), (2, None)]
     out = packing.pack_documents(frame(spark, data), WORD).collect()
