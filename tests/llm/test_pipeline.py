@@ -23,3 +23,16 @@ def test_stages_keep_the_columns_and_take_effect(spark, tmp_path):
     assert kept == set(range(40))
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r.doc_id for r in packed.collect()} == kept
+
+
+def test_line_stage_takes_passages_from_the_second_on_and_keeps_short_lines(spark):
+    passage, ordinary = " ".join(f"word{i}" for i in range(60)), "See also:"
+    near, other = passage.replace("word7 ", "word8 "), "a line of just thirty-two letters"[:32]
+    rows = [(i, f"own {i} text\n{x}\n{ordinary}") for i, x in enumerate([passage, passage, near, other, other])]
+    rows += [(10 + i, f"{i}{i}{i} begins\nBoiler") for i in range(10)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = {r.doc_id: r for r in corpus_pipeline.line_deduplication(spark, docs, "").collect()}
+    want = {0: rows[0][1], 1: f"own 1 text\n{ordinary}", 2: rows[2][1], 3: rows[3][1], 4: f"own 4 text\n{ordinary}", 10: rows[5][1]}
+    want |= {10 + i: f"{i}{i}{i} begins" for i in range(1, 10)}
+    assert {d: r.text for d, r in left.items()} == want
+    assert all(r.n_chars == len(r.text) for r in left.values())
