@@ -258,7 +258,7 @@ def test_line_dedup(spark):
 
 def reach(n):
     """The threshold that op7 states for a shorter line of n characters."""
-    return 0 if n < 32 else 2 if n < 60 else 3 if n < 80 else max(4, n // 32)
+    return 0 if n < 3 else 1 if n < 24 else 2 if n < 60 else 3 if n < 80 else max(4, n // 32)
 
 
 def test_line_dedup_threshold_grows_with_length(spark):
@@ -294,6 +294,21 @@ def test_line_dedup_threshold_grows_with_length(spark):
     assert line_dedup.dedup_lines(frame(spark, [(1, text + "one"), (2, text + "six")])).where("n_dropped = 1").count() == 1
 
 
+def test_line_dedup_links_short_lines(spark):
+    rng = random.Random(11)
+    kinds = ["Ly. Reonhe onble.", "Ly reonhe onble.", "Heti eror anesti.", "Heti, eror anesti.", "a", "b", "ab", "ac", "abc", "abd", "漢字👍", "漢字"]
+    for n in (3, 4, 5, 7, 11, 22, 23, 24, 25, 26, 30, 31):
+        base = "".join(rng.choice("abcdé ") for _ in range(n - 1)).strip().ljust(n - 1, "q") + "x"
+        kinds += [base, base[:1] + "#" + base[2:], "#" + base, base[: n // 2] + base[n // 2 + 1 :], base[:1] + "##" + base[2:], "##" + base[1:-1] + "#"]
+    kinds = list(dict.fromkeys(kinds))
+    near = {(a, b) for a in kinds for b in kinds if a < b and distance(a, b) <= reach(min(len(a), len(b)))}
+    docs = frame(spark, list(enumerate(kinds)))
+    ids = {r.id: r.line for r in line_dedup.lines(docs).collect()}
+    spots = line_dedup.lines(docs).select("doc_id", "owner", "place", "id")
+    assert {tuple(sorted((ids[r.a], ids[r.b]))) for r in line_dedup.near_links(docs, spots).collect()} == near
+    assert ("Ly reonhe onble.", "Ly. Reonhe onble.") not in near and ("Heti eror anesti.", "Heti, eror anesti.") in near
+
+
 def test_packing(spark):
     data = rows() + [(1, "word " * 9000), (2, None), (2, None)]
     out = packing.pack_documents(frame(spark, data), WORD).collect()
