@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import discard, portions, stored, table, tidy, utf8
+from .common import Hasher, discard, portions, stored, table, tidy, utf8
 
 THRESHOLD = 0.7
 SHRINK_DIAGONAL = 0.1
@@ -57,6 +57,9 @@ def _lut() -> np.ndarray:
     return out
 
 
+_whole = Hasher()
+
+
 def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Raw counts, one row per document, in the order of NAMES."""
     n, k = len(offsets) - 1, len(CLASSES) + 1
@@ -86,11 +89,7 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         add(k + 2, home[length > 9])
         add(k + 3, home[length < 4])
         add(k + 4, home[(cls[last] >= 6) & (cls[last] <= 8)])
-        power = np.multiply.accumulate(np.full(64, 0x9E3779B97F4A7C15 | 1, np.uint64))
-        word = np.zeros(len(first), np.uint64)
-        for i in range(int(min(length.max(), 64))):
-            on = length > i
-            word[on] += data[first[on] + i].astype(np.uint64) * power[i]
+        word = _whole(data, first, length)
         twin = np.flatnonzero((word[1:] == word[:-1]) & (home[1:] == home[:-1]))
         add(k + 5, home[twin])
         own = np.unique(np.stack([home.astype(np.uint64), word]).T.copy().view("u8,u8").ravel())

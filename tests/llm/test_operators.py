@@ -309,6 +309,14 @@ def test_line_dedup_links_short_lines(spark):
     assert ("Ly reonhe onble.", "Ly. Reonhe onble.") not in near and ("Heti eror anesti.", "Heti, eror anesti.") in near
 
 
+def test_quality_tells_long_words_apart():
+    long = "漢" * 40
+    data = np.frombuffer(f"{long}a {long}b {long}b".encode(), np.uint8)
+    raw = quality.counts(data, np.array([0, len(data)]))
+    k = len(quality.CLASSES) + 1
+    assert raw[0, k] == 3 and raw[0, k + 1] == 2 and raw[0, k + 5] == 1
+
+
 def test_packing(spark):
     data = rows() + [(1, "word " * 9000), (2, None), (2, None)]
     out = packing.pack_documents(frame(spark, data), WORD).collect()
