@@ -151,18 +151,18 @@ def short_sketch(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return out.reshape(n, NUMBERS)
 
 
-def _pack(key: np.ndarray, doc: np.ndarray) -> bytes:
-    """Low 48 bits of sorted keys, and documents, as byte planes, compressed."""
-    planes = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes() + doc.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+def _pack(key: np.ndarray, doc: np.ndarray, crowd: np.ndarray) -> bytes:
+    """Low 48 bits of sorted keys, documents, and marks of crowds, as byte planes, compressed."""
+    planes = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes() + doc.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() + crowd.astype(np.uint8).tobytes()
     return len(key).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = int.from_bytes(blob[:8], "little")
-    planes = np.frombuffer(pa.decompress(blob[8:], n * 14, "zstd", asbytes=True), np.uint8)
+    planes = np.frombuffer(pa.decompress(blob[8:], n * 15, "zstd", asbytes=True), np.uint8)
     key = np.zeros((n, 8), np.uint8)
     key[:, :6] = planes[: n * 6].reshape(6, n).T
-    return key.view("<u8").ravel(), np.ascontiguousarray(planes[n * 6 :].reshape(8, n).T).view("<i8").ravel()
+    return key.view("<u8").ravel(), np.ascontiguousarray(planes[n * 6 : n * 14].reshape(8, n).T).view("<i8").ravel(), planes[n * 14 :].astype(bool)
 
 
 def sift(docs: DataFrame) -> DataFrame:
@@ -224,13 +224,13 @@ def sift(docs: DataFrame) -> DataFrame:
         crowd = np.repeat(np.diff(np.r_[start, len(key)]) > CROWD, np.diff(np.r_[start, len(key)])) if len(key) else head
         if crowd.any():
             yield _row([WIDE], [key[crowd].tobytes()], [doc[crowd].tobytes()])
-        # a crowd sends its first document, marked by its sign
-        sent = np.where(crowd, ~doc, doc)[~crowd | head]
-        key = key[~crowd | head]
+        # a crowd sends its first document, with a mark
+        sends = ~crowd | head
+        key, sent, mark = key[sends], doc[sends], crowd[sends]
         cut = np.searchsorted(key, np.arange(1, n_buckets, dtype=np.uint64) * np.uint64((1 << 64) // n_buckets))
         edges = np.r_[0, cut, len(key)]
         full = np.flatnonzero(np.diff(edges))
-        yield _row(full.tolist(), [_pack(key[edges[b] : edges[b + 1]], sent[edges[b] : edges[b + 1]]) for b in full], [None] * len(full))
+        yield _row(full.tolist(), [_pack(key[edges[b] : edges[b + 1]], sent[edges[b] : edges[b + 1]], mark[edges[b] : edges[b + 1]]) for b in full], [None] * len(full))
 
     def _row(bucket, a, b, c=None, d=None):
         n = len(bucket)
@@ -247,11 +247,9 @@ def sift(docs: DataFrame) -> DataFrame:
 
         def shared(held, bucket):
             both = [_unpack(x) for x in held]
-            key, doc = np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both])
+            key, doc, crowd = (np.concatenate(x) for x in zip(*both, strict=True))
             order = np.argsort(key, kind="stable")
-            key, doc = key[order], doc[order]
-            crowd = doc < 0
-            doc = np.where(crowd, ~doc, doc)
+            key, doc, crowd = key[order], doc[order], crowd[order]
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             size = np.diff(np.r_[start, len(key)])
             wide = (np.add.reduceat(crowd.astype(np.int64), start) > 0) | (size > LARGE)

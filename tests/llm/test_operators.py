@@ -106,6 +106,12 @@ def test_jaccard_awkward_rows(spark):
     assert jaccard.one_of_each(frame(spark, data)).where("doc_id = 2").count() == 0
 
 
+def test_jaccard_links_negative_ids(spark):
+    data = [(-5 - d if d % 2 else d, t) for d, t in rows(3)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(frame(spark, data)).collect()}
+    assert got == brute_components(data)
+
+
 def test_every_similar_pair_shares_a_block():
     rng = np.random.default_rng(5)
     for n in (1, 2, 4, 7, 11, 40, 300):
