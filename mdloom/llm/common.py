@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 
 
 ARROW_BYTES = 16 << 20
+PARTITION_BYTES = 32 << 20
+#: The optimiser's guess for joined tables has no bound; past this it says nothing.
+MOST_BYTES = 1 << 50
+#: Nodes with so many edges have them dealt over SALTS tasks.
+HUB, SALTS, MOST_HUBS = 1024, 32, 1_000_000
 
 
 def modest(spark: SparkSession) -> None:
@@ -87,6 +92,16 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """What Spark's optimiser expects ``df`` to hold: for a stored table, the size of its files."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def dealt(df: DataFrame) -> int:
+    """Partitions for an exchange of about as many bytes as ``df`` holds: they grow with it, so that none does."""
+    return max(parts(df.sparkSession), min(planned_bytes(df), MOST_BYTES) // PARTITION_BYTES)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary Arrow array; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -159,17 +174,17 @@ def release(spark: SparkSession) -> None:
 def components(edges: DataFrame) -> DataFrame:
     """(doc, label) for the nodes of (a, b): the smallest node of each connected component, by large-star and small-star.
 
-    Neighbourhoods are only ever reduced to their minimum, and joined to it, so a hub's edges split over tasks.
+    Neighbourhoods are only ever reduced to their minimum, and joined to it. Nodes with many edges (``HUB``) meet
+    their minimum in ``SALTS`` tasks.
     """
     spark = edges.sparkSession
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
     mark = None
     while True:
-        both = now.union(now.select("v", "u"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("x"), "m").where("x > m").union(least.select("u", "m"))
+        large = _to_least(now.union(now.select("v", "u")).toDF("u", "v"), True)
+        large = large.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
+        small = _to_least(large, False)
+        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").union(small.select("u", "m"))
         after = stored(small.toDF("u", "v").distinct(), "edges")
         found = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(spark, now)
@@ -177,3 +192,18 @@ def components(edges: DataFrame) -> DataFrame:
         if found == mark:
             return now.select(F.col("u").alias("doc"), F.col("v").alias("label")).union(now.select(F.col("v").alias("doc"), F.col("v").alias("label")).distinct())
         mark = found
+
+
+def _to_least(edges: DataFrame, own: bool) -> DataFrame:
+    """(u, v, m): each edge with the smallest v of its u, u itself counted with ``own``."""
+    least = F.least("u", F.min("v")) if own else F.min("v")
+    low = edges.groupBy("u").agg(least.alias("m"), F.count("*").alias("n"))
+    hubs = low.where(F.col("n") >= HUB).agg(F.count("*").alias("k")).first().k
+    if not hubs or hubs > MOST_HUBS:
+        return edges.join(low.select("u", "m"), "u")
+    names = stored(low.where(F.col("n") >= HUB).select("u"), "hubs")
+    salt = F.when(F.col("hub"), F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    mark = F.broadcast(names.withColumn("hub", F.lit(True)))  # MOST_HUBS rows at most
+    edges = edges.join(mark, "u", "left").withColumn("salt", salt)
+    low = low.withColumn("salt", F.explode(F.when(F.col("n") >= HUB, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return edges.join(low, ["u", "salt"]).select("u", "v", "m")

@@ -12,14 +12,16 @@ filled blocks also sends its first shingles, for partners that are alike in this
 Documents that share a block are a group. Within a batch, equal sets collapse to one, and of a block that many
 documents of a batch share only the first goes on, while the others stay as rows of their own, so no block
 gathers more than a few records a batch. Groups of the same documents collapse, however many blocks they
-share. Candidate pairs are compared by size, by the Hamming distance of a short sketch, and then by their
-shingle sets. If groups are small, all their pairs are compared at once; else each group is first compared
-with one of its documents, pairs that verified links have put into one component need no comparison, and
-what is left is compared in full.
+share. Only keys and ids go through the rounds; a sketch joins once for each distinct pair of documents. Each
+group is first compared with one of its documents, and pairs that verified links have put into one component
+need no comparison. Groups that still hold several components are compared in full, in tasks of two portions
+of a group each, which give only the pairs whose sizes and sketches (Hamming distance) allow the similarity.
+What the sketches let through is verified by its shingle sets.
 
 Defined cases: null and empty texts, and texts of white space, have an empty set and link with nothing;
-fewer than five words are one shingle; rows that share a doc_id are one node, and each keeps its own set
-size; rows with a null doc_id link with nothing and have a null component; an empty table gives no rows.
+fewer than five words are one shingle; rows that share a doc_id are one document with each of their texts: a link
+of any of them is the document's, and each row keeps its own set size; rows with a null doc_id link with nothing
+and have a null component; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, Hasher, components, discard, mix, parts, portions, release, stored, table, tidy, utf8
+from .common import BASE, Hasher, components, dealt, discard, mix, planned_bytes, portions, release, stored, table, tidy, utf8
 
 WORDS = 5
 SPREAD = 1.4
@@ -37,8 +39,10 @@ SPARE = 0.3
 SUB_BATCH = 1 << 20
 BATCH = 8 << 20
 BROADCAST_IDS = 1_000_000
-FULL_PAIRS = 256
-STAR_ROUNDS = 3
+BUCKET_BYTES = 8 << 20
+STAR_ROUNDS = 2
+#: Members of a group that are compared with as many others in one task.
+PORTION = 1024
 
 BLANK = np.zeros(256, bool)
 BLANK[[32, *range(9, 14)]] = True
@@ -47,6 +51,7 @@ CROWD = 64
 NUMBERS = 16
 SKETCH = [f"s{k}" for k in range(NUMBERS)]
 LARGE = 4096
+FEW = 32
 
 
 def bands(top: int) -> np.ndarray:
@@ -152,27 +157,43 @@ def short_sketch(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
 
 
 def _pack(key: np.ndarray, doc: np.ndarray, crowd: np.ndarray) -> bytes:
-    """Low 48 bits of sorted keys, documents, and marks of crowds, as byte planes, compressed."""
+    """Low 48 bits of sorted keys, documents, and marks of crowds, as byte planes, compressed if there are many."""
     planes = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes() + doc.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() + crowd.astype(np.uint8).tobytes()
-    return len(key).to_bytes(8, "little") + pa.compress(planes, "zstd", asbytes=True)
+    return len(key).to_bytes(4, "little") + (planes if len(key) < FEW else pa.compress(planes, "zstd", asbytes=True))
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = int.from_bytes(blob[:8], "little")
-    planes = np.frombuffer(pa.decompress(blob[8:], n * 15, "zstd", asbytes=True), np.uint8)
+    n = int.from_bytes(blob[:4], "little")
+    planes = np.frombuffer(blob[4:] if n < FEW else pa.decompress(blob[4:], n * 15, "zstd", asbytes=True), np.uint8)
     key = np.zeros((n, 8), np.uint8)
     key[:, :6] = planes[: n * 6].reshape(6, n).T
     return key.view("<u8").ravel(), np.ascontiguousarray(planes[n * 6 : n * 14].reshape(8, n).T).view("<i8").ravel(), planes[n * 14 :].astype(bool)
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """((node, text) of every row, (node, doc_id) where these differ).
+
+    A node is a doc_id; only if some doc_id has several texts, nodes are numbers of (doc_id, text).
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    kind = F.sha2(F.coalesce("text", F.lit("")), 256)
+    marks = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h")).groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi"))
+    if not marks.where("lo <> hi").limit(1).count():
+        return docs.select(F.col("doc_id").alias("node"), "text"), None
+    kinds = docs.where("doc_id IS NOT NULL").select("doc_id", kind.alias("kind")).distinct()
+    names = stored(kinds.withColumn("node", F.monotonically_increasing_id()), "nodes")  # numbers hold once they are written
+    return docs.withColumn("kind", kind).join(names, ["doc_id", "kind"], "left").select("node", "text"), names.select("node", "doc_id")
+
+
 def sift(docs: DataFrame) -> DataFrame:
-    """One shuffle: stored rows (kind, a, b, sketch, docs).
+    """One shuffle of (node, text): stored rows (kind, a, b, docs).
 
-    INFO: document, set size, short sketch (one for each input row). EDGE: two documents with equal sets.
+    INFO: document, set size (one for each input row). EDGE: two documents with equal sets.
     GROUP: a hash of the documents that share a key, and those documents. WIDE: key, document, where they are many.
     """
     spark = docs.sparkSession
-    n_buckets = 4 * parts(spark)
+    homes = dealt(docs)
+    n_buckets = max(4 * homes, planned_bytes(docs) // BUCKET_BYTES)
 
     def split(batches):
         hasher = Hasher()
@@ -185,7 +206,7 @@ def sift(docs: DataFrame) -> DataFrame:
         there = ~np.asarray(ids.is_null())
         doc_id = np.asarray(ids.fill_null(0))
         data, offsets = utf8(batch.column(1))
-        all_docs, all_keys, sizes, sums, sketches = [], [], [], [], []
+        all_docs, all_keys, sizes, sums = [], [], [], []
         for lo, hi in portions(offsets, SUB_BATCH):
             own = offsets[lo : hi + 1]
             owner, value = shingles(data[own[0] : own[-1]], own - own[0], hasher)
@@ -196,14 +217,12 @@ def sift(docs: DataFrame) -> DataFrame:
             np.bitwise_xor.at(total[:, 1], owner, mix(value + BASE))
             sizes.append(size)
             sums.append(total)
-            sketches.append(short_sketch(owner, value, n))
             send = there[lo:hi][owner]
             doc, key = block_keys(owner[send], value[send], size)
             all_docs.append(doc + lo)
             all_keys.append(key)
         size, total = np.concatenate(sizes), np.concatenate(sums)
-        row = [INFO], [np.where(there, doc_id, 0).tobytes()], [size.astype(np.int64).tobytes()], [np.concatenate(sketches).tobytes()], [there.tobytes()]
-        yield _row(*row)
+        yield _row([INFO], [np.where(there, doc_id, 0).tobytes()], [size.astype(np.int64).tobytes()], [there.tobytes()])
         # documents with equal sets: only the first of the batch goes on
         order = np.lexsort((doc_id, total[:, 1], total[:, 0], size))
         order = order[there[order] & (size[order] > 0)]
@@ -232,15 +251,14 @@ def sift(docs: DataFrame) -> DataFrame:
         full = np.flatnonzero(np.diff(edges))
         yield _row(full.tolist(), [_pack(key[edges[b] : edges[b + 1]], sent[edges[b] : edges[b + 1]], mark[edges[b] : edges[b + 1]]) for b in full], [None] * len(full))
 
-    def _row(bucket, a, b, c=None, d=None):
+    def _row(bucket, a, b, c=None):
         n = len(bucket)
-        return pa.record_batch([pa.array(bucket, pa.int32()), *(pa.array(x if x is not None else [None] * n, pa.binary()) for x in (a, b, c, d))], ["bucket", "a", "b", "c", "d"])
+        return pa.record_batch([pa.array(bucket, pa.int32()), *(pa.array(x if x is not None else [None] * n, pa.binary()) for x in (a, b, c))], ["bucket", "a", "b", "c"])
 
     def gather(batches):
-        def out(kind, a, b, sketch=None, docs=None):
+        def out(kind, a, b, docs=None):
             k = pa.array(np.full(len(a), kind, np.int32))
-            sketches = [pa.array(sketch[:, i].view(np.int64)) if sketch is not None else pa.nulls(len(a), pa.int64()) for i in range(NUMBERS)]
-            return pa.record_batch([k, a if isinstance(a, pa.Array) else pa.array(a), pa.array(b), *sketches, docs if docs is not None else pa.nulls(len(a), pa.list_(pa.int64()))], ["kind", "a", "b", *SKETCH, "docs"])
+            return pa.record_batch([k, a if isinstance(a, pa.Array) else pa.array(a), pa.array(b), docs if docs is not None else pa.nulls(len(a), pa.list_(pa.int64()))], ["kind", "a", "b", "docs"])
 
         def keyed(low, bucket):
             return mix(low + np.asarray(bucket, np.uint64)).view(np.int64)
@@ -266,11 +284,11 @@ def sift(docs: DataFrame) -> DataFrame:
                 name = np.add.reduceat(mix(doc.view(np.uint64) + BASE), ends[:-1])
                 _, one = np.unique(name, return_index=True)
                 docs = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(doc)).take(pa.array(one))
-                yield out(GROUP, name[one].view(np.int64), size[one].astype(np.int64), None, docs)
+                yield out(GROUP, name[one].view(np.int64), size[one].astype(np.int64), docs)
 
         bucket, held = None, []
         for batch in batches:
-            for k, a, b, c, d in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for k, a, b, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if k >= 0:
                     if k != bucket and held:
                         yield from shared(held, bucket)
@@ -278,8 +296,7 @@ def sift(docs: DataFrame) -> DataFrame:
                     bucket = k
                     held.append(a)
                 elif k == INFO:
-                    ids = pa.array(np.frombuffer(a, np.int64), mask=~np.frombuffer(d, bool))
-                    yield out(INFO, ids, np.frombuffer(b, np.int64), np.frombuffer(c, np.uint64).reshape(-1, NUMBERS))
+                    yield out(INFO, pa.array(np.frombuffer(a, np.int64), mask=~np.frombuffer(c, bool)), np.frombuffer(b, np.int64))
                 elif k == WIDE:
                     key = np.frombuffer(a, np.uint64)
                     home = np.minimum(key // np.uint64((1 << 64) // n_buckets), np.uint64(n_buckets - 1))
@@ -289,16 +306,21 @@ def sift(docs: DataFrame) -> DataFrame:
         if held:
             yield from shared(held, bucket)
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(split), "bucket int, a binary, b binary, c binary, d binary")
+    rows = docs.select("node", "text").mapInArrow(tidy(split), "bucket int, a binary, b binary, c binary")
     salt = F.when(F.col("bucket") < 0, F.xxhash64("a")).otherwise(F.col("bucket").cast("long"))
-    dealt = rows.withColumn("salt", salt).repartition(parts(spark), "salt").sortWithinPartitions("bucket").drop("salt")
-    out = stored(dealt.mapInArrow(tidy(gather), f"kind int, a long, b long, {', '.join(f'{s} long' for s in SKETCH)}, docs array<long>"), "sifted")
+    met = rows.withColumn("salt", salt).repartition(homes, "salt").sortWithinPartitions("bucket").drop("salt")
+    out = stored(met.mapInArrow(tidy(gather), "kind int, a long, b long, docs array<long>"), "sifted")
     release(spark)
     return out
 
 
+def small(ids: DataFrame) -> DataFrame:
+    """Stored ids, sent whole to every executor only if they are few."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, hashes): the shingle sets of the documents in ``wanted``, stored."""
+    """(doc, n, sketch, hashes): set size, short sketch and shingle set of the nodes in ``wanted``, stored."""
 
     def run(batches):
         hasher = Hasher()
@@ -307,13 +329,15 @@ def sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for lo, hi in portions(offsets, SUB_BATCH):
                 own = offsets[lo : hi + 1]
                 owner, value = shingles(data[own[0] : own[-1]], own - own[0], hasher)
-                ends = np.searchsorted(owner, np.arange(hi - lo + 1)).tolist()
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array([value[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], ["doc", "hashes"])
+                ends = np.searchsorted(owner, np.arange(hi - lo + 1))
+                sketch = short_sketch(owner, value, hi - lo).view(np.int64)
+                cut = ends.tolist()
+                hashes = pa.array([value[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(ends)), *(pa.array(x.copy()) for x in sketch.T), hashes], ["doc", "n", *SKETCH, "hashes"])
 
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), "text").join(wanted, "doc", "left_semi")
-    return stored(texts.mapInArrow(tidy(run), "doc long, hashes binary"), "sets")
+    texts = docs.withColumnRenamed("node", "doc").join(small(wanted), "doc", "left_semi").dropDuplicates(["doc"])
+    numbers = ", ".join(f"{s} long" for s in SKETCH)
+    return stored(texts.select("doc", "text").mapInArrow(tidy(run), f"doc long, n long, {numbers}, hashes binary"), "sets")
 
 
 def verified(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -329,81 +353,128 @@ def verified(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
                 keep.append(both > 0 and both * 100 >= (len(x) + len(y) - both) * 80)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    ends = stored(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "ends")
-    hashes = hashes.join(F.broadcast(ends) if ends.count() <= BROADCAST_IDS else ends, "doc", "left_semi")
+    ends = small(stored(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "ends"))
+    hashes = hashes.select("doc", "hashes").join(ends, "doc", "left_semi")
     right = pairs.join(hashes.select(F.col("doc").alias("b"), F.col("hashes").alias("y")), "b")
     full = right.join(hashes.select(F.col("doc").alias("a"), F.col("hashes").alias("x")), "a")
     return full.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
-def similar(one: str, two: str):
-    """What set sizes and the Hamming distance of sketches allow, of columns with these prefixes."""
-    far = sum(F.bit_count(F.col(one + s).bitwiseXOR(F.col(two + s))) for s in SKETCH)
-    n, m = F.col(one + "n"), F.col(two + "n")
-    return (F.least(n, m) * 5 >= F.greatest(n, m) * 4) & (far * 9 <= n + m)
+def likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) that set sizes and the Hamming distance of sketches allow."""
+    side = lambda end: known.select(F.col("doc").alias(end), F.col("n").alias(f"{end}_n"), *(F.col(s).alias(f"{end}_{s}") for s in SKETCH))
+    far = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in SKETCH[1:]), F.bit_count(F.col(f"a_{SKETCH[0]}").bitwiseXOR(F.col(f"b_{SKETCH[0]}"))))
+    fits = (F.least("a_n", "b_n") * 5 >= F.greatest("a_n", "b_n") * 4) & (far * 9 <= F.col("a_n") + F.col("b_n"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b")
+
+
+def crosswise(grouped: DataFrame, known: DataFrame, homes: int) -> DataFrame:
+    """The likely pairs (a, b) of all groups (key, doc, own, size), between members of different own.
+
+    A group's members are dealt into portions; a task holds two portions of one group and gives only pairs that
+    sizes and sketches allow, so a group of any size is split over tasks and its pairs are never listed.
+    """
+
+    def run(batches):
+        held, at = [], None
+
+        def compare():
+            table_ = pa.Table.from_batches(held)
+            doc, own, n, portion = (np.asarray(table_.column(c).combine_chunks()) for c in ("doc", "own", "n", "portion"))
+            sketch = np.stack([np.asarray(table_.column(s).combine_chunks()) for s in SKETCH], 1).view(np.uint64)
+            mixed = portion.min() != portion.max()
+            for lo in range(0, len(doc), 64):
+                rows = slice(lo, lo + 64)
+                fits = (np.minimum(n[rows, None], n) * 5 >= np.maximum(n[rows, None], n) * 4) & (own[rows, None] != own) & (doc[rows, None] < doc)
+                if mixed:
+                    fits &= portion[rows, None] != portion
+                i, j = np.nonzero(fits)
+                i += lo
+                for k in range(0, len(i), 1 << 16):
+                    x, y = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+                    far = np.bitwise_count(sketch[x] ^ sketch[y]).sum(1, dtype=np.int64)
+                    near = far * 9 <= n[x] + n[y]
+                    if near.any():
+                        yield pa.record_batch([pa.array(doc[x[near]]), pa.array(doc[y[near]])], ["a", "b"])
 
+        for batch in batches:
+            key = np.stack([np.asarray(batch.column(c)) for c in ("key", "lo", "hi")], 1)
+            edges = np.r_[0, np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, len(key)] if len(key) else [0]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                now = tuple(key[a])
+                if now != at and held:
+                    yield from compare()
+                    held = []
+                at = now
+                held.append(batch.slice(int(a), int(b - a)))
+        if held:
+            yield from compare()
 
-def renamed(rows: DataFrame, prefix: str) -> DataFrame:
-    return rows.select("key", *(F.col(c).alias(prefix + c) for c in rows.columns if c != "key"))
+    count = F.ceil(F.col("size") / PORTION).cast("int")
+    rows = grouped.withColumn("portion", F.pmod(F.xxhash64("doc", F.lit(7)), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+    rows = rows.select("key", F.least("portion", "other").alias("lo"), F.greatest("portion", "other").alias("hi"), "portion", "doc", "own")
+    met = rows.join(known.select("doc", "n", *SKETCH), "doc").repartition(homes, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return met.mapInArrow(tidy(run), "a long, b long").distinct()
 
 
 def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     spark = docs.sparkSession
+    docs, names = numbered(docs)
+    homes = dealt(docs)
     sifted = sift(docs)
-    rows = sifted.where(F.col("kind") == INFO)
-    info = rows.where("a IS NOT NULL")
+    rows = sifted.where(F.col("kind") == INFO).select(F.col("a").alias("doc"), F.col("b").alias("n_shingles"))
     groups = sifted.where(F.col("kind") == GROUP).groupBy("a").agg(F.any_value("docs").alias("docs"))
     wide = sifted.where(F.col("kind") == WIDE).select(F.col("a").alias("key"), F.col("b").alias("doc")).distinct()
     members = stored(groups.select(F.col("a").alias("key"), F.explode("docs").alias("doc")).unionByName(wide), "members")
-    crowd = members.groupBy("key").agg(F.count("*").alias("weight"))
-    weight = members.join(crowd, "key").groupBy("doc").agg(F.sum("weight").alias("weight"))
-    one = stored(info.select(F.col("a").alias("doc"), F.col("b").alias("n"), *SKETCH).join(weight, "doc").dropDuplicates(["doc"]), "sketches")
-    mates = stored(members.join(one, "doc"), "mates")
-    discard(spark, members)
+    crowd = members.groupBy("key").agg(F.count("*").alias("size"))
+    # documents that share most are compared first
+    weight = stored(members.join(crowd, "key").groupBy("doc").agg(F.sum("size").alias("weight")), "weights")
+    known = sets(docs, weight.select("doc"))
     release(spark)
     links = sifted.where(F.col("kind") == EDGE).select("a", "b")
-    hashes = sets(docs, stored(one.select("doc"), "touched"))
-    labels, tested, named, turn = None, None, mates.withColumn("own", F.col("doc")), 0
-    while True:
-        opened = named.groupBy("key").agg(F.min("own").alias("lo"), F.max("own").alias("hi"), F.count("*").alias("n")).where(f"lo < hi AND n > {2 if turn else 1}")  # a pair's one comparison is behind it
-        open_keys = stored(opened.select("key", "n"), "open")
-        size = open_keys.agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
-        full = True
-        if size["rows"]:
-            grouped = named.join(open_keys.select("key"), "key")
-            full = turn == STAR_ROUNDS or turn > 0 and size["pairs"] <= FULL_PAIRS * size["rows"] + 16_000_000
-            if full:
-                paired = renamed(grouped, "l_").join(renamed(grouped, "r_"), "key")
-            else:  # one document of each group: the one that shares most, then others by chance
-                order = F.struct(F.xxhash64("doc", F.lit(turn)).alias("rank") if turn else (-F.col("weight")).alias("rank"), "doc")
-                centre = grouped.groupBy("key").agg(F.min_by(F.struct(*[c for c in grouped.columns if c != "key"]), order).alias("c")).select("key", "c.*")
-                paired = renamed(grouped, "l_").join(renamed(centre, "r_"), "key")
-            apart = (F.col("l_own") != F.col("r_own")) & (F.col("l_doc") < F.col("r_doc") if full else F.lit(True))
-            likely = paired.where(apart & similar("l_", "r_")).select(F.least("l_doc", "r_doc").alias("a"), F.greatest("l_doc", "r_doc").alias("b")).distinct()
-            fresh = stored(likely if tested is None else likely.join(tested, ["a", "b"], "left_anti"), "pairs")
-            found = stored(verified(fresh, hashes), "links")
-            tested = fresh if tested is None else tested.unionByName(fresh)
-            if labels is None or found.limit(1).count():
-                links = links.unionByName(found)
-                labels = components(links)
-        if labels is None:
-            labels = components(links)
-        discard(spark, open_keys)
-        release(spark)
-        if full:
+    if names is not None:  # the texts of one doc_id belong together
+        home = names.groupBy("doc_id").agg(F.min("node").alias("a"))
+        links = links.unionByName(names.join(home, "doc_id").where("a <> node").select("a", F.col("node").alias("b")))
+    tested, labels = None, None
+    for turn in range(STAR_ROUNDS + 1):
+        state = weight.withColumn("own", F.col("doc")) if labels is None else weight.join(labels.select("doc", F.col("label").alias("own")), "doc", "left").withColumn("own", F.coalesce("own", "doc"))
+        named = members.join(state, "doc")
+        order = F.struct("weight", F.xxhash64("doc", F.lit(turn)), "doc") if not turn else F.struct(F.xxhash64("doc", F.lit(turn)), "doc")
+        opened = named.groupBy("key").agg(F.min("own").alias("low"), F.max("own").alias("high"), F.count("*").alias("size"), F.max_by(F.struct("doc", "own"), order).alias("centre"))
+        opened = stored(opened.where(f"low < high AND size > {2 if turn else 1}").select("key", "size", "centre"), "open")  # a pair's one comparison is behind it
+        if not opened.limit(1).count():
             break
-        named = mates.join(labels.withColumnRenamed("label", "own"), "doc", "left").withColumn("own", F.coalesce("own", "doc"))
-        turn += 1
-    discard(spark, hashes, mates, one)
-    named = labels.select(F.col("doc").alias("a"), "label")
-    return rows.join(named, "a", "left").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.coalesce("label", "a").alias("component_id"))
+        grouped = named.join(opened, "key")
+        if turn < STAR_ROUNDS:
+            apart = grouped.where("own <> centre.own")
+            found = likely(apart.select(F.least("doc", "centre.doc").alias("a"), F.greatest("doc", "centre.doc").alias("b")).distinct(), known)
+        else:
+            found = crosswise(grouped.select("key", "doc", "own", "size"), known, homes)
+        fresh = stored(found if tested is None else found.join(tested, ["a", "b"], "left_anti"), "pairs")
+        more = stored(verified(fresh, known), "links")
+        tested = fresh if tested is None else tested.unionByName(fresh)
+        discard(spark, opened)
+        release(spark)
+        if more.limit(1).count() or labels is None:
+            links = links.unionByName(more)
+            labels = components(links)
+    if labels is None:
+        labels = components(links)
+    discard(spark, known, members, weight)
+    out = rows.join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    if names is None:
+        return out.select(F.col("doc").alias("doc_id"), "n_shingles", F.col("label").alias("component_id"))
+    of = names.withColumnRenamed("node", "doc").join(labels, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
+    least = of.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    of = of.join(least, "label").select("doc", "doc_id", "component_id")
+    return out.select("doc", "n_shingles").join(of, "doc", "left").select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents that have a smaller one in their component."""
     others = stored(link(docs).where("component_id < doc_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(F.broadcast(others) if others.count() <= BROADCAST_IDS else others, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(small(others), "doc_id", "left_anti").select(docs.columns)
 
 
 def op2_parity_sketch_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
