@@ -16,8 +16,6 @@ from pyspark.sql import functions as F
 
 ARROW_BYTES = 16 << 20
 PARTITION_BYTES = 32 << 20
-#: The optimiser's guess for joined tables has no bound; past this it says nothing.
-MOST_BYTES = 1 << 50
 #: Nodes with so many edges have them dealt over SALTS tasks.
 HUB, SALTS, MOST_HUBS = 1024, 32, 1_000_000
 
@@ -92,14 +90,14 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def planned_bytes(df: DataFrame) -> int:
-    """What Spark's optimiser expects ``df`` to hold: for a stored table, the size of its files."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def volume(docs: DataFrame) -> int:
+    """Bytes of the texts and ids of ``docs``, counted: the optimiser has no size for a plan that is no plain scan."""
+    return docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 16)).first()[0] or 0
 
 
-def dealt(df: DataFrame) -> int:
-    """Partitions for an exchange of about as many bytes as ``df`` holds: they grow with it, so that none does."""
-    return max(parts(df.sparkSession), min(planned_bytes(df), MOST_BYTES) // PARTITION_BYTES)
+def dealt(spark: SparkSession, size: int) -> int:
+    """Partitions for an exchange of about ``size`` bytes: they grow with it, so that none does."""
+    return max(parts(spark), size // PARTITION_BYTES)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, Hasher, components, dealt, discard, mix, planned_bytes, portions, release, stored, table, tidy, utf8
+from .common import BASE, Hasher, components, dealt, discard, mix, portions, release, stored, table, tidy, utf8, volume
 
 WORDS = 5
 SPREAD = 1.4
@@ -185,15 +185,15 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return docs.withColumn("kind", kind).join(names, ["doc_id", "kind"], "left").select("node", "text"), names.select("node", "doc_id")
 
 
-def sift(docs: DataFrame) -> DataFrame:
-    """One shuffle of (node, text): stored rows (kind, a, b, docs).
+def sift(docs: DataFrame, size: int) -> DataFrame:
+    """One shuffle of (node, text), ``size`` bytes together: stored rows (kind, a, b, docs).
 
     INFO: document, set size (one for each input row). EDGE: two documents with equal sets.
     GROUP: a hash of the documents that share a key, and those documents. WIDE: key, document, where they are many.
     """
     spark = docs.sparkSession
-    homes = dealt(docs)
-    n_buckets = max(4 * homes, planned_bytes(docs) // BUCKET_BYTES)
+    homes = dealt(spark, size)
+    n_buckets = max(4 * homes, size // BUCKET_BYTES)
 
     def split(batches):
         hasher = Hasher()
@@ -421,8 +421,8 @@ def link(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     spark = docs.sparkSession
     docs, names = numbered(docs)
-    homes = dealt(docs)
-    sifted = sift(docs)
+    size = volume(docs)
+    sifted = sift(docs, size)
     rows = sifted.where(F.col("kind") == INFO).select(F.col("a").alias("doc"), F.col("b").alias("n_shingles"))
     groups = sifted.where(F.col("kind") == GROUP).groupBy("a").agg(F.any_value("docs").alias("docs"))
     wide = sifted.where(F.col("kind") == WIDE).select(F.col("a").alias("key"), F.col("b").alias("doc")).distinct()
@@ -450,7 +450,7 @@ def link(docs: DataFrame) -> DataFrame:
             apart = grouped.where("own <> centre.own")
             found = likely(apart.select(F.least("doc", "centre.doc").alias("a"), F.greatest("doc", "centre.doc").alias("b")).distinct(), known)
         else:
-            found = crosswise(grouped.select("key", "doc", "own", "size"), known, homes)
+            found = crosswise(grouped.select("key", "doc", "own", "size"), known, dealt(spark, size))
         fresh = stored(found if tested is None else found.join(tested, ["a", "b"], "left_anti"), "pairs")
         more = stored(verified(fresh, known), "links")
         tested = fresh if tested is None else tested.unionByName(fresh)

@@ -89,7 +89,7 @@ def brute_components(data):
     return {d: (len(sets[d]), find(d)) for d in sets}
 
 
-@pytest.mark.parametrize("limits", [{}, {"FULL_PAIRS": -(10**9), "CROWD": 2}])
+@pytest.mark.parametrize("limits", [{}, {"STAR_ROUNDS": 0, "CROWD": 2, "PORTION": 3}])
 def test_jaccard_components(spark, monkeypatch, limits):
     for name, value in limits.items():
         monkeypatch.setattr(jaccard, name, value)
@@ -112,6 +112,13 @@ def test_jaccard_links_negative_ids(spark):
     assert got == brute_components(data)
 
 
+def test_jaccard_links_every_text_of_a_doc_id(spark):
+    one, two = " ".join(f"a{i}" for i in range(41)), " ".join(f"b{i}" for i in range(41))
+    data = [(1, one), (1, two), (2, one + " end"), (3, two + " end"), (4, "some other text of a few words")]
+    got = sorted(map(tuple, jaccard.link(frame(spark, data)).collect()))
+    assert got == [(1, 37, 1), (1, 37, 1), (2, 38, 1), (3, 38, 1), (4, 3, 4)]
+
+
 def test_every_similar_pair_shares_a_block():
     rng = np.random.default_rng(5)
     for n in (1, 2, 4, 7, 11, 40, 300):
