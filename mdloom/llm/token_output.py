@@ -3,7 +3,7 @@
 Ids are counted over the whole corpus, package-merge gives code lengths of at most ``LIMIT`` bits, and codes
 are canonical, so lengths alone define them. Documents are range-partitioned by doc_id; each part writes rows
 of a Parquet table, one row a block: the documents it holds, its bits, and the number of bits between
-checkpoints every ``STEP`` ids. Blocks decode independently, and so do the stretches between checkpoints:
+checkpoints every ``STEP`` ids. A row beside them holds the code lengths, so the files are read by their path alone. Blocks decode independently, and so do the stretches between checkpoints:
 decoding advances all of them together, one table look-up an id.
 
 Defined cases: null and empty texts hold the end id alone; rows that share a doc_id (null sorts first) are
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import discard, parts, stored, table, tidy
+from .common import discard, parts, scratch, stored, table, tidy
 
 LIMIT = 16
 STEP = 64
@@ -30,6 +30,8 @@ BLOCK = 1 << 16
 END = 2
 TOGETHER = 32
 
+VERSION = 1
+CODE = "version int, bit_limit int, step int, lengths binary"
 BLOCKS = "part int, block int, doc_ids array<long>, doc_tokens array<int>, first long, checkpoints binary, bits binary"
 
 
@@ -176,8 +178,10 @@ def count_ids(ids: DataFrame) -> np.ndarray:
     return out
 
 
-def write(ids: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """The blocks of ``ids`` in ascending doc_id order, as a stored table."""
+def write(ids: DataFrame, lengths: np.ndarray, path: str | None = None) -> str:
+    """Writes the blocks of ``ids`` in ascending doc_id order, and the code; returns their path."""
+    spark = ids.sparkSession
+    path = path or scratch(spark, "huffman-files")
     code = canonical(lengths)
 
     def run(batches):
@@ -205,12 +209,19 @@ def write(ids: DataFrame, lengths: np.ndarray) -> DataFrame:
             yield flush()
 
     tie = F.xxhash64("ids")
-    spread = ids.select("doc_id", "ids", tie.alias("tie")).repartitionByRange(parts(ids.sparkSession), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
-    return stored(spread.select("doc_id", "ids").mapInArrow(tidy(run), BLOCKS), "huffman-blocks")
+    spread = ids.select("doc_id", "ids", tie.alias("tie")).repartitionByRange(parts(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie")
+    spread.select("doc_id", "ids").mapInArrow(tidy(run), BLOCKS).write.parquet(f"{path}/blocks")
+    spark.createDataFrame([(VERSION, LIMIT, STEP, bytearray(lengths.tobytes()))], CODE).coalesce(1).write.parquet(f"{path}/code")
+    return path
 
 
-def read(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """One row per document of the files: doc_id, start, n_tokens, ids_crc32."""
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """One row per document of the files at ``path``: doc_id, start, n_tokens, ids_crc32."""
+    code = spark.read.schema(CODE).parquet(f"{path}/code").first()
+    if (code.version, code.bit_limit, code.step) != (VERSION, LIMIT, STEP):
+        raise ValueError(f"files of another format: version {code.version}, {code.bit_limit} bits, checkpoints every {code.step}")
+    lengths = np.frombuffer(bytes(code.lengths), np.uint8)
+    blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
 
     def run(batches):
         lookup = decode_table(lengths)
@@ -236,17 +247,16 @@ def read(blocks: DataFrame, lengths: np.ndarray) -> DataFrame:
     for r in totals.orderBy("part").collect():  # a row for each part that was written
         base.append((r.part, at))
         at += r.n
-    before = blocks.sparkSession.createDataFrame(base, "part int, before long")
+    before = spark.createDataFrame(base, "part int, before long")
     docs = blocks.mapInArrow(tidy(run), "part int, doc_id long, start long, n_tokens long, ids_crc32 long")
     return docs.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def write_and_read(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     ids = encoded(docs, path, end)
-    lengths = code_lengths(count_ids(ids))
-    blocks = write(ids, lengths)
+    files = write(ids, code_lengths(count_ids(ids)))
     discard(docs.sparkSession, ids)
-    return read(blocks, lengths)
+    return read(docs.sparkSession, files)
 
 
 def op9_huffman_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
