@@ -6,8 +6,8 @@ needed until shards hold nearly equal bytes. Only the map changes when shards ar
 record's virtual slot never does. The map has ``slots`` rows whatever the input's size.
 
 Defined cases: null text counts as empty; a null doc_id hashes like any value, with the text deciding the
-slot; repeated rows share a slot and get different places; an empty table gives no rows; the map of an
-empty table is version 1. Other columns of the input are ignored.
+slot; repeated rows share a slot and get different places; an empty table gives no rows. A map
+that has versions already is edited from its latest one, and keeps them all; it can gain shards, not lose any. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -126,6 +126,17 @@ class SlotMap:
             out.append((version, slot, shard, rows[slot], load[slot], base[slot]))
         self.spark.createDataFrame(out, self.schema).coalesce(1).write.mode("append").parquet(self.path)
 
+    def latest(self) -> int:
+        """The newest version; 0 if there is none."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path):
+            return 0
+        return self.spark.read.schema(self.schema).parquet(self.path).agg(F.max("version")).first()[0] or 0
+
+    def owner(self, version: int) -> list[int]:
+        """The shard of each slot."""
+        return [r.shard for r in self.load(version).orderBy("vslot").collect()]  # `slots` rows
+
     def load(self, version: int) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path).where(F.col("version") == version)
 
@@ -139,13 +150,20 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, slot_map: S
     for r in counted:
         rows[r.vslot], load[r.vslot] = r["rows"], r["bytes"]
     slot_map = slot_map or SlotMap(spark)
-    owner = first_map(slots, shards)
-    slot_map.save(1, owner, rows, load)
-    slot_map.save(2, rebalance(owner, load, shards), rows, load)
+    version = slot_map.latest()
+    if version:
+        owner = slot_map.owner(version)
+        if len(owner) != slots or max(owner) >= shards:
+            raise ValueError(f"the map has {len(owner)} slots and {max(owner) + 1} shards, not {slots} and at most {shards}")
+    else:
+        version, owner = 1, first_map(slots, shards)
+        slot_map.save(version, owner, rows, load)
+    version += 1
+    slot_map.save(version, rebalance(owner, load, shards), rows, load)
     within = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32")
     return (
         placed.withColumn("nth", F.row_number().over(within))
-        .join(F.broadcast(slot_map.load(2).select("vslot", "shard", "base")), "vslot")  # `slots` rows
+        .join(F.broadcast(slot_map.load(version).select("vslot", "shard", "base")), "vslot")  # `slots` rows
         .select("doc_id", "size", "text_crc32", "shard", (F.col("base") + F.col("nth") - 1).alias("slot"), "vslot")
     )
 
