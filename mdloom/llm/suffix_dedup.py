@@ -368,7 +368,12 @@ def removals(docs: DataFrame, length: int = LENGTH, cut: bool = False) -> DataFr
     else:  # rows that share a doc_id get numbers of their own, of one age
         texts = docs.where("doc_id IS NOT NULL").select("doc_id", text_hash.alias("_hash")).distinct()
         number = F.row_number().over(Window.partitionBy("doc_id").orderBy("_hash")) - 1
-        nodes = texts.select("doc_id", "_hash", (F.col("doc_id") * share + number).alias("_node"))
+        ends = texts.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+        age = F.col("doc_id")
+        if max(-ends.low, ends.high + 1) * share >= 1 << 63:  # such ids are numbered in their order
+            ages = stored(texts.select("doc_id").distinct().orderBy("doc_id").withColumn("_age", F.monotonically_increasing_id()), "ages")
+            texts, age = texts.join(ages, "doc_id"), F.col("_age")
+        nodes = texts.select("doc_id", "_hash", (age * share + number).alias("_node"))
         docs = docs.withColumn("_hash", text_hash).join(nodes, ["doc_id", "_hash"], "left")
     found = repeated(docs.select(F.col("_node").alias("doc_id"), "text"), length, share).withColumnRenamed("doc_id", "_node")
 

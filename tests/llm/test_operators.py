@@ -41,6 +41,18 @@ def test_sharding_balances_bytes_and_leaves_no_gaps(spark):
     assert sharding.shard(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_a_slot_map_is_edited_again(spark):
+    docs, slot_map = frame(spark, rows()), sharding.SlotMap(spark)
+    first = sharding.shard(docs, shards=4, slots=64, slot_map=slot_map).count()
+    owner = slot_map.owner(2)
+    again = sharding.shard(docs, shards=4, slots=64, slot_map=slot_map)
+    assert first == again.count() == docs.count() and slot_map.latest() == 3 and slot_map.owner(3) == owner
+    more = sharding.shard(docs, shards=5, slots=64, slot_map=slot_map)
+    assert more.count() == first and {r.shard for r in more.collect()} == set(range(5))
+    with pytest.raises(ValueError):
+        sharding.shard(docs, shards=3, slots=64, slot_map=slot_map)
+
+
 def test_a_new_shard_takes_slots_only_into_itself():
     owner = sharding.first_map(64, 4)
     load = [random.Random(i).randint(0, 50) for i in range(64)]
@@ -377,6 +389,13 @@ def test_huffman_files(spark):
     assert token_output.write_and_read(spark.createDataFrame([], EMPTY), BYTE).count() == 0
 
 
+def test_huffman_files_are_read_by_their_path_alone(spark):
+    ids = token_output.encoded(frame(spark, rows()), BYTE)
+    path = token_output.write(ids, token_output.code_lengths(token_output.count_ids(ids)))
+    want = sorted(map(tuple, token_output.write_and_read(frame(spark, rows()), BYTE).collect()))
+    assert sorted(map(tuple, token_output.read(spark.newSession(), path).collect())) == want
+
+
 def test_code_lengths_are_optimal_and_limited():
     import heapq
 
@@ -424,6 +443,15 @@ def test_prefix_doubling(spark, monkeypatch, records):
     assert cut.columns == [*docs.columns, "n_removed"] and cut.count() == len(data)
 
 
+def test_prefix_doubling_with_large_ids(spark):
+    passage = "a passage of well over fifty bytes that is repeated in other documents"
+    big = 6 * 10**18
+    data = [(-big, passage), (big, "first " + passage), (big, "other " + passage), (big + 1, passage + " end")]
+    got = sorted((r.doc_id, r.n_removed) for r in suffix_dedup.digest(suffix_dedup.removals(frame(spark, data))).collect())
+    n = len(passage)
+    assert got == [(-big, 0), (big, n), (big, n), (big + 1, n)]
+
+
 def test_prefix_doubling_of_nothing(spark):
     assert suffix_dedup.digest(suffix_dedup.removals(spark.createDataFrame([], EMPTY))).count() == 0
 
