@@ -313,8 +313,7 @@ def test_line_dedup_threshold_grows_with_length(spark):
     assert sum(min(map(len, x)) >= 60 and distance(*x) > 2 for x in near) > 30
     docs = frame(spark, list(enumerate(kinds)))
     ids = {r.id: r.line for r in line_dedup.lines(docs).collect()}
-    spots = line_dedup.lines(docs).select("doc_id", "owner", "place", "id")
-    assert {tuple(sorted((ids[r.a], ids[r.b]))) for r in line_dedup.near_links(docs, spots).collect()} == near
+    assert {tuple(sorted((ids[r.a], ids[r.b]))) for r in line_dedup.near_links(docs).collect()} == near
     text = "word " * 30
     assert line_dedup.dedup_lines(frame(spark, [(1, text + "one"), (2, text + "six")])).where("n_dropped = 1").count() == 1
 
@@ -329,8 +328,7 @@ def test_line_dedup_links_short_lines(spark):
     near = {(a, b) for a in kinds for b in kinds if a < b and distance(a, b) <= reach(min(len(a), len(b)))}
     docs = frame(spark, list(enumerate(kinds)))
     ids = {r.id: r.line for r in line_dedup.lines(docs).collect()}
-    spots = line_dedup.lines(docs).select("doc_id", "owner", "place", "id")
-    assert {tuple(sorted((ids[r.a], ids[r.b]))) for r in line_dedup.near_links(docs, spots).collect()} == near
+    assert {tuple(sorted((ids[r.a], ids[r.b]))) for r in line_dedup.near_links(docs).collect()} == near
     assert ("Ly reonhe onble.", "Ly. Reonhe onble.") not in near and ("Heti eror anesti.", "Heti, eror anesti.") in near
 
 
