@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .bpe import op4_merge_rounds_bpe
 from .exact_dedup import OP3_SQL, op3_extendible_hash_dedup
+from .fill_in_middle import OP13_SQL, op13_bit_parallel_fill_in_middle
+from .html_extraction import OP12_SQL, op12_tree_scoring_html_extraction
 from .jaccard import op2_parity_sketch_jaccard
 from .line_dedup import op7_segment_edit_line_dedup
 from .packing import op8_minimum_bin_slack_packing
@@ -26,7 +28,14 @@ QUERIES = {
         op8_minimum_bin_slack_packing,
         op9_huffman_token_files,
         op10_prefix_doubling_dedup,
+        op12_tree_scoring_html_extraction,
+        op13_bit_parallel_fill_in_middle,
     )
 }
 
-ORACLE_SQL = {"op3_extendible_hash_dedup": OP3_SQL, "op6_threshold_algorithm_top_k": OP6_SQL}
+ORACLE_SQL = {
+    "op3_extendible_hash_dedup": OP3_SQL,
+    "op6_threshold_algorithm_top_k": OP6_SQL,
+    "op12_tree_scoring_html_extraction": OP12_SQL,
+    "op13_bit_parallel_fill_in_middle": OP13_SQL,
+}
