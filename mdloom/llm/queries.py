@@ -14,6 +14,7 @@ from .sharding import op1_virtual_slot_sharding
 from .suffix_dedup import op10_prefix_doubling_dedup
 from .token_output import op9_huffman_token_files
 from .top_k import OP6_SQL, op6_threshold_algorithm_top_k
+from .whitening import op11_jacobi_svd_whitening
 
 QUERIES = {
     f.__name__: f
@@ -28,6 +29,7 @@ QUERIES = {
         op8_minimum_bin_slack_packing,
         op9_huffman_token_files,
         op10_prefix_doubling_dedup,
+        op11_jacobi_svd_whitening,
         op12_tree_scoring_html_extraction,
         op13_bit_parallel_fill_in_middle,
     )
