@@ -12,7 +12,7 @@ from mdloom.kernel.blocks import Blocks, Cursor
 from mdloom.kernel.constructs import Constructs
 from mdloom.operators import invariants, resolve, views
 from mdloom.operators.parse import blank_lines, parse_markdown, render_html, signatures
-from mdloom.plans.queries import QUERIES, SQL
+from mdloom.plans.catalogue import QUERIES, SQL
 from mdloom.plans.schema import NODES
 from mdloom.sources import corpus
 from mdloom.streaming.parse import parse_stream
