@@ -1,4 +1,7 @@
-"""Relational views over the node table: plain joins, windows and higher-order functions by doc_id."""
+"""Relational views over the node table: plain joins, windows and higher-order functions by doc_id.
+
+doc_id is the key of a document: where ids repeat or are null, ``guard.keyed`` gives documents keys of their own.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-
+from .ranges import interval_join, span_texts
 
 
 def _pick(nodes: DataFrame, *types: str) -> DataFrame:
@@ -35,24 +38,25 @@ def joined(source: Column, key: str) -> Column:
 def plain_text(nodes: DataFrame, docs: DataFrame, *types: str) -> DataFrame:
     """(doc_id, node_id, content): the decoded text of the inlines below nodes of these types.
 
-    Ancestry is a range of node ids, so each text goes to the nodes above it by an equi-join on the document
-    with a range condition, and is put together in order.
+    Ancestry is a range of node ids: each text goes to the nodes above it by an interval join, and is put together in order.
+    Texts fetch their slices alone, not their whole document.
     """
-    heads = _pick(nodes, *types).select("doc_id", F.col("node_id").alias("head"), F.col("subtree_end").alias("until"))
-    leaf = _pick(nodes, "Text", "SoftBreak", "CodeSpan", "Autolink", "AutolinkLiteral", "HtmlInline", "MathSpan", "WikiLink", "Liquid")
-    src, a, b = F.col("source"), F.col("start"), F.col("end")
-    piece = (
-        F.when(F.col("type") == "SoftBreak", "\n")
-        .when(F.col("type").isin("CodeSpan", "HtmlInline", "Liquid"), joined(src, "pieces"))
-        .when(F.col("type") == "MathSpan", F.btrim(joined(src, "pieces"), F.lit("$")))
-        .when(F.col("type") == "Autolink", t.span_slice(src, a + 1, b - 1))
-        .when(F.col("type") == "WikiLink", t.span_slice(src, a + 2, b - 2))
-        .when(F.col("type") == "AutolinkLiteral", t.span_slice(src, a, b))
-        .otherwise(t.decode(t.span_slice(src, a, b)))
-    )
-    texts = with_text(leaf, docs).select("doc_id", "node_id", piece.alias("piece"))
-    below = texts.join(heads, "doc_id").where((F.col("node_id") > F.col("head")) & (F.col("node_id") < F.col("until")))
-    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "piece"))), lambda x: x["piece"]), "")
+    heads = _pick(nodes, *types).select("doc_id", F.col("node_id").alias("head"), (F.col("node_id") + 1).alias("below"), F.col("subtree_end").alias("until"))
+    kind = F.col("type")
+    edge = F.when(kind == "Autolink", 1).when(kind == "WikiLink", 2).otherwise(0)
+    own = F.array(F.struct((F.col("start") + edge).alias("start"), (F.col("end") - edge).alias("end"), F.lit(0).alias("padding")))
+    spans = F.when(kind.isin("CodeSpan", "HtmlInline", "Liquid", "MathSpan"), F.element_at("segments", "pieces")).otherwise(own)
+    leaf = _pick(nodes, "Text", "CodeSpan", "Autolink", "AutolinkLiteral", "HtmlInline", "MathSpan", "WikiLink", "Liquid")
+    parts = leaf.select("doc_id", "node_id", "type", F.size(spans).alias("parts"), F.posexplode(spans).alias("part", "s")).select("doc_id", "node_id", "type", "part", "parts", "s.*")
+    raw = F.concat(F.repeat(F.lit(" "), F.col("padding")), "slice")
+    math = F.when(F.col("part") == 0, F.ltrim(raw, F.lit("$"))).otherwise(raw)
+    math = F.when(F.col("part") == F.col("parts") - 1, F.rtrim(math, F.lit("$"))).otherwise(math)
+    cooked = F.when(kind == "MathSpan", math).when(kind == "Text", t.decode(raw)).otherwise(raw)
+    piece = F.concat(F.when(F.col("part") > 0, "\n").otherwise(""), cooked)
+    texts = span_texts(parts, docs).select("doc_id", "node_id", "part", piece.alias("piece"))
+    breaks = _pick(nodes, "SoftBreak").select("doc_id", "node_id", F.lit(0).alias("part"), F.lit("\n").alias("piece"))
+    below = interval_join(texts.unionByName(breaks), heads, ["doc_id"], "node_id", "below", "until")
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "part", "piece"))), lambda x: x["piece"]), "")
     found = below.groupBy("doc_id", "head").agg(content.alias("content"))
     return heads.join(found, ["doc_id", "head"], "left").select("doc_id", F.col("head").alias("node_id"), F.coalesce("content", F.lit("")).alias("content"))
 
