@@ -23,7 +23,7 @@ def _shift(at: Column, level: Column) -> Column:
 
 
 def cover(start: Column, end: Column, levels: int) -> Column:
-    """The dyadic cover of [start, end), of at most 2 ** (levels - 1) numbers: array<struct<level, block>>.
+    """The dyadic cover of [start, end), of fewer than 2 ** levels numbers: array<struct<level, block>>.
 
     At each level, an odd first block and an odd end are cut off, and what is left is even and goes up.
     """
@@ -51,7 +51,7 @@ def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], at:
     """
     if longest is None:
         longest = intervals.agg(F.max(F.col(end).cast("long") - F.col(start))).first()[0] or 0
-    levels = max(1, int(longest)).bit_length() + 1
+    levels = max(1, int(longest)).bit_length()
     a, b = (F.col(c).cast("long") for c in (start, end))
     left = points.withColumn("_block", F.explode(blocks(F.col(at).cast("long"), levels)))
     right = intervals.where(b > a).withColumn("_block", F.explode(cover(a, b, levels)))

@@ -55,10 +55,10 @@ def plain_text(nodes: DataFrame, docs: DataFrame, *types: str) -> DataFrame:
     piece = F.concat(F.when(F.col("part") > 0, "\n").otherwise(""), cooked)
     texts = span_texts(parts, docs).select("doc_id", "node_id", "part", piece.alias("piece"))
     breaks = _pick(nodes, "SoftBreak").select("doc_id", "node_id", F.lit(0).alias("part"), F.lit("\n").alias("piece"))
-    below = interval_join(texts.unionByName(breaks), heads, ["doc_id"], "node_id", "below", "until")
+    below = interval_join(texts.unionByName(breaks), heads, ["doc_id"], "node_id", "below", "until").select("doc_id", "head", "node_id", "part", "piece")
+    own = heads.select("doc_id", "head", F.col("head").alias("node_id"), F.lit(0).alias("part"), F.lit("").alias("piece"))  # for those without text
     content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", "part", "piece"))), lambda x: x["piece"]), "")
-    found = below.groupBy("doc_id", "head").agg(content.alias("content"))
-    return heads.join(found, ["doc_id", "head"], "left").select("doc_id", F.col("head").alias("node_id"), F.coalesce("content", F.lit("")).alias("content"))
+    return below.unionByName(own).groupBy("doc_id", "head").agg(content.alias("content")).select("doc_id", F.col("head").alias("node_id"), "content")
 
 
 def headings(nodes: DataFrame, docs: DataFrame) -> DataFrame:
