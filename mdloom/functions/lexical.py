@@ -8,22 +8,24 @@ from pyspark.sql import functions as F
 from ..kernel import grammar as g
 from ..kernel.constructs import Constructs
 
-# Patterns of a line's tail, in order of precedence.
+# Patterns of a line's tail, in order of precedence. Groups repeat possessively: nothing is to be taken back, and long lines need no stack.
 SETEXT = r"\A(?:=+|-+)[ \t]*\z"
-THEMATIC = r"\A(?:(?:-[ \t]*){3,}|(?:_[ \t]*){3,}|(?:\*[ \t]*){3,})\z"
+THEMATIC = r"\A(?:(?:-[ \t]*){3,}+|(?:_[ \t]*){3,}+|(?:\*[ \t]*){3,}+)\z"
 ATX = r"\A#{1,6}(?:[ \t]|\z)"
 FENCE = r"(?s)\A(?:`{3,}[^`]*|~{3,}.*)\z"
 MATH = r"\A\${2,}[^$]*\z"
 LIQUID = r"\A\{[%{]"
 DIRECTIVE = r"\A:{3,}[ \t]*[\p{IsAlphabetic}\p{N}_{\[]"
 DIRECTIVE_CLOSE = r"\A:{3,}[ \t]*\z"
-FOOTNOTE = r"\A\[\^(?:\\[\[\\\]]|\\(?![\[\\\]])|[^\]\[ \t\n\\])+\]:"
+FOOTNOTE = r"\A\[\^((?:\\[\[\\\]]|\\(?![\[\\\]])|[^\]\[ \t\n\\])++)\]:"
+#: Bytes of a footnote's label.
+LABEL_BYTES = 999
 ITEM = r"\A(?:[-*+]|[0-9]{1,9}[.)])(?:[ \t]|\z)"
-DELIMITER = r"\A[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*\z"
+DELIMITER = r"\A[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*+\|?[ \t]*\z"
 RAW_TAG = rf"(?i)\A<(?:{'|'.join(g.RAW_TAGS)})(?:[ \t>]|\z)"
 BLOCK_TAG = rf"(?i)\A(?:<(?:{'|'.join(g.BLOCK_TAGS)})(?:[ \t>]|/>|\z)|</(?:{'|'.join(g.BLOCK_TAGS)})(?:[ \t>]|\z))"
 _ATTRIBUTE = r"""[A-Za-z_:][A-Za-z0-9_:.\-]*(?:[ \t]*=[ \t]*(?:"[^"]*"|'[^']*'|[^ \t\n"'=<>`]+))?"""
-LONE_TAG = rf"\A(?:<[A-Za-z0-9\-]+(?:[ \t]+{_ATTRIBUTE})*[ \t]*/?>|</[A-Za-z0-9\-]+[ \t]*>)[ \t]*\z"
+LONE_TAG = rf"\A(?:<[A-Za-z0-9\-]+(?:[ \t]+{_ATTRIBUTE})*+[ \t]*/?>|</[A-Za-z0-9\-]+[ \t]*>)[ \t]*\z"
 
 
 def is_blank(line: Column) -> Column:
@@ -43,9 +45,14 @@ def indent_columns(line: Column) -> Column:
     return F.aggregate(letters, F.lit(0), step)
 
 
+def is_deep(line: Column) -> Column:
+    """Whether a line is four columns in or more: a tab within the first four columns leads there."""
+    return line.rlike(r"\A(?: {4}| {0,3}\t)")
+
+
 def flow_tail(line: Column) -> Column:
     """The line from where a block may start; null if it is four columns in or more."""
-    return F.when(indent_columns(line) < 4, F.regexp_replace(line, r"\A[ \t]*", ""))
+    return F.when(~is_deep(line), F.ltrim(line, F.lit(" ")))
 
 
 def html_type(tail: Column, in_paragraph: Column) -> Column:
@@ -76,10 +83,19 @@ def fence_closes(tail: Column, marker: str, size: int) -> Column:
     return tail.rlike(rf"\A\Q{marker}\E{{{size},}}[ \t]*\z")
 
 
+def footnote_starts(tail: Column) -> Column:
+    """Whether a line's tail defines a footnote, whose label has its longest length in bytes."""
+    return tail.rlike(FOOTNOTE) & (F.octet_length(F.regexp_extract(tail, FOOTNOTE, 1)) <= LABEL_BYTES)
+
+
 def line_start(line: Column, in_paragraph: Column, constructs: Constructs | None = None) -> Column:
     """What a line starts, as the block parser sees it: a name, or null for plain text."""
+    return tail_start(flow_tail(line), in_paragraph, constructs)
+
+
+def tail_start(t: Column, in_paragraph: Column, constructs: Constructs | None = None) -> Column:
+    """What a line's tail, as ``flow_tail`` gives it, starts. A column that has it makes it once for all the tests here."""
     on = constructs or Constructs.markdown()
-    t = flow_tail(line)
     out = F.when(t.isNull(), F.lit(None).cast("string")).when(t.startswith(">"), "Blockquote")
     out = out.when(in_paragraph & t.rlike(SETEXT), "SetextUnderline").when(t.rlike(THEMATIC), "ThematicBreak")
     out = out.when(t.rlike(ATX), "AtxHeading").when(t.rlike(FENCE), "CodeFence")
@@ -93,7 +109,7 @@ def line_start(line: Column, in_paragraph: Column, constructs: Constructs | None
     if on.container_directive:
         out = out.when(t.rlike(DIRECTIVE), "DirectiveOpener")
     if on.gfm_footnote:
-        out = out.when(t.rlike(FOOTNOTE), "FootnoteDefinition")
+        out = out.when(footnote_starts(t), "FootnoteDefinition")
     out = out.when(t.rlike(ITEM), "ListItem")
     if on.gfm_table:
         out = out.when(in_paragraph & t.rlike(DELIMITER), "TableDelimiterRow")
@@ -113,7 +129,7 @@ def item_interrupts(line: Column) -> Column:
 def is_container(line: Column) -> Column:
     """Whether a line opens a container even inside a paragraph: a quote, a footnote definition, or an item that interrupts."""
     t = flow_tail(line)
-    return F.coalesce(t.startswith(">") | t.rlike(FOOTNOTE) | (item_interrupts(line) & ~t.rlike(THEMATIC)), F.lit(False))
+    return F.coalesce(t.startswith(">") | footnote_starts(t) | (item_interrupts(line) & ~t.rlike(THEMATIC)), F.lit(False))
 
 
 def run_length(text: Column, marker: str) -> Column:
@@ -150,7 +166,7 @@ def table_alignments(line: Column) -> Column:
 def table_delimiter_activates(header: Column, delimiter: Column) -> Column:
     """Whether a delimiter row makes a table of the line above it."""
     align = table_alignments(delimiter)
-    return (indent_columns(header) < 4) & (indent_columns(delimiter) < 4) & F.coalesce(F.size(align) == F.size(table_cells(header)), F.lit(False))
+    return ~is_deep(header) & ~is_deep(delimiter) & F.coalesce(F.size(align) == F.size(table_cells(header)), F.lit(False))
 
 
 def code_info(info: Column) -> Column:

@@ -9,7 +9,9 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import lexical as lx
 from ..operators.guard import guarded, node_rows
+from ..operators.linestates import line_states
 from ..sources import corpus
 from .queries import _prose, query
 
@@ -40,3 +42,114 @@ def md_dead_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = guarded(_prose(spark, sf_dir), _planted, "doc_id bigint, covered bigint", seconds=1.5)
     good = out.results.select("doc_id", F.lit(None).cast("string").alias("reason"), "covered", F.lit(None).cast("long").alias("dead_bytes"))
     return good.unionByName(out.dead.select("doc_id", "reason", F.lit(None).cast("long").alias("covered"), F.col("n_bytes").alias("dead_bytes")))
+
+
+# ---- lines in context
+
+#: Lines that take the place of those of a text, which stands where the percent sign is.
+PLANTED = [
+    "%", "%", "", "===", "%", "```", "%", "# %", "~~~ sql", "%", "~~~~", "<!-- %", "%", "-->", "<div>", "%", "", "a | b", "| - | - |", "%", "$$", "%", "    %", "- %", "%",
+    "<pre>", "%", "</pre>", "", "2. %", "%", "---", "<a>", "````", "%", "", "> %", "[^n]: %", "", "{{ v }}", "::: note", "%", "-|-|-", "|x|\\||",
+]
+
+
+def _planted_lines(docs: DataFrame) -> DataFrame:
+    """Texts whose every line has a marker of ``PLANTED``, so that what a line means hangs on those before it."""
+    marker = lambda i: F.get(F.array(*map(F.lit, PLANTED)), F.pmod(F.col("doc_id") + (i * (i + 1) / 2).cast("long"), F.lit(len(PLANTED))).cast("int"))
+    lines = F.transform(lx.split_lines(F.col("text")), lambda x, i: F.replace(marker(i), F.lit("%"), x))
+    return docs.select("doc_id", F.array_join(F.transform(lines, lambda x: F.concat(x, F.lit("\n"))), "").alias("text"))
+
+
+_SPLIT = r"""
+split AS (
+    SELECT doc_id, CASE WHEN text = '' THEN [] WHEN regexp_matches(text, '[\r\n]\z') THEN l[1:len(l) - 1] ELSE l END AS l
+    FROM (SELECT doc_id, text, string_split_regex(text, '\r\n|\n|\r') AS l FROM documents WHERE text IS NOT NULL)
+)"""
+_MARKS = ", ".join(f"'{m}'" for m in PLANTED)
+_STATES = rf"""
+{_SPLIT.strip()}, raw AS (
+    SELECT doc_id, i - 1 AS place, replace([{_MARKS}][(((doc_id + (i - 1) * i // 2) % {len(PLANTED)}) + {len(PLANTED)}) % {len(PLANTED)} + 1], '%', l[i]) AS line
+    FROM split, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i) u
+), cut AS (
+    SELECT *, CASE WHEN NOT regexp_matches(line, '^(?: {{4}}| {{0,3}}\t)') THEN ltrim(line, ' ') END AS t, regexp_full_match(line, '[ \t]*') AS blank,
+           lag(line, 1, '') OVER (PARTITION BY doc_id ORDER BY place) AS above
+    FROM raw
+), cells AS (
+    SELECT *, t IS NULL AS deep, NOT regexp_matches(above, '^(?: {{4}}| {{0,3}}\t)') AS shallow,
+           string_split(regexp_replace(regexp_replace(trim(above, ' ' || chr(9)), '^\|', ''), '(?s)\\.', 'xx', 'g'), '|') AS head,
+           string_split(regexp_replace(regexp_replace(trim(coalesce(t, ''), ' ' || chr(9)), '^\|', ''), '(?s)\\.', 'xx', 'g'), '|') AS row
+    FROM cut
+), kinds AS (
+    SELECT *, CASE WHEN starts_with(t, '<!--') THEN 2 WHEN starts_with(t, '<?') THEN 3 WHEN starts_with(t, '<![CDATA[') THEN 5 WHEN regexp_matches(t, '^<![A-Za-z]') THEN 4
+                   WHEN regexp_matches(t, '(?i)^<(?:pre|script|style|textarea)(?:[ \t>]|$)') THEN 1
+                   WHEN regexp_matches(t, '(?i)^</?(?:{"|".join(lx.g.BLOCK_TAGS)})(?:[ \t>]|/>|$)') THEN 6
+                   WHEN regexp_full_match(t, '(?:<[A-Za-z0-9\-]+(?:[ \t]+[A-Za-z_:][A-Za-z0-9_:.\-]*(?:[ \t]*=[ \t]*(?:"[^"]*"|''[^'']*''|[^ \t\n"''=<>`]+))?)*[ \t]*/?>|</[A-Za-z0-9\-]+[ \t]*>)[ \t]*') THEN 7 END AS html,
+           CASE WHEN regexp_matches(t, '^(?:-[ \t]*-|=)') AND regexp_full_match(t, '(?:=+|-+)[ \t]*') OR regexp_full_match(t, '-[ \t]*') THEN true ELSE false END AS setext,
+           len(list_filter(head, lambda c: true)) - CASE WHEN trim(head[len(head)], ' ' || chr(9)) = '' THEN 1 ELSE 0 END AS n_head,
+           len(row) - CASE WHEN trim(row[len(row)], ' ' || chr(9)) = '' THEN 1 ELSE 0 END AS n_row
+    FROM cells
+), fresh AS (
+    SELECT *, CASE WHEN t IS NULL THEN NULL
+        WHEN starts_with(t, '>') THEN 'Blockquote'
+        WHEN regexp_full_match(t, '(?:-[ \t]*){{3,}}|(?:_[ \t]*){{3,}}|(?:\*[ \t]*){{3,}}') THEN 'ThematicBreak'
+        WHEN regexp_matches(t, '^#{{1,6}}(?:[ \t]|$)') THEN 'AtxHeading'
+        WHEN regexp_full_match(t, '`{{3,}}[^`]*|~{{3,}}.*') THEN 'CodeFence'
+        WHEN html IS NOT NULL THEN 'HtmlBlock'
+        WHEN regexp_full_match(t, '\${{2,}}[^$]*') THEN 'MathFence'
+        WHEN regexp_matches(t, '^\{{\{{') THEN CASE WHEN NOT contains(t[3:], '}}}}') OR regexp_full_match(regexp_extract(t, '^\{{\{{.*?\}}\}}(.*)$', 1), '[ \t]*') THEN 'Liquid' END
+        WHEN regexp_matches(t, '^\{{%') THEN CASE WHEN NOT contains(t[3:], '%}}') OR regexp_full_match(regexp_extract(t, '^\{{%.*?%\}}(.*)$', 1), '[ \t]*') THEN 'Liquid' END
+        WHEN regexp_matches(t, '^:{{3,}}[ \t]*[\p{{L}}\p{{N}}_{{\[]') THEN 'DirectiveOpener'
+        WHEN regexp_matches(t, '^\[\^[^\]\[ \t\\]+\]:') THEN 'FootnoteDefinition'
+        WHEN regexp_matches(t, '^(?:[-*+]|[0-9]{{1,9}}[.)])(?:[ \t]|$)') THEN 'ListItem'
+        WHEN regexp_full_match(t, ':{{3,}}[ \t]*') THEN 'DirectiveCloser'
+        WHEN starts_with(t, '|') THEN 'TableRow' END AS fresh,
+        CASE WHEN shallow AND n_head = n_row AND n_row > 0 AND regexp_full_match(t, '[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*') THEN true ELSE false END AS delimits,
+        regexp_extract(t, '^(?:`{{3,}}|~{{3,}}|\${{2,}})') AS run,
+        CASE WHEN regexp_matches(t, '^(?:`{{3,}}|~{{3,}}|\${{2,}})[ \t]*$') THEN regexp_extract(t, '^(?:`{{3,}}|~{{3,}}|\${{2,}})') ELSE '' END AS closer,
+        [regexp_matches(line, '(?i)</(?:pre|script|style|textarea)>'), contains(line, '-->'), contains(line, '?>'), contains(line, '>'), contains(line, ']]>')] AS ends,
+        regexp_full_match(ltrim(above, ' '), '<a>|</a>') AND shallow AS above_tag
+    FROM kinds
+), facts AS (
+    SELECT *, CASE WHEN deep THEN NULL WHEN fresh = 'Blockquote' THEN fresh WHEN setext THEN 'SetextUnderline'
+        WHEN fresh = 'ListItem' THEN CASE WHEN regexp_matches(t, '^(?:[-*+]|0{{0,8}}1[.)])[ \t]+[^ \t]') THEN fresh END
+        WHEN delimits AND (fresh IS NULL OR fresh IN ('DirectiveCloser', 'TableRow') OR html = 7) THEN 'TableDelimiterRow'
+        WHEN html = 7 THEN NULL ELSE fresh END AS within
+    FROM fresh
+), folded AS (
+    SELECT doc_id, list({{'blank': blank, 'deep': deep, 'fresh': fresh, 'within': within, 'html': html, 'run': run, 'closer': closer, 'ends': ends, 'above_tag': above_tag, 't': t}} ORDER BY place) AS f
+    FROM facts GROUP BY doc_id
+), RECURSION AS (
+    SELECT doc_id, f, 0 AS place, 'none' AS state FROM folded
+    UNION ALL
+    SELECT doc_id, f, place + 1, CASE
+        WHEN state LIKE 'fence%' OR state LIKE 'math%' THEN CASE WHEN x.closer <> '' AND x.closer[1] = state[6] AND length(x.closer) >= CAST(state[7:] AS INTEGER) THEN 'none' ELSE state END
+        WHEN state LIKE 'html%' THEN CASE WHEN state[5] IN ('6', '7') THEN CASE WHEN x.blank THEN 'none' ELSE state END WHEN x.ends[CAST(state[5] AS INTEGER)] THEN 'none' ELSE state END
+        WHEN x.blank THEN CASE state WHEN 'code' THEN 'code' ELSE 'none' END
+        WHEN x.deep THEN CASE WHEN state IN ('paragraph', 'container') THEN state ELSE 'code' END
+        ELSE coalesce(CASE
+            WHEN s IN ('AtxHeading', 'ThematicBreak', 'SetextUnderline', 'DirectiveOpener', 'DirectiveCloser') THEN 'none'
+            WHEN s = 'CodeFence' THEN 'fence' || x.run[1] || length(x.run) WHEN s = 'MathFence' THEN 'math_' || '$' || length(x.run)
+            WHEN s = 'HtmlBlock' THEN CASE WHEN x.html <= 5 AND x.ends[x.html] THEN 'none' ELSE 'html' || x.html END
+            WHEN s = 'Liquid' AND contains(x.t, CASE WHEN starts_with(x.t, '{{%') THEN '%}}' ELSE '}}}}' END) THEN 'none'
+            WHEN s IN ('Blockquote', 'FootnoteDefinition', 'ListItem') THEN 'container'
+            WHEN s = 'TableDelimiterRow' THEN CASE WHEN x.above_tag THEN 'html7' ELSE 'table' END END,
+            CASE WHEN state IN ('table', 'container') THEN state ELSE 'paragraph' END) END
+    FROM (SELECT *, f[place + 1] AS x, CASE WHEN state = 'paragraph' THEN f[place + 1].within ELSE f[place + 1].fresh END AS s FROM RECURSION WHERE place < len(f))
+)
+"""
+_STATES = "WITH RECURSIVE " + _STATES.replace("RECURSION", "states")
+
+
+@query(
+    _STATES
+    + r"""
+SELECT a.doc_id, CAST(a.place AS INTEGER) AS place, regexp_replace(a.state, '^(fence|math).*', '\1') AS open,
+       CASE WHEN a.state LIKE 'fence%' OR a.state LIKE 'math%' OR a.state LIKE 'html%' OR (a.state = 'code' AND b.state = 'code') THEN NULL WHEN a.state = 'table' AND b.state = 'table' THEN 'TableRow'
+            WHEN a.state = 'paragraph' THEN a.f[a.place + 1].within ELSE a.f[a.place + 1].fresh END AS starts,
+       (a.state LIKE 'fence%' OR a.state LIKE 'math%' OR a.state LIKE 'html%') AND b.state = 'none' AS closes
+FROM states a JOIN states b ON a.doc_id = b.doc_id AND b.place = a.place + 1
+"""
+)
+def lex_line_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is open before each line of every text, what the line starts there, and what it closes."""
+    return line_states(_planted_lines(_prose(spark, sf_dir)))
