@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,35 +90,56 @@ def footnote_starts(tail: Column) -> Column:
     return tail.rlike(FOOTNOTE) & (F.octet_length(F.regexp_extract(tail, FOOTNOTE, 1)) <= LABEL_BYTES)
 
 
-def line_start(line: Column, in_paragraph: Column, constructs: Constructs | None = None) -> Column:
+def line_start(line: Column, in_paragraph: Column, constructs: Constructs | Column | None = None) -> Column:
     """What a line starts, as the block parser sees it: a name, or null for plain text."""
     return tail_start(flow_tail(line), in_paragraph, constructs)
 
 
-def tail_start(t: Column, in_paragraph: Column, constructs: Constructs | None = None) -> Column:
-    """What a line's tail, as ``flow_tail`` gives it, starts. A column that has it makes it once for all the tests here."""
+def options(constructs: Constructs | None = None, **switched: Column) -> Column:
+    """Constructs as a STRUCT of booleans, so that every row can have its own; ``switched`` names those that come from columns."""
     on = constructs or Constructs.markdown()
-    out = F.when(t.isNull(), F.lit(None).cast("string")).when(t.startswith(">"), "Blockquote")
-    out = out.when(in_paragraph & t.rlike(SETEXT), "SetextUnderline").when(t.rlike(THEMATIC), "ThematicBreak")
-    out = out.when(t.rlike(ATX), "AtxHeading").when(t.rlike(FENCE), "CodeFence")
-    if on.html_flow:
-        out = out.when(t.startswith("<") & html_type(t, in_paragraph).isNotNull(), "HtmlBlock")
-    if on.math_flow:
-        out = out.when(t.rlike(MATH), "MathFence")
-    if on.liquid:
-        rest = F.when(t.startswith("{%"), F.regexp_extract(t, r"(?s)\A\{%.*?%\}(.*)\z", 1)).otherwise(F.regexp_extract(t, r"(?s)\A\{\{.*?\}\}(.*)\z", 1))
-        out = out.when(t.rlike(LIQUID) & is_blank(rest), "Liquid").when(t.rlike(LIQUID), F.lit(None).cast("string"))
-    if on.container_directive:
-        out = out.when(t.rlike(DIRECTIVE), "DirectiveOpener")
-    if on.gfm_footnote:
-        out = out.when(footnote_starts(t), "FootnoteDefinition")
-    out = out.when(t.rlike(ITEM), "ListItem")
-    if on.gfm_table:
-        out = out.when(in_paragraph & t.rlike(DELIMITER), "TableDelimiterRow")
-    if on.container_directive:
-        out = out.when(t.rlike(DIRECTIVE_CLOSE), "DirectiveCloser")
-    if on.gfm_table:
-        out = out.when(t.startswith("|"), "TableRow")
+    unknown = set(switched) - {f.name for f in fields(on)}
+    if unknown:
+        raise ValueError(f"no such constructs: {sorted(unknown)}")
+    return F.struct(*(switched.get(f.name, F.lit(getattr(on, f.name))).cast("boolean").alias(f.name) for f in fields(on)))
+
+
+def _only(on: Constructs | Column, name: str, test: Column) -> Column | None:
+    """``test`` where a construct is on: None if it is off for all rows. A null switch of a row has the default."""
+    if isinstance(on, Column):
+        return test & F.coalesce(on[name], F.lit(getattr(Constructs.markdown(), name)))
+    return test if getattr(on, name) else None
+
+
+def tail_start(t: Column, in_paragraph: Column, constructs: Constructs | Column | None = None) -> Column:
+    """What a line's tail, as ``flow_tail`` gives it, starts. A column that has it makes it once for all the tests here.
+
+    ``constructs`` may be a STRUCT column as ``options`` makes it: one plan then serves rows with different switches.
+    """
+    on = Constructs.markdown() if constructs is None else constructs
+    rest = F.when(t.startswith("{%"), F.regexp_extract(t, r"(?s)\A\{%.*?%\}(.*)\z", 1)).otherwise(F.regexp_extract(t, r"(?s)\A\{\{.*?\}\}(.*)\z", 1))
+    tests: list[tuple[Column | None, str | None]] = [
+        (t.isNull(), None),
+        (t.startswith(">"), "Blockquote"),
+        (in_paragraph & t.rlike(SETEXT), "SetextUnderline"),
+        (t.rlike(THEMATIC), "ThematicBreak"),
+        (t.rlike(ATX), "AtxHeading"),
+        (t.rlike(FENCE), "CodeFence"),
+        (_only(on, "html_flow", t.startswith("<") & html_type(t, in_paragraph).isNotNull()), "HtmlBlock"),
+        (_only(on, "math_flow", t.rlike(MATH)), "MathFence"),
+        (_only(on, "liquid", t.rlike(LIQUID) & is_blank(rest)), "Liquid"),
+        (_only(on, "liquid", t.rlike(LIQUID)), None),
+        (_only(on, "container_directive", t.rlike(DIRECTIVE)), "DirectiveOpener"),
+        (_only(on, "gfm_footnote", footnote_starts(t)), "FootnoteDefinition"),
+        (t.rlike(ITEM), "ListItem"),
+        (_only(on, "gfm_table", in_paragraph & t.rlike(DELIMITER)), "TableDelimiterRow"),
+        (_only(on, "container_directive", t.rlike(DIRECTIVE_CLOSE)), "DirectiveCloser"),
+        (_only(on, "gfm_table", t.startswith("|")), "TableRow"),
+    ]
+    out = F
+    for test, name in tests:
+        if test is not None:
+            out = out.when(test, F.lit(name).cast("string"))
     return out
 
 

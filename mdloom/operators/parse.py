@@ -62,20 +62,29 @@ def flat(doc_id, root: Node):
     return rows
 
 
-def _source(docs: DataFrame, id_col: str, text_col: str, where: Column | None) -> DataFrame:
+def _source(docs: DataFrame, id_col: str, text_col: str, where: Column | None, *more: Column) -> DataFrame:
     """Only what the kernel needs, with the filter below it."""
     chosen = docs if where is None else docs.where(where)
-    return chosen.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("source"))
+    return chosen.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("source"), *more)
 
 
-def parse_markdown(docs: DataFrame, constructs: Constructs | None = None, *, id_col: str = "doc_id", text_col: str = "text", inlines: bool = True, where: Column | None = None, max_doc_bytes: int = MAX_DOC_BYTES) -> DataFrame:
-    """The nodes of every document; ``inlines=False`` stops after the block phase."""
+def parse_markdown(docs: DataFrame, constructs: Constructs | Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", inlines: bool = True, where: Column | None = None, max_doc_bytes: int = MAX_DOC_BYTES) -> DataFrame:
+    """The nodes of every document; ``inlines=False`` stops after the block phase.
+
+    ``constructs`` may be a STRUCT column, as ``lexical.options`` makes it, with the switches of each document.
+    """
+    per_row = isinstance(constructs, Column)
+    own, fixed = ([constructs.alias("options")], None) if per_row else ([], constructs)
 
     def run(batches):
+        sets: dict[tuple, Constructs | None] = {(): fixed}
         for batch in batches:
             held: list[list] = []
-            for doc_id, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                root = parse(source, constructs, inlines)[0] if len(source) <= max_doc_bytes else Node("Root", 0, len(source))
+            switches = [tuple(x.items()) if x else () for x in batch.column(2).to_pylist()] if per_row else [()] * batch.num_rows
+            for doc_id, source, switch in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), switches, strict=True):
+                if switch not in sets:  # each distinct set once a task
+                    sets[switch] = Constructs(**{k: v for k, v in switch if v is not None})
+                root = parse(source, sets[switch], inlines)[0] if len(source) <= max_doc_bytes else Node("Root", 0, len(source))
                 held += flat(doc_id, root)
                 if len(held) >= ROWS:
                     yield _batch(held)
@@ -83,7 +92,7 @@ def parse_markdown(docs: DataFrame, constructs: Constructs | None = None, *, id_
             if held:
                 yield _batch(held)
 
-    return _source(docs, id_col, text_col, where).mapInArrow(run, NODES)
+    return _source(docs, id_col, text_col, where, *own).mapInArrow(run, NODES)
 
 
 def _batch(rows: list[list]) -> pa.RecordBatch:

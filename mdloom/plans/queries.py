@@ -47,19 +47,19 @@ def md_order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("l_returnflag").agg(F.count("*").alias("n_lines"), F.sum("q").alias("sum_qty"))
 
 
-@query("SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, sum(length(line)) AS n_chars FROM (SELECT doc_id, unnest(string_split(CASE WHEN right(text, 1) = chr(10) THEN left(text, length(text) - 1) ELSE text END, chr(10))) AS line FROM documents WHERE text <> '' AND NOT contains(text, chr(13))) GROUP BY doc_id")
+@query(r"SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, sum(length(line)) AS n_chars FROM (SELECT doc_id, unnest(string_split_regex(regexp_replace(text, '(\r\n|\n|\r)\z', ''), '\r\n|\n|\r')) AS line FROM documents WHERE text <> '') GROUP BY doc_id")
 def md_split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _prose(spark, sf_dir).where("text <> '' AND NOT contains(text, chr(13))")
+    docs = _prose(spark, sf_dir)
     lines = docs.select("doc_id", F.explode(lx.split_lines(F.col("text"))).alias("line"))
     return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).cast("decimal(38,0)").alias("n_chars"))
 
 
-@query("SELECT doc_id, left(text, 12) AS head, CAST(strlen(left(text, 12)) AS BIGINT) AS n_bytes, strlen(text) = 0 AS is_empty FROM documents WHERE length(text) >= 12")
+@query("SELECT doc_id, left(text, 12) AS head, CAST(strlen(left(text, 12)) AS BIGINT) AS n_bytes, md5(substr(text, 13)) AS rest, strlen(text) = 0 AS is_empty FROM documents")
 def md_span_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte spans of characters: the head of each text, cut by bytes."""
-    docs = _prose(spark, sf_dir).where("length(text) >= 12")
+    """Byte spans of characters: the head of each text, and what is after it, cut by bytes."""
+    docs = _prose(spark, sf_dir)
     n = F.octet_length(F.substring("text", 1, 12)).cast("long")
-    return docs.select("doc_id", t.span_slice(F.col("text"), F.lit(0), n).alias("head"), n.alias("n_bytes"), t.span_empty(F.lit(0), F.octet_length("text")).alias("is_empty"))
+    return docs.select("doc_id", t.span_slice(F.col("text"), F.lit(0), n).alias("head"), n.alias("n_bytes"), F.md5(t.span_slice(F.col("text"), n, F.octet_length("text")).cast("binary")).alias("rest"), t.span_empty(F.lit(0), F.octet_length("text")).alias("is_empty"))
 
 
 @query()
@@ -172,13 +172,12 @@ MARKERS = ["", "> ", "# ", "- ", "7) ", "```", "~~~ ", "$$", "::: ", "| ", "<div
 
 
 def _marked_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _prose(spark, sf_dir).where("NOT contains(text, chr(13))")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "raw"))
+    lines = _prose(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("place", "raw"))
     marker = F.get(F.array(*map(F.lit, MARKERS)), ((F.col("doc_id") + F.col("place")) % len(MARKERS)).cast("int"))
     return lines.select("doc_id", "place", F.concat(marker, "raw").alias("line"))
 
 
-_LINES = "SELECT doc_id, CAST(i - 1 AS INTEGER) AS place, list_extract([" + ", ".join("'" + m + "'" for m in MARKERS) + f"], CAST((doc_id + i - 1) % {len(MARKERS)} AS INTEGER) + 1) || list_extract(l, i) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE NOT contains(text, chr(13))) d, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i) u"
+_LINES = "SELECT doc_id, CAST(i - 1 AS INTEGER) AS place, list_extract([" + ", ".join("'" + m + "'" for m in MARKERS) + f"], CAST((doc_id + i - 1) % {len(MARKERS)} AS INTEGER) + 1) || list_extract(l, i) AS line FROM (SELECT doc_id, string_split_regex(text, '\\r\\n|\\n|\\r') AS l FROM documents) d, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i) u"
 _TAGS = "|".join(lx.g.BLOCK_TAGS)
 
 

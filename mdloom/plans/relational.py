@@ -5,15 +5,21 @@ from __future__ import annotations
 import os
 import signal
 import time
+from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexical as lx
+from ..functions import soup, variants
+from ..kernel.constructs import Constructs
+from ..operators import compare, sketches, totals
 from ..operators.guard import guarded, node_rows
 from ..operators.linestates import line_states
 from ..sources import corpus
-from .queries import _prose, query
+from ..sources.store import stored
+from ..streaming import state
+from .queries import _LINES, MARKERS, SQL, _marked_lines, _prose, query
 
 # ---- rows that fail
 
@@ -153,3 +159,163 @@ FROM states a JOIN states b ON a.doc_id = b.doc_id AND b.place = a.place + 1
 def lex_line_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is open before each line of every text, what the line starts there, and what it closes."""
     return line_states(_planted_lines(_prose(spark, sf_dir)))
+
+
+# ---- options by row, and what differs between tables
+
+_KINDS = SQL["lex_line_start"]
+_RAW_KINDS = _KINDS.replace(_LINES, _LINES.replace("list_extract([" + ", ".join("'" + m + "'" for m in MARKERS) + f"], CAST((doc_id + i - 1) % {len(MARKERS)} AS INTEGER) + 1) || ", ""))
+#: What each switch of the grammar takes from the classes of lines.
+_TAKES = {"html_flow": ["HtmlBlock"], "math_flow": ["MathFence"], "liquid": ["Liquid"], "container_directive": ["DirectiveOpener", "DirectiveCloser"], "gfm_footnote": ["FootnoteDefinition"], "gfm_table": ["TableRow"]}
+_SWITCHES = [f.name for f in fields(Constructs)]
+_QUOTED = {name: ", ".join(f"'{k}'" for k in _TAKES.get(name, ["-"])) for name in _SWITCHES}
+
+
+@query(
+    f"WITH k AS ({_KINDS}) "
+    + " UNION ALL ".join(f"SELECT '{name}' AS switch, count(*) AS n_lines, CAST(sum(CASE WHEN kind IN ({_QUOTED[name]}) THEN 1 ELSE 0 END) AS BIGINT) AS n_changed, count(kind) - CAST(sum(CASE WHEN kind IN ({_QUOTED[name]}) THEN 1 ELSE 0 END) AS BIGINT) AS n_left FROM k" for name in _SWITCHES)
+)
+def lex_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each switch of the grammar turned alone, as a column of options: lines whose class changes, and those that still have one."""
+    lines = _marked_lines(spark, sf_dir).withColumn("switch", F.explode(F.array(*map(F.lit, _SWITCHES))))
+    turned = {name: F.lit(getattr(Constructs.markdown(), name)) != (F.col("switch") == name) for name in _SWITCHES}
+    plain, own = lx.line_start(F.col("line"), F.lit(False)), lx.line_start(F.col("line"), F.lit(False), F.col("options"))
+    kinds = lines.withColumn("options", lx.options(**turned)).select("switch", plain.alias("plain"), own.alias("own"))
+    return kinds.groupBy("switch").agg(F.count("*").alias("n_lines"), F.sum((~F.col("plain").eqNullSafe(F.col("own"))).cast("long")).alias("n_changed"), F.count("own").alias("n_left"))
+
+
+def _kinds(spark: SparkSession, sf_dir: str, constructs: Constructs | None = None) -> DataFrame:
+    return _marked_lines(spark, sf_dir).select("doc_id", "place", lx.line_start(F.col("line"), F.lit(False), constructs).alias("kind"))
+
+
+@query(f"WITH k AS ({_KINDS}) SELECT doc_id, place, 'changed' AS change, 'kind' AS fields, kind AS was, CAST(NULL AS VARCHAR) AS now FROM k WHERE kind IN ({', '.join(q for n, q in _QUOTED.items() if n in _TAKES and n != 'html_flow')})")
+def md_preset_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are something else to CommonMark than to general Markdown."""
+    found = compare.changes(_kinds(spark, sf_dir), _kinds(spark, sf_dir, Constructs.commonmark()), ["doc_id", "place"])
+    return found.select("doc_id", "place", "change", F.array_join("fields", ",").alias("fields"), F.col("before.kind").alias("was"), F.col("after.kind").alias("now"))
+
+
+@query(
+    f"""
+WITH marked AS (SELECT doc_id, kind FROM ({_KINDS})), raw AS (SELECT doc_id, kind FROM ({_RAW_KINDS}))
+SELECT doc_id, kind, 'added' AS change, count(*) AS n FROM (SELECT * FROM marked EXCEPT ALL SELECT * FROM raw) GROUP BY doc_id, kind
+UNION ALL SELECT doc_id, kind, 'removed', count(*) FROM (SELECT * FROM raw EXCEPT ALL SELECT * FROM marked) GROUP BY doc_id, kind
+"""
+)
+def md_structure_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of lines that two versions of every text have more or fewer of."""
+    lines = _prose(spark, sf_dir).select("doc_id", F.explode(F.split("text", r"\r\n|\n|\r")).alias("line"))
+    raw = lines.select("doc_id", lx.line_start(F.col("line"), F.lit(False)).alias("kind"))
+    return compare.multiset_difference(raw, _kinds(spark, sf_dir).drop("place"))
+
+
+# ---- totals, sketches, semi-structured properties
+
+
+def _class_sql(column: str) -> str:
+    return f"CASE WHEN {column} < 200 THEN 'short' WHEN {column} < 2000 THEN 'middle' WHEN {column} IS NOT NULL THEN 'long' END"
+
+
+_CUBE = f"(SELECT d.source, d.lang, {_class_sql('length(d.text)')} AS class, k.kind FROM ({_KINDS}) k JOIN documents d USING (doc_id))"
+
+
+def _described_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", totals.size_class(F.length("text")).alias("class"))
+    return _kinds(spark, sf_dir).join(docs, "doc_id")
+
+
+@query(f"SELECT source, lang, class, kind, CAST(GROUPING(source, lang, class, kind) AS BIGINT) AS level, count(*) AS n FROM {_CUBE} GROUP BY CUBE (source, lang, class, kind)")
+def md_kind_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of lines by source, language and size of document, with all subtotals."""
+    return totals.totals(_described_kinds(spark, sf_dir), ["source", "lang", "class", "kind"], {"n": F.count("*")})
+
+
+@query(f"SELECT lang, kind, CAST(GROUPING(lang, kind) AS BIGINT) AS level, count(*) AS n, count(DISTINCT source) AS sources FROM {_CUBE} GROUP BY ROLLUP (lang, kind)")
+def md_kind_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return totals.totals(_described_kinds(spark, sf_dir), ["lang", "kind"], {"n": F.count("*"), "sources": F.count_distinct("source")}, "rollup")
+
+
+@query(f"SELECT lang, class, kind, CAST(GROUPING(lang, class, kind) AS BIGINT) AS level, count(*) AS n FROM {_CUBE} GROUP BY GROUPING SETS ((lang, class), (kind), ())")
+def md_kind_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return totals.totals(_described_kinds(spark, sf_dir), ["lang", "class", "kind"], {"n": F.count("*")}, [["lang", "class"], ["kind"], []])
+
+
+@query(
+    r"""
+WITH w AS (SELECT source, unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word FROM documents)
+SELECT source, count(*) AS n, count(DISTINCT word) AS words, true AS distinct_within, true AS median_within FROM w GROUP BY source
+"""
+)
+def md_word_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words by source from sketches stored by source and language, beside exact answers: whether each lies within its bound."""
+    docs = corpus.table(spark, sf_dir, "documents")
+    words = docs.select("source", "lang", F.explode(F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))).alias("word")).withColumn("size", F.octet_length("word").cast("long"))
+    parts = stored(sketches.sketched(words, ["source", "lang"], "word", "size"), "sketches")
+    about = sketches.estimates(sketches.merged(parts, ["source"]), ["source"], (0.5,))
+    near = words.join(F.broadcast(about.select("source", "q50")), "source")  # a row a source
+    exact = near.groupBy("source").agg(F.count_distinct("word").alias("words"), F.mean((F.col("size") < F.col("q50")).cast("double")).alias("under"), F.mean((F.col("size") <= F.col("q50")).cast("double")).alias("upto"))
+    full = about.join(exact, "source")
+    off = F.abs(F.col("distinct") - F.col("words")) <= 5 * sketches.DISTINCT_ERROR * F.col("words") + 1
+    rank = (F.col("under") <= 0.5 + 3 * sketches.RANK_ERROR) & (F.col("upto") >= 0.5 - 3 * sketches.RANK_ERROR)
+    return full.select("source", "n", "words", off.alias("distinct_within"), rank.alias("median_within"))
+
+
+@query(
+    """
+WITH j AS (SELECT event_id, '{"props":' || coalesce(props, 'null') || ',"user":{"id":' || user_id || ',"tags":["' || event_type || '",null]}' || CASE WHEN event_id % 3 = 0 THEN ',"extra":{"v":' || event_id || '}' ELSE '' END || '}' AS j FROM events)
+SELECT event_id, TRY_CAST(json_extract_string(j, '$.props.k') AS BIGINT) AS k, json_extract_string(j, '$.user.tags[0]') AS tag, TRY_CAST(json_extract_string(j, '$.extra.v') AS BIGINT) AS extra,
+       json_extract_string(j, '$.user.none.deeper') AS missing, TRY_CAST(json_extract_string(j, '$.user.tags[0]') AS BIGINT) AS mistyped, CAST(CASE WHEN event_id % 3 = 0 THEN 5 ELSE 4 END AS BIGINT) AS n_leaves FROM j
+"""
+)
+def md_variant_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested, missing and mistyped paths of semi-structured properties, and the number of their scalars."""
+    e = corpus.table(spark, sf_dir, "events")
+    extra = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(',"extra":{"v":'), "event_id", F.lit("}"))).otherwise("")
+    json = F.concat(F.lit('{"props":'), F.coalesce("props", F.lit("null")), F.lit(',"user":{"id":'), "user_id", F.lit(',"tags":["'), "event_type", F.lit('",null]}'), extra, F.lit("}"))
+    rows = e.select("event_id", variants.parsed(json).alias("v"))
+    sizes = variants.leaves(rows, "v", ["event_id"]).groupBy("event_id").agg(F.count("*").alias("n_leaves"))
+    v = F.col("v")
+    paths = rows.select("event_id", variants.at(v, "$.props.k", "bigint").alias("k"), variants.at(v, "$.user.tags[0]").alias("tag"), variants.at(v, "$.extra.v", "bigint").alias("extra"), variants.at(v, "$.user.none.deeper").alias("missing"), variants.at(v, "$.user.tags[0]", "bigint").alias("mistyped"))
+    return paths.join(sizes, "event_id")
+
+
+# ---- reproducible tokens
+
+_WIDE = ", ".join("'" + x.replace("'", "''") + "'" for x in corpus.WIDE)
+
+
+@query(
+    f"""
+WITH {_SPLIT.strip()}, l AS (
+    SELECT doc_id, i, l[i] AS line, (((doc_id % 4294967296) + 4294967296) % 4294967296 + CAST(i AS HUGEINT) * 1831565813) & 4294967295 AS s FROM split, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i) u
+), a AS (SELECT *, (CAST(xor(s, s >> 15) AS HUGEINT) * (s | 1)) & 4294967295 AS x FROM l
+), b AS (SELECT *, xor(x, (x + ((CAST(xor(x, x >> 7) AS HUGEINT) * (x | 61)) & 4294967295)) & 4294967295) AS y FROM a
+), c AS (SELECT *, [{_WIDE}] AS tokens, (xor(y, y >> 14) * {len(corpus.WIDE)}) >> 32 AS k FROM b)
+SELECT doc_id, count(*) AS n_tokens, md5(string_agg(tokens[CAST(k AS BIGINT) + 1] || line, chr(10) ORDER BY i)) AS digest FROM c GROUP BY doc_id
+"""
+)
+def check_planted_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with a token of the reproducible generator before each of its lines."""
+    tokens = F.array(*map(F.lit, corpus.WIDE))
+    line = lambda x, i: F.concat(F.get(tokens, soup.below(F.col("doc_id"), i + 1, len(corpus.WIDE)).cast("int")), x)
+    lines = _prose(spark, sf_dir).select("doc_id", lx.split_lines(F.col("text")).alias("lines")).where(F.size("lines") > 0)
+    return lines.select("doc_id", F.size("lines").cast("long").alias("n_tokens"), F.md5(F.array_join(F.transform("lines", line), "\n").cast("binary")).alias("digest"))
+
+
+# ---- streams
+
+
+@query(
+    """
+WITH e AS (SELECT user_id, ts, value, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS gap FROM events),
+s AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap >= INTERVAL 2 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM e)
+SELECT user_id, epoch_us(min(ts)) AS started, epoch_us(max(ts)) + 7200000000 AS ended, count(*) AS n, max(value) AS most FROM s GROUP BY user_id, session
+"""
+)
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of the events' users from a stream of the whole table."""
+    events = corpus.table(spark, sf_dir, "events").schema
+    stream = spark.readStream.schema(events).parquet(f"{sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    micros = lambda c: F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({c} AS timestamp_ntz))").alias(c)
+    out = state.run_to_end(state.sessions(stream, ["user_id"], "ts", "2 hours", most=F.max("value")), "sessions", "complete")
+    return out.select("user_id", micros("started"), micros("ended"), "n", "most")

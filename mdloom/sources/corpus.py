@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
 
+from ..functions.soup import soup
+
 TOKENS = ["*", "**", "_", "~~", "`", "``", "$$", "[", "]", "(", ")", "![", "](", "[^1]", "]:", "<", ">", "<a>", "<!--", "-->", "- ", "1. ", "2) ", "> ", "# ", "---", "\n", "\n\n", "\t", "    ", " ", "a", "foo", "é", "漢", "|", "|-|", "\\", "{{", "}}", ":::a", "[[", "]]", "www.a.b", "u@e.com", "&amp;", "[x] "]
+#: Further tokens of texts that stress a parser: underlines, single dollars, tags, raw text elements, line endings, markers of deep or odd lines.
+WIDE = [*TOKENS, "=", "===", "$", "$x$", "{%", "%}", "{% t %}", "{{ v }}", "<script>", "</script>", "<pre x>", "</pre>", "<textarea>\n", "<span x=1>", "</span>", "\r\n", "  \r\n", "  \n", "\\\n", "```\n", "***", "[x]: /u", "[^1]: n", "\"t\"", "http://x.y/p(q)", "😀", "\u3000", "::::", ":::note\n", "{.c}", "    a\n", "      \n", "\t\n", "+", "2)", "_", "__"]
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -40,30 +44,9 @@ def read_suite_text(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.row_number().over(order).alias("example"), "section", tabs(F.get(body, F.lit(0))).alias("markdown"), tabs(F.get(body, F.lit(1))).alias("html"))
 
 
-def mulberry32(seed: int):
-    """The 32-bit generator of that name: numbers from 0 up to 1."""
-    state = seed & 0xFFFFFFFF
-    while True:
-        state = (state + 0x6D2B79F5) & 0xFFFFFFFF
-        x = (state ^ state >> 15) * (state | 1) & 0xFFFFFFFF
-        x ^= (x + ((x ^ x >> 7) * (x | 61) & 0xFFFFFFFF)) & 0xFFFFFFFF
-        yield ((x ^ x >> 14) & 0xFFFFFFFF) / 4294967296
-
-
 def token_soup(spark: SparkSession, count: int, seed: int = 0) -> DataFrame:
-    """(doc_id, text): random runs of 2 to 40 tokens, the same for the same seed, made on the executors."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            out = []
-            for i in batch.column(0).to_pylist():
-                rng = mulberry32(seed * 1_000_003 + i)
-                out.append("".join(TOKENS[int(next(rng) * len(TOKENS))] for _ in range(2 + int(next(rng) * 39))))
-            yield pa.record_batch([batch.column(0), pa.array(out)], ["doc_id", "text"])
-
-    return spark.range(count).mapInArrow(run, "doc_id long, text string")
+    """(doc_id, text): random runs of 2 to 40 tokens, the same for the same seed, without Python."""
+    return spark.range(count).select(F.col("id").alias("doc_id"), soup(F.lit(seed * 1_000_003) + F.col("id"), TOKENS).alias("text"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
