@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from ..functions import lexical as lx
 from ..functions import soup, variants
 from ..kernel.constructs import Constructs
-from ..operators import compare, sketches, totals
+from ..operators import compare, invariants, sketches, totals
 from ..operators.guard import guarded, node_rows
 from ..operators.linestates import line_states
+from ..operators.parse import render_html
 from ..sources import corpus
-from ..sources.store import stored
+from ..sources.datasource import register
+from ..sources.store import scratch, stored
 from ..streaming import state
 from .queries import _LINES, MARKERS, SQL, _marked_lines, _prose, query
 
@@ -319,3 +321,23 @@ def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     micros = lambda c: F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast({c} AS timestamp_ntz))").alias(c)
     out = state.run_to_end(state.sessions(stream, ["user_id"], "ts", "2 hours", most=F.max("value")), "sessions", "complete")
     return out.select("user_id", micros("started"), micros("ended"), "n", "most")
+
+
+# ---- a test suite from its own source, run and summed up
+
+
+@query(
+    "SELECT p_brand AS section, count(*) AS total, CAST(sum(CASE WHEN p_partkey % 50 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS passed, CAST(sum(CASE WHEN p_partkey % 50 = 0 THEN 1 ELSE 0 END) AS INTEGER) AS n_failed FROM part GROUP BY p_brand"
+)
+def check_suite_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples written in the format of suites, read by ranges, rendered, and held against what they expect; some expect wrongly."""
+    register(spark)
+    parts, fence = corpus.table(spark, sf_dir, "part"), "`" * 32
+    wrong = F.when(F.col("p_partkey") % 50 == 0, "not ").otherwise("")
+    example = F.concat(F.lit("# "), "p_brand", F.lit(f"\n\n{fence} example\n→\n*"), "p_name", F.lit("* `"), "p_partkey", F.lit("`\n.\n<p>"), wrong, F.lit("<em>"), "p_name", F.lit("</em> <code>"), "p_partkey", F.lit(f"</code></p>\n{fence}\n"))
+    folder = scratch(spark, "suite")
+    parts.select(example).write.text(folder)
+    suite = spark.read.format("markdown_suite").load(folder).withColumn("doc_id", F.xxhash64("path", "example"))
+    made = render_html(suite, Constructs.commonmark(), text_col="markdown")
+    results = suite.join(made.withColumnRenamed("html", "rendered"), "doc_id").select("section", "example", (F.col("rendered") == F.col("html")).alias("passed"))
+    return invariants.suite_summary(results).select("section", "total", "passed", F.size("failed").alias("n_failed"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader
 
 from ..functions.soup import soup
+from .datasource import register
 
 TOKENS = ["*", "**", "_", "~~", "`", "``", "$$", "[", "]", "(", ")", "![", "](", "[^1]", "]:", "<", ">", "<a>", "<!--", "-->", "- ", "1. ", "2) ", "> ", "# ", "---", "\n", "\n\n", "\t", "    ", " ", "a", "foo", "é", "漢", "|", "|-|", "\\", "{{", "}}", ":::a", "[[", "]]", "www.a.b", "u@e.com", "&amp;", "[x] "]
 #: Further tokens of texts that stress a parser: underlines, single dollars, tags, raw text elements, line endings, markers of deep or odd lines.
@@ -30,18 +31,8 @@ def read_suite_json(spark: SparkSession, path: str) -> DataFrame:
 
 def read_suite_text(spark: SparkSession, path: str) -> DataFrame:
     """A suite in specification text: examples between long fences, an arrow for a tab, numbered over the whole file."""
-    whole = spark.read.text(path, wholetext=True)
-    fence = "`" * 32
-    found = F.regexp_extract_all("value", F.lit(rf"(?ms)^(?:{fence} example[^\n]*\n.*?^{fence}$|\#+ [^\n]*$)"), F.lit(0))
-    rows = whole.select(F.posexplode(found).alias("at", "raw"))
-    from pyspark.sql import Window
-
-    order = Window.orderBy("at")  # one specification file
-    section = F.last(F.when(F.col("raw").startswith("#"), F.regexp_extract("raw", r"\A#+ (.*)", 1)), ignorenulls=True).over(order)
-    body = F.split(F.regexp_replace("raw", rf"\A{fence} example[^\n]*\n|{fence}\z", ""), r"(?m)^\.\n", 2)
-    rows = rows.withColumn("section", section).where(~F.col("raw").startswith("#"))
-    tabs = lambda c: F.replace(c, F.lit("→"), F.lit("\t"))
-    return rows.select(F.row_number().over(order).alias("example"), "section", tabs(F.get(body, F.lit(0))).alias("markdown"), tabs(F.get(body, F.lit(1))).alias("html"))
+    register(spark)
+    return spark.read.format("markdown_suite").load(path).select("example", "section", "markdown", "html")
 
 
 def token_soup(spark: SparkSession, count: int, seed: int = 0) -> DataFrame:
