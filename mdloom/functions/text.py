@@ -1,7 +1,11 @@
-"""Scalar functions: spans and segments natively, cooked values by vectorised Python where case rules need it."""
+"""Scalar functions: spans, segments and cooked values, natively; delimiter runs by the kernel's rules."""
 
 from __future__ import annotations
 
+import json
+import re
+from html.entities import html5
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,17 +59,37 @@ def canonical_inputs(html: Column) -> Column:
     return F.array_join(F.transform(parts, lambda x: F.when(x.startswith("<input "), F.concat(F.lit("<input "), attributes(x), F.lit(" />"))).otherwise(x)), "")
 
 
-# ---- vectorised
+#: Pieces of raw text: an escape, a character reference, or what lies between.
+_COOKED = r"(?s)\\[!-/:-@\[-`{-~]|&(?:#[xX][0-9a-fA-F]{1,6}|#[0-9]{1,7}|[A-Za-z0-9]+);|[^\\&]+|."
+#: Characters of an address that stand for themselves.
+_PLAIN = "".join(re.escape(chr(b)) for b in sorted(r.SAFE))
+
 
+def _pieces(text: Column, pattern: str, one) -> Column:
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), one), "")
 
-@F.pandas_udf(T.StringType())
-def _decode(raw: pd.Series) -> pd.Series:
-    return raw.map(g.decode, na_action="ignore")
+
+def code_point(n: Column) -> Column:
+    """The character of a code point; the replacement character for what is none."""
+    fine = (n > 0) & (n <= 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+    return F.when(fine, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise("\ufffd")
 
 
 def decode(raw: Column) -> Column:
-    """Backslash escapes and character references; only rows that hold either reach Python's decoder."""
-    return F.when(raw.rlike(r"[\\&]"), _decode(raw)).otherwise(raw)
+    """Backslash escapes and character references, resolved; names are looked up in a constant map."""
+    names = F.from_json(F.lit(json.dumps({k: v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
+
+    def one(x: Column) -> Column:
+        digits = F.regexp_extract(x, r"[0-9a-fA-F]+", 0)
+        return (
+            F.when(x.startswith("\\") & (F.length(x) == 2), F.substring(x, 2, 1))
+            .when(x.rlike(r"\A&#[xX].+;\z"), code_point(F.conv(digits, 16, 10).cast("long")))
+            .when(x.rlike(r"\A&#.+;\z"), code_point(digits.try_cast("long")))
+            .when(x.rlike(r"\A&.+;\z"), F.coalesce(F.try_element_at(names, F.substring(x, F.lit(2), F.length(x))), x))
+            .otherwise(x)
+        )
+
+    return F.when(raw.rlike(r"[\\&]"), _pieces(raw, _COOKED, one)).otherwise(raw)
 
 
 def destination(raw: Column) -> Column:
@@ -73,42 +97,39 @@ def destination(raw: Column) -> Column:
     return decode(F.when(raw.startswith("<"), F.regexp_replace(raw, r"(?s)\A<(.*)>\z", "$1")).otherwise(raw))
 
 
-@F.pandas_udf(T.StringType())
-def _normalize(label: pd.Series) -> pd.Series:
-    return label.map(g.normalize_label, na_action="ignore")
+def normalize_label(label: Column) -> Column:
+    """The key under which a label is looked up: white space collapsed, each character folded by lower, upper, lower.
+
+    Case functions right inside each other would be taken for one; an empty text between them keeps all three.
+    """
+    plain = F.btrim(F.regexp_replace(label, r"[\t\n\r ]+", " "), F.lit(" "))
+    apart = lambda c: F.concat(c, F.lit(""))
+    folded = _pieces(plain, r"(?s).", lambda c: F.lower(apart(F.upper(apart(F.lower(c))))))
+    return F.when(label.rlike(r"\A[\x00-\x7F]*\z"), F.lower(plain)).otherwise(folded)
 
 
-def normalize_label(label: Column) -> Column:
-    """The key under which a label is looked up; folding is per character, so it is not nested SQL case functions."""
-    plain = F.lower(F.btrim(F.regexp_replace(label, r"[\t\n\r ]+", " "), F.lit(" ")))
-    return F.when(label.rlike(r"\A[\x00-\x7F]*\z"), plain).otherwise(_normalize(label))
+def encode_href(text: Column) -> Column:
+    """An address as an attribute: bytes of unsafe characters by number, stray percent signs too."""
 
+    def one(x: Column) -> Column:
+        byte = F.regexp_replace(F.hex(F.encode(x, "UTF-8")), "(..)", "%$1")
+        return F.when(x == "&", "&amp;").when(x == "%", "%25").when(x.rlike(rf"\A(?:%..|[{_PLAIN}]+)\z"), x).otherwise(byte)
 
-@F.pandas_udf(T.StringType())
-def encode_href(text: pd.Series) -> pd.Series:
-    return text.map(r.encode_href, na_action="ignore")
+    return _pieces(text, rf"(?s)%(?:[0-9A-Za-z]{{2}})?|[{_PLAIN}]+|.", one)
 
 
-@F.pandas_udf(T.StringType())
-def title(joined: pd.Series) -> pd.Series:
+def title(joined: Column) -> Column:
     """A title's text from its joined lines, with its quotes."""
-    strip = lambda s: g.decode("\n".join(x if i == 0 else x.lstrip(" \t") for i, x in enumerate(s.split("\n")))[1:-1])
-    return joined.map(strip, na_action="ignore")
+    lines = F.regexp_replace(joined, r"\n[ \t]+", "\n")
+    return decode(F.substring(lines, F.lit(2), F.greatest(F.length(lines) - 2, F.lit(0))))
 
 
-@F.pandas_udf(T.StringType())
-def html_inline(joined: pd.Series) -> pd.Series:
+def html_inline(joined: Column) -> Column:
     """Inline HTML whose continuation lines lose up to three columns."""
+    return F.regexp_replace(joined, r"\n(?: {0,2}\t| {1,3})", "\n")
 
-    def strip(s: str) -> str:
-        raw = s.encode()
-        pieces, at = [], 0
-        for line in raw.split(b"\n"):
-            pieces.append((at, at + len(line), 0))
-            at += len(line) + 1
-        return r.join_stripped(raw, pieces, 3)
 
-    return joined.map(strip, na_action="ignore")
+# ---- by rules of a whole run of characters
 
 
 @F.pandas_udf(T.StructType([T.StructField("can_open", T.BooleanType()), T.StructField("can_close", T.BooleanType())]))

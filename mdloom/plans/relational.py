@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 from ..functions import lexical as lx
 from ..functions import soup, variants
+from ..functions import text as t
 from ..kernel.constructs import Constructs
-from ..operators import compare, invariants, sketches, totals
+from ..operators import compare, invariants, sketches, totals, views
 from ..operators.guard import guarded, node_rows
 from ..operators.linestates import line_states
-from ..operators.parse import render_html
+from ..operators.parse import blank_lines, parse_markdown, render_html
 from ..sources import corpus
 from ..sources.datasource import register
 from ..sources.store import scratch, stored
@@ -341,3 +342,48 @@ def check_suite_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = render_html(suite, Constructs.commonmark(), text_col="markdown")
     results = suite.join(made.withColumnRenamed("html", "rendered"), "doc_id").select("section", "example", (F.col("rendered") == F.col("html")).alias("passed"))
     return invariants.suite_summary(results).select("section", "total", "passed", F.size("failed").alias("n_failed"))
+
+
+# ---- checks that must find what is planted
+
+
+@query("SELECT doc_id, 'bounds' AS rule FROM documents WHERE doc_id % 7 = 0 UNION ALL SELECT doc_id, 'empty' FROM documents WHERE doc_id % 7 = 1 AND regexp_matches(text, '[^ \\t\\r\\n]') UNION ALL SELECT doc_id, 'inside' FROM documents WHERE doc_id % 7 = 2 AND regexp_matches(text, '[^ \\t\\r\\n]')")
+def check_planted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of every text, some of them damaged: roots that begin before their text, texts of no length, and blocks that end before their first text."""
+    docs = _prose(spark, sf_dir)
+    nodes = stored(parse_markdown(docs), "nodes")
+    first = nodes.where("type = 'Text'").groupBy("doc_id").agg(F.min_by("node_id", F.struct("start", "node_id")).alias("text_id"), F.min_by("parent_id", F.struct("start", "node_id")).alias("block_id"))
+    kind, node = F.col("doc_id") % 7, F.col("node_id")
+    damaged = nodes.join(first, "doc_id", "left").withColumns(
+        {
+            "start": F.when((kind == 0) & (node == 0), -5).otherwise(F.col("start")),
+            "end": F.when((kind == 1) & (node == F.col("text_id")), F.col("start")).otherwise(F.col("end")),
+        }
+    )
+    cut = damaged.withColumn("end", F.when((kind == 2) & (node == F.col("block_id")), F.col("start")).otherwise(F.col("end"))).drop("text_id", "block_id")
+    found = invariants.broken_spans(cut, docs).where("rule <> 'segment'")
+    return found.groupBy("doc_id", "rule").agg(F.count("*").alias("n")).select("doc_id", "rule")
+
+
+@query("SELECT CAST(c_nationkey AS BIGINT) AS doc_id, CAST(1 AS INTEGER) AS list_id FROM customer WHERE c_nationkey % 3 = 0 GROUP BY c_nationkey")
+def check_planted_tightness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checklists of every nation, with the flag of some turned: just those come back."""
+    docs = corpus.customer_checklists(spark, sf_dir)
+    turned = parse_markdown(docs, inlines=False).withColumn("tight", F.when(F.col("doc_id") % 3 == 0, ~F.col("tight")).otherwise(F.col("tight")))
+    return views.tightness_check(turned, blank_lines(docs))
+
+
+@query(
+    "SELECT p_partkey, replace(p_name, 'a', '&') || chr(233) || '*' || chr(128512) || chr(65533) AS decoded, '/' || replace(p_name, ' ', '%20') || '%C3%A9%25&amp;' AS href, p_brand || chr(10) || 'x\"' AS title, '<' || p_brand || chr(10) || ' y>' AS html, lower(p_name) || ' ss' || chr(963) AS label FROM part"
+)
+def fn_cooked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Escapes, references, addresses, titles and labels made of every part's name."""
+    name, brand = F.col("p_name"), F.col("p_brand")
+    return corpus.table(spark, sf_dir, "part").select(
+        "p_partkey",
+        t.decode(F.concat(F.replace(name, F.lit("a"), F.lit("&amp;")), F.lit("&eacute;\\*&#x1F600;&#0;"))).alias("decoded"),
+        t.encode_href(F.concat(F.lit("/"), name, F.lit("é%&"))).alias("href"),
+        t.title(F.concat(F.lit("'"), brand, F.lit("\n \tx\\\"'"))).alias("title"),
+        t.html_inline(F.concat(F.lit("<"), brand, F.lit("\n    y>"))).alias("html"),
+        t.normalize_label(F.concat(F.lit(" "), F.upper(name), F.lit("\t\nẞς "))).alias("label"),
+    )
