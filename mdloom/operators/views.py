@@ -147,5 +147,5 @@ def tightness_check(nodes: DataFrame, blanks: DataFrame) -> DataFrame:
 
 
 def tree_lines(nodes: DataFrame) -> DataFrame:
-    """The node table as indented lines in document order."""
-    return nodes.orderBy("doc_id", "node_id").select("doc_id", "node_id", F.concat(F.repeat(F.lit("  "), F.col("depth")), "type", F.lit(" ["), F.col("start"), F.lit(".."), F.col("end"), F.lit("]")).alias("line"))
+    """The node table as indented lines; those of a document are together, in order, and documents are in none."""
+    return nodes.repartition("doc_id").sortWithinPartitions("doc_id", "node_id").select("doc_id", "node_id", F.concat(F.repeat(F.lit("  "), F.col("depth")), "type", F.lit(" ["), F.col("start"), F.lit(".."), F.col("end"), F.lit("]")).alias("line"))

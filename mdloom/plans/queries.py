@@ -418,8 +418,3 @@ def check_suite_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def check_token_soup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.token_soup(spark, 5000)
-
-
-@query()
-def check_quirks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return invariants.known_quirks(corpus.token_soup(spark, 5000))

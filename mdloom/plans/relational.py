@@ -387,3 +387,12 @@ def fn_cooked_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
         t.html_inline(F.concat(F.lit("<"), brand, F.lit("\n    y>"))).alias("html"),
         t.normalize_label(F.concat(F.lit(" "), F.upper(name), F.lit("\t\nẞς "))).alias("label"),
     )
+
+
+@query()
+def check_quirks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes on which parsers differ, in every text with a token of the reproducible generator before each of its lines."""
+    tokens = F.array(*map(F.lit, corpus.WIDE))
+    line = lambda x, i: F.concat(F.get(tokens, soup.below(F.col("doc_id"), i + 1, len(corpus.WIDE)).cast("int")), x)
+    docs = _prose(spark, sf_dir).select("doc_id", F.array_join(F.transform(lx.split_lines(F.col("text")), line), "\n").alias("text"))
+    return invariants.known_quirks(docs)
