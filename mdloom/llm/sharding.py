@@ -6,7 +6,8 @@ needed until shards hold nearly equal bytes. Only the map changes when shards ar
 record's virtual slot never does. The map has ``slots`` rows whatever the input's size.
 
 Defined cases: null text counts as empty; a null doc_id hashes like any value, with the text deciding the
-slot; repeated rows share a slot and get different places; an empty table gives no rows. A map
+slot; repeated rows share a slot and get different places, unless they hold more than twice what a slot has on average: then each
+of them hashes with its own number, so that no slot is hot; an empty table gives no rows. A map
 that has versions already is edited from its latest one, and keeps them all; it can gain shards, not lose any. Other columns of the input are ignored.
 """
 
@@ -17,7 +18,7 @@ from bisect import bisect_left, insort
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, table
+from .common import scratch, stored, table
 
 SLOTS = 16384
 SHARDS = 40
@@ -33,6 +34,21 @@ def records(docs: DataFrame, slots: int = SLOTS) -> DataFrame:
     )
 
 
+def spread(placed: DataFrame, load: list[int]) -> DataFrame:
+    """``placed`` with the repeated rows of hot slots dealt over all slots by their number ``row``; every other row keeps its slot."""
+    slots, most = len(load), 2 * sum(load) // len(load)
+    over = [s for s, n in enumerate(load) if n > most]  # half of the slots at most
+    if not over:
+        return placed
+    spark, key = placed.sparkSession, ["doc_id", "text_crc32", "size"]
+    hot = F.broadcast(spark.createDataFrame([(s,) for s in over], "vslot int"))
+    same = placed.join(hot, "vslot").groupBy(*key).agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") * F.col("size") > most))
+    names = F.broadcast(same.select(*(F.col(c).alias(f"_{c}") for c in key)))  # fewer than half as many as slots, as each holds as much as two
+    found = placed.join(names, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_crc32") == F.col("_text_crc32")) & (F.col("size") == F.col("_size")), "left")
+    own = F.pmod(F.xxhash64("vslot", "row"), F.lit(slots)).cast("int")
+    return found.withColumn("vslot", F.when(F.col("_size").isNull(), F.col("vslot")).otherwise(own)).drop(*(f"_{c}" for c in key))
+
+
 def first_map(slots: int, shards: int) -> list[int]:
     """Version 1: slots dealt round robin."""
     return [s % shards for s in range(slots)]
@@ -141,14 +157,24 @@ class SlotMap:
         return self.spark.read.schema(self.schema).parquet(self.path).where(F.col("version") == version)
 
 
+def _counted(placed: DataFrame, slots: int) -> tuple[list[int], list[int]]:
+    """Rows and bytes of each slot."""
+    rows, load = [0] * slots, [0] * slots
+    for r in placed.groupBy("vslot").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).collect():  # `slots` rows at most
+        rows[r.vslot], load[r.vslot] = r["rows"], r["bytes"]
+    return rows, load
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, slot_map: SlotMap | None = None) -> DataFrame:
     """Every row of ``docs`` with its shard and its place there, balanced by bytes."""
     spark = docs.sparkSession
-    placed = records(docs, slots)
-    counted = placed.groupBy("vslot").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).collect()  # `slots` rows at most
-    rows, load = [0] * slots, [0] * slots
-    for r in counted:
-        rows[r.vslot], load[r.vslot] = r["rows"], r["bytes"]
+    # numbered once and written, so that no lost task numbers rows anew
+    placed = stored(records(docs, slots).withColumn("row", F.monotonically_increasing_id()), "records")
+    rows, load = _counted(placed, slots)
+    even = spread(placed, load)
+    if even is not placed:
+        placed = stored(even, "records")
+        rows, load = _counted(placed, slots)
     slot_map = slot_map or SlotMap(spark)
     version = slot_map.latest()
     if version:
@@ -160,7 +186,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, slots: int = SLOTS, slot_map: S
         slot_map.save(version, owner, rows, load)
     version += 1
     slot_map.save(version, rebalance(owner, load, shards), rows, load)
-    within = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32")
+    within = Window.partitionBy("vslot").orderBy("doc_id", "text_crc32", "row")
     return (
         placed.withColumn("nth", F.row_number().over(within))
         .join(F.broadcast(slot_map.load(version).select("vslot", "shard", "base")), "vslot")  # `slots` rows

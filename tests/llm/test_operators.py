@@ -41,6 +41,19 @@ def test_sharding_balances_bytes_and_leaves_no_gaps(spark):
     assert sharding.shard(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+@pytest.mark.parametrize("slots", [64, 16384])
+def test_many_equal_rows_are_spread_over_shards(spark, slots):
+    data = [(7, "the same row"), (None, "a row without an id")] * 500 + [(100 + i, f"another row of about so many bytes {i}") for i in range(100)]
+    got = sharding.shard(frame(spark, data).repartition(3), shards=4, slots=slots).collect()
+    load, rows = Counter(), Counter()
+    for r in got:
+        load[r.shard] += r["size"]
+        rows[r.shard] += 1
+    assert len(load) == 4 and max(load.values()) <= 1.1 * min(load.values())
+    for s in rows:
+        assert sorted(r["slot"] for r in got if r.shard == s) == list(range(rows[s]))
+
+
 def test_a_slot_map_is_edited_again(spark):
     docs, slot_map = frame(spark, rows()), sharding.SlotMap(spark)
     first = sharding.shard(docs, shards=4, slots=64, slot_map=slot_map).count()
