@@ -9,7 +9,9 @@ in blocks too, and each pair of a query block and a group of vector blocks is on
 Defined cases: null vectors and those with a null or non-finite component take no part, as query or
 candidate; of vectors of unequal lengths the shorter is filled with zeros; rows with the query's own vec_id
 are no candidates, repeated ones included; other repeated rows each take a rank; null vec_ids are candidates
-but never queries; ties go to the smaller vec_id, nulls last; an empty table gives no rows.
+but never queries; ties go to the smaller vec_id, nulls last; vectors with a component whose integer does not fit a long take no
+part; products and sums are exact whatever their size, and a score beyond a long ranks as what it is and comes back
+null; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,12 +30,14 @@ SCALE = 64
 BLOCK = 4096
 QUERIES = 4096
 FIRST_DEPTH = 8
-NO_ID = np.iinfo(np.int64).max
+#: Bits of a limb: scores leave Python as three longs, the highest first.
+LIMB = 63
+MASK = (1 << LIMB) - 1
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, v): integer components of the vectors that take part."""
-    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    fine = F.forall("embedding", lambda x: x.isNotNull() & (F.abs(x.cast("double") * float(SCALE)) < float(2**63)))
     return vectors.where(F.col("embedding").isNotNull() & fine).select(
         F.col("vec_id").cast("long"), F.transform("embedding", lambda x: F.floor(F.lit(float(SCALE)) * x.cast("double")).cast("long")).alias("v")
     )
@@ -48,28 +52,34 @@ def _packed(vectors: DataFrame, size: int, name: str, lists: bool) -> tuple[Data
 
         ids, rows = [], []
         for batch in batches:
-            ids += [NO_ID if i is None else i for i in batch.column(0).to_pylist()]
+            ids += batch.column(0).to_pylist()
             rows += [np.asarray(r.values, np.int64) for r in batch.column(1)]
         if ids:
             m = np.zeros((len(rows), max(map(len, rows))), np.int64)
             for k, r in enumerate(rows):
                 m[k, : len(r)] = r
             order = np.argsort(m, axis=0, kind="stable").astype(np.int32).T if lists else np.zeros((0, 0), np.int32)
-            out = [[TaskContext.get().partitionId()], [len(ids)], [np.array(ids, np.int64).tobytes()], [m.tobytes()], [order.tobytes()]]
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["block", "n", "ids", "values", "lists"])
+            out = [[TaskContext.get().partitionId()], [len(ids)], [np.array([i or 0 for i in ids], np.int64).tobytes()], [np.array([i is None for i in ids]).tobytes()], [m.tobytes()], [order.tobytes()]]
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["block", "n", "ids", "nulls", "values", "lists"])
 
-    return stored(vectors.repartition(max(1, count)).mapInArrow(tidy(run), "block long, n int, ids binary, values binary, lists binary"), name), count
+    return stored(vectors.repartition(max(1, count)).mapInArrow(tidy(run), "block long, n int, ids binary, nulls binary, values binary, lists binary"), name), count
 
 
 def _upto(n: int):
     return F.sequence(F.lit(0).cast("long"), F.lit(max(0, n - 1)).cast("long"))
 
 
-def threshold_search(values: np.ndarray, lists: np.ndarray, ids: np.ndarray, query: np.ndarray, own: int, k: int, best: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """``best`` (score, id), best first, joined with this block's rows: exact, with as few rows scored as the bound allows."""
+Best = list[tuple[int, bool, int]]
+
+
+def threshold_search(values: np.ndarray, lists: np.ndarray, ids: np.ndarray, nulls: np.ndarray, query: np.ndarray, own: int, k: int, best: Best) -> Best:
+    """``best`` (score, whether the id is null, id), best first, joined with this block's rows: exact, with as few rows scored as the bound allows.
+
+    Where sums could pass a long, values and query hold Python's integers.
+    """
     n, used = len(values), np.flatnonzero(query)
-    down = query[used] > 0
+    down = (query[used] > 0).astype(bool)
     seen, depth = np.zeros(n, bool), 0
     while depth < n:
         to = min(n, max(FIRST_DEPTH, depth * 2))
@@ -85,18 +95,18 @@ def threshold_search(values: np.ndarray, lists: np.ndarray, ids: np.ndarray, que
             met = np.unique(near[~seen[near]])
         seen[met] = True
         score = values[met] @ query
-        mine = ids[met] != own
-        score, who = score[mine], ids[met][mine]
+        mine = nulls[met] | (ids[met] != own)
+        score, met = score[mine], met[mine]
         if len(best) == k:
-            hope = score >= best[-1][0]
-            score, who = score[hope], who[hope]
+            hope = (score >= best[-1][0]).astype(bool)
+            score, met = score[hope], met[hope]
         if len(score):
             if len(score) > k:
-                cut = np.partition(score, -k)[-k]
-                keep = score >= cut
-                score, who = score[keep], who[keep]
-            pool = best + list(zip(score.tolist(), who.tolist(), strict=True))
-            best = sorted(pool, key=lambda x: (-x[0], x[1]))[:k]
+                cut = np.partition(score, -k)[-k] if score.dtype != object else sorted(score)[-k]
+                keep = (score >= cut).astype(bool)
+                score, met = score[keep], met[keep]
+            pool = best + list(zip(score.tolist(), nulls[met].tolist(), ids[met].tolist(), strict=True))
+            best = sorted(pool, key=lambda x: (-x[0], x[1], x[2]))[:k]
         depth = to
     return best
 
@@ -106,27 +116,32 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     index, blocks = _packed(vectors, BLOCK, "sorted-lists", True)
     asked, query_blocks = _packed(queries, QUERIES, "queries", False)
     groups = max(1, min(blocks, 64))
-    left = index.select(F.pmod("block", F.lit(groups)).alias("g"), "n", "ids", "values", "lists", F.explode(_upto(query_blocks)).alias("q"))
+    left = index.select(F.pmod("block", F.lit(groups)).alias("g"), "n", "ids", "nulls", "values", "lists", F.explode(_upto(query_blocks)).alias("q"))
     right = asked.select(F.col("block").alias("q"), F.explode(_upto(groups)).alias("g"), F.col("n").alias("m"), F.col("ids").alias("query_ids"), F.col("values").alias("queries"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state: dict[int, list] = {}
+        state: dict[int, Best] = {}
         for batch in batches:
             for r in batch.to_pylist():
-                ids, query_ids = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["query_ids"], np.int64)
+                ids, query_ids, nulls = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["query_ids"], np.int64), np.frombuffer(r["nulls"], bool)
                 v, q = np.frombuffer(r["values"], np.int64).reshape(r["n"], -1), np.frombuffer(r["queries"], np.int64).reshape(r["m"], -1)
                 lists = np.frombuffer(r["lists"], np.int32).reshape(-1, r["n"])
                 d = min(v.shape[1], q.shape[1])
                 v, q, lists = v[:, :d], q[:, :d], lists[:d]
+                most = [max(int(x.max(initial=0)), -int(x.min(initial=0))) for x in (v, q)]
+                if most[0] * most[1] * d >= 1 << 63:
+                    v, q = v.astype(object), q.astype(object)
                 for i in range(len(query_ids)):
-                    state[i] = threshold_search(v, lists, ids, q[i], int(query_ids[i]), k, state.get(i, []))
-        a = np.array([(query_ids[i], who, score) for i, best in state.items() for score, who in best], np.int64).reshape(-1, 3)
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in a.T], names=["query_id", "vec_id", "score"])
+                    state[i] = threshold_search(v, lists, ids, nulls, q[i], int(query_ids[i]), k, state.get(i, []))
+        rows = [(int(query_ids[i]), None if null else who, score >> 2 * LIMB, score >> LIMB & MASK, score & MASK) for i, best in state.items() for score, null, who in best]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], names=["query_id", "vec_id", "high", "middle", "low"])
 
-    best = left.join(right, ["q", "g"]).groupBy("q", "g").applyInArrow(run, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    best = left.join(right, ["q", "g"]).groupBy("q", "g").applyInArrow(run, "query_id long, vec_id long, high long, middle long, low long")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("middle"), F.desc("low"), F.asc_nulls_last("vec_id")))
     top = best.withColumn("rank", rank).where(F.col("rank") <= k)
-    return top.select("query_id", "rank", F.when(F.col("vec_id") != NO_ID, F.col("vec_id")).alias("vec_id"), "score")
+    small, below = (F.col("high") == 0) & (F.col("middle") == 0), (F.col("high") == -1) & (F.col("middle") == F.lit(MASK))
+    score = F.when(small, F.col("low")).when(below, F.col("low") - F.lit(MASK) - 1)
+    return top.select("query_id", "rank", "vec_id", score.alias("score"))
 
 
 def op6_threshold_algorithm_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

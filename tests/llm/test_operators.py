@@ -208,6 +208,22 @@ def test_quality_learns_only_from_rows_that_are_not_held_out(spark):
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
+def test_top_k_is_exact_beyond_longs(spark):
+    rng = random.Random(5)
+    data = [(i, [rng.choice([-1.0, 1.0]) * 2.0 ** rng.randint(0, 56) for _ in range(3)]) for i in range(60)]
+    data += [(2**63 - 1, [2.0**56] * 3), (None, [-(2.0**56)] * 3), (2**63 - 21, [1.0, 2.0, 3.0]), (71, [1e300, 0.0, 0.0])]
+    v = top_k.usable(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    got = {}
+    for r in top_k.search(v, v.where("vec_id % 20 = 0"), 9).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    ints = [(i, [int(64 * x) for x in e]) for i, e in data[:-1]]
+    for q, e in ints:
+        if q is not None and q % 20 == 0:
+            scores = [(sum(a * b for a, b in zip(e, f, strict=True)), i) for i, f in ints if i != q]
+            best = sorted(scores, key=lambda x: (-x[0], x[1] is None, x[1] or 0))[:9]
+            assert got[q] == {k + 1: (i, s if -(2**63) <= s < 2**63 else None) for k, (s, i) in enumerate(best)}
+
+
 def test_top_k_with_ties_and_unusable_vectors(spark):
     rng = random.Random(2)
     data = [(i, [rng.choice([-0.5, 0.0, 0.25, 0.5]) for _ in range(6)]) for i in range(300)]
