@@ -454,3 +454,28 @@ def digest(cut: DataFrame) -> DataFrame:
 def op10_prefix_doubling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return digest(removals(docs))
+
+
+OP10_SQL = """
+WITH d AS (
+    SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), g AS (
+    SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM d, LATERAL (SELECT unnest(range(0, greatest(length(h) // 2 - 49, 0))) AS i) u
+), firsts AS (
+    SELECT s, min(doc_id) AS first FROM g GROUP BY s HAVING min(doc_id) < max(doc_id)
+), bad AS (
+    SELECT doc_id, i, CASE WHEN i > lag(i, 1, -100) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS fresh
+    FROM g JOIN firsts USING (s) WHERE first < doc_id
+), runs AS (
+    SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS run FROM bad
+), spans AS (
+    SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM runs GROUP BY doc_id, run
+), cuts AS (
+    SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM spans
+), kept AS (
+    SELECT c.doc_id, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head, max(b) AS until, sum(b - a) AS removed, count(*) AS spans FROM cuts c JOIN d ON d.doc_id = c.doc_id GROUP BY c.doc_id
+)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+       sha256(unhex(CASE WHEN spans IS NULL THEN h ELSE head || substr(h, 2 * until + 1) END)) AS kept_sha256
+FROM d LEFT JOIN kept k ON k.doc_id = d.doc_id
+"""
