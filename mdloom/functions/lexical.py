@@ -47,6 +47,22 @@ def indent_columns(line: Column) -> Column:
     return F.aggregate(letters, F.lit(0), step)
 
 
+def strip_columns(line: Column, columns: int | Column) -> Column:
+    """STRUCT of ``rest``, the line without up to so many columns of its leading white space, and ``padding``, the columns that a tab
+    cut in two leaves over: the line then goes on with that many spaces, and ``rest``."""
+    columns = columns if isinstance(columns, Column) else F.lit(columns)
+    letters = F.filter(F.split(F.regexp_extract(line, r"\A[ \t]*", 0), ""), lambda c: c != "")
+    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("taken"))
+
+    def step(acc: Column, c: Column) -> Column:
+        to = F.when(c == "\t", acc["at"] + 4 - acc["at"] % 4).otherwise(acc["at"] + 1)
+        more = acc["at"] < columns
+        return F.struct(F.when(more, to).otherwise(acc["at"]).alias("at"), (acc["taken"] + more.cast("int")).alias("taken"))
+
+    cut = lambda acc: F.struct(F.substring(line, acc["taken"] + 1, F.length(line)).alias("rest"), F.greatest(acc["at"] - columns, F.lit(0)).alias("padding"))
+    return F.aggregate(letters, start, step, cut)
+
+
 def is_deep(line: Column) -> Column:
     """Whether a line is four columns in or more: a tab within the first four columns leads there."""
     return line.rlike(r"\A(?: {4}| {0,3}\t)")

@@ -14,7 +14,7 @@ from ..functions import lexical as lx
 from ..functions import soup, variants
 from ..functions import text as t
 from ..kernel.constructs import Constructs
-from ..operators import compare, invariants, sketches, totals, views
+from ..operators import compare, invariants, resolve, sketches, totals, views
 from ..operators.guard import guarded, node_rows
 from ..operators.linestates import line_states
 from ..operators.parse import blank_lines, parse_markdown, render_html
@@ -396,3 +396,39 @@ def check_quirks(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda x, i: F.concat(F.get(tokens, soup.below(F.col("doc_id"), i + 1, len(corpus.WIDE)).cast("int")), x)
     docs = _prose(spark, sf_dir).select("doc_id", F.array_join(F.transform(lx.split_lines(F.col("text")), line), "\n").alias("text"))
     return invariants.known_quirks(docs)
+
+
+# ---- tab stops and alternative texts
+
+_LEADS = ["", "\t", " \t", "  \t ", "    ", "   \t", "\t\t", " ", "  \t\t", "     \t"]
+_LEADS_SQL = ", ".join("'" + x.replace("\t", "' || chr(9) || '") + "'" for x in _LEADS)
+
+
+@query(
+    f"""
+WITH l AS (SELECT doc_id, i - 1 AS place, [{_LEADS_SQL}][(doc_id + i - 1) % {len(_LEADS)} + 1] || l[i] AS line, CAST((doc_id + i - 1) % 7 AS INTEGER) AS n
+           FROM (SELECT doc_id, string_split_regex(text, '\\r\\n|\\n|\\r') AS l FROM documents) d, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS i) u),
+c AS (SELECT *, regexp_extract(line, '^[ \\t]*') AS lead FROM l),
+p AS (SELECT *, [list_reduce([0] || [CASE WHEN lead[j] = chr(9) THEN 1 ELSE 0 END FOR j IN range(1, k + 1)], lambda a, t: a + CASE WHEN t = 1 THEN 4 - a % 4 ELSE 1 END) FOR k IN range(0, length(lead) + 1)] AS cols FROM c),
+t AS (SELECT *, coalesce(list_position([x >= n FOR x IN cols], true), len(cols)) - 1 AS k FROM p)
+SELECT doc_id, CAST(place AS INTEGER) AS place, substr(line, CAST(k AS BIGINT) + 1) AS rest, CAST(greatest(cols[k + 1] - n, 0) AS INTEGER) AS padding FROM t
+"""
+)
+def lex_strip_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of every text behind white space of some shape, less up to six columns of it; tabs may be cut in two."""
+    lines = _prose(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("place", "raw"))
+    k = F.col("doc_id") + F.col("place")
+    line = F.concat(F.get(F.array(*map(F.lit, _LEADS)), (k % len(_LEADS)).cast("int")), "raw")
+    cut = lines.select("doc_id", "place", line.alias("line"), (k % 7).cast("int").alias("n")).select("doc_id", "place", lx.strip_columns(F.col("line"), F.col("n")).alias("x"))
+    return cut.select("doc_id", "place", "x.rest", "x.padding")
+
+
+@query("SELECT p_partkey AS doc_id, p_name || ' & ' || p_brand || chr(10) || p_partkey AS alt, '/img/' || p_partkey AS url, p_type AS title FROM part")
+def md_image_alt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alternative texts of images, of the text below them: emphasis, references, code and line endings."""
+    p = corpus.table(spark, sf_dir, "part")
+    text = F.concat(F.lit("![*"), "p_name", F.lit("* &amp; **"), "p_brand", F.lit("**\n`"), "p_partkey", F.lit("`](/img/"), "p_partkey", F.lit(' "'), "p_type", F.lit('")\n'))
+    docs = p.select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
+    nodes = stored(parse_markdown(docs), "nodes")
+    alt = views.plain_text(nodes, docs, "Image").withColumnRenamed("content", "alt")
+    return resolve.links(nodes, docs).where("type = 'Image'").join(alt, ["doc_id", "node_id"]).select("doc_id", "alt", "url", "title")

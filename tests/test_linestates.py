@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mdloom.functions import lexical as lx
-from mdloom.kernel.blocks import LINE, Blocks
+from mdloom.kernel.blocks import Blocks, Cursor
 from mdloom.kernel.constructs import Constructs
 from mdloom.operators.linestates import line_states
 
@@ -77,3 +77,14 @@ def test_long_lines(spark):
     df = spark.createDataFrame(rows, "line string, kind string")
     for r in df.select("kind", lx.line_start(F.col("line"), F.lit(False)).alias("got"), F.size(lx.table_cells(F.col("line")))).collect():
         assert r.got == r.kind
+
+
+def test_columns_are_stripped_like_the_cursor(spark):
+    rng = random.Random(9)
+    rows = [("".join(rng.choice(" \t") for _ in range(rng.randint(0, 6))) + rng.choice(["", "x y", "é\t"]), rng.randint(0, 9)) for _ in range(600)]
+    df = spark.createDataFrame(rows, "line string, n int")
+    for r in df.select("line", "n", lx.strip_columns(F.col("line"), F.col("n")).alias("x")).collect():
+        cur = Cursor(r.line.encode(), 0)
+        cur.skip(r.n)
+        assert (r.x.rest, r.x.padding) == (cur.tail().decode(), cur.pad), (r.line, r.n)
+    assert df.select(lx.strip_columns(F.lit("\t\tx"), 6).alias("x")).first().x == ("x", 2)
