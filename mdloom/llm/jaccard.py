@@ -335,7 +335,9 @@ def sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 hashes = pa.array([value[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(ends)), *(pa.array(x.copy()) for x in sketch.T), hashes], ["doc", "n", *SKETCH, "hashes"])
 
-    texts = docs.withColumnRenamed("node", "doc").join(small(wanted), "doc", "left_semi").dropDuplicates(["doc"])
+    texts = docs.withColumnRenamed("node", "doc").join(small(wanted), "doc", "left_semi")
+    if docs.groupBy("node").count().where("count > 1").limit(1).count():  # only where nodes repeat do texts have to meet
+        texts = texts.dropDuplicates(["doc"])
     numbers = ", ".join(f"{s} long" for s in SKETCH)
     return stored(texts.select("doc", "text").mapInArrow(tidy(run), f"doc long, n long, {numbers}, hashes binary"), "sets")
 
