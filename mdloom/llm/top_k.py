@@ -76,7 +76,7 @@ Best = list[tuple[int, bool, int]]
 def threshold_search(values: np.ndarray, lists: np.ndarray, ids: np.ndarray, nulls: np.ndarray, query: np.ndarray, own: int, k: int, best: Best) -> Best:
     """``best`` (score, whether the id is null, id), best first, joined with this block's rows: exact, with as few rows scored as the bound allows.
 
-    Where sums could pass a long, values and query hold Python's integers.
+    Values and query are of a kind in which all sums are exact: doubles below 2 ** 53, longs, or Python's integers.
     """
     n, used = len(values), np.flatnonzero(query)
     down = (query[used] > 0).astype(bool)
@@ -92,9 +92,12 @@ def threshold_search(values: np.ndarray, lists: np.ndarray, ids: np.ndarray, nul
             met = np.flatnonzero(~seen)
         else:
             near = np.concatenate([lists[used[down], n - to : n - depth].ravel(), lists[used[~down], depth:to].ravel()])
-            met = np.unique(near[~seen[near]])
+            fresh = np.zeros(n, bool)
+            fresh[near] = True
+            met = np.flatnonzero(fresh & ~seen)
         seen[met] = True
-        score = values[met] @ query
+        # the product with a whole block costs less than the copy of a large part of it
+        score = (values @ query)[met] if 4 * len(met) >= n else values.take(met, 0) @ query
         mine = nulls[met] | (ids[met] != own)
         score, met = score[mine], met[mine]
         if len(best) == k:
@@ -129,11 +132,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
                 d = min(v.shape[1], q.shape[1])
                 v, q, lists = v[:, :d], q[:, :d], lists[:d]
                 most = [max(int(x.max(initial=0)), -int(x.min(initial=0))) for x in (v, q)]
-                if most[0] * most[1] * d >= 1 << 63:
-                    v, q = v.astype(object), q.astype(object)
+                bound = most[0] * most[1] * max(d, 1)
+                if bound < 1 << 53 or bound >= 1 << 63:
+                    v, q = (x.astype(float if bound < 1 << 53 else object) for x in (v, q))
                 for i in range(len(query_ids)):
                     state[i] = threshold_search(v, lists, ids, nulls, q[i], int(query_ids[i]), k, state.get(i, []))
-        rows = [(int(query_ids[i]), None if null else who, score >> 2 * LIMB, score >> LIMB & MASK, score & MASK) for i, best in state.items() for score, null, who in best]
+        rows = [(int(query_ids[i]), None if null else who, score >> 2 * LIMB, score >> LIMB & MASK, score & MASK) for i, best in state.items() for x, null, who in best for score in [int(x)]]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], names=["query_id", "vec_id", "high", "middle", "low"])
 
     best = left.join(right, ["q", "g"]).groupBy("q", "g").applyInArrow(run, "query_id long, vec_id long, high long, middle long, low long")
