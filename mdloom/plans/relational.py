@@ -27,13 +27,14 @@ from .queries import _LINES, MARKERS, SQL, _marked_lines, _prose, query
 # ---- rows that fail
 
 
-def _planted(doc_id: int, source: bytes):
+def _planted(doc_id: int | None, source: bytes):
     """Bytes that the root node covers; some documents are made to fail, to kill their process, or to hang."""
-    if doc_id % 97 == 5:
+    key = doc_id or 0
+    if key % 97 == 5:
         raise ValueError(f"planted failure of {doc_id}")
-    if doc_id % 331 == 7:
+    if key % 331 == 7:
         os.kill(os.getpid(), signal.SIGKILL)
-    if doc_id % 997 == 11:
+    if key % 997 == 11:
         time.sleep(3600)
     nodes = node_rows(doc_id, source, inlines=False)
     return [(doc_id, nodes[0][9] - nodes[0][8])]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mdloom.operators import views
 from mdloom.operators.parse import parse_markdown
-from mdloom.operators.ranges import blocks, cover, interval_join, span_texts
+from mdloom.operators.ranges import cover, interval_join, span_texts
 
 
 def test_covers_are_exact_and_small(spark):
