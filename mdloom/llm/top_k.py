@@ -30,6 +30,8 @@ SCALE = 64
 BLOCK = 4096
 QUERIES = 4096
 FIRST_DEPTH = 8
+#: Blocks keep their components in the narrowest of these that holds them all, else in 64 bits.
+NARROW = (np.int8, np.int16, np.int32)
 #: Bits of a limb: scores leave Python as three longs, the highest first.
 LIMB = 63
 MASK = (1 << LIMB) - 1
@@ -58,12 +60,13 @@ def _packed(vectors: DataFrame, size: int, name: str, lists: bool) -> tuple[Data
             m = np.zeros((len(rows), max(map(len, rows))), np.int64)
             for k, r in enumerate(rows):
                 m[k, : len(r)] = r
+            m = m.astype(next((t for t in NARROW if not m.size or np.iinfo(t).min <= m.min() and m.max() <= np.iinfo(t).max), np.int64))
             order = np.argsort(m, axis=0, kind="stable").astype(np.int32).T if lists else np.zeros((0, 0), np.int32)
-            out = [[TaskContext.get().partitionId()], [len(ids)], [np.array([i or 0 for i in ids], np.int64).tobytes()], [np.array([i is None for i in ids]).tobytes()], [m.tobytes()], [order.tobytes()]]
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["block", "n", "ids", "nulls", "values", "lists"])
+            out = [[TaskContext.get().partitionId()], [len(ids)], [np.array([i or 0 for i in ids], np.int64).tobytes()], [np.array([i is None for i in ids]).tobytes()], [m.dtype.itemsize], [m.tobytes()], [order.tobytes()]]
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.record_batch([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["block", "n", "ids", "nulls", "width", "values", "lists"])
 
-    return stored(vectors.repartition(max(1, count)).mapInArrow(tidy(run), "block long, n int, ids binary, nulls binary, values binary, lists binary"), name), count
+    return stored(vectors.repartition(max(1, count)).mapInArrow(tidy(run), "block long, n int, ids binary, nulls binary, width int, values binary, lists binary"), name), count
 
 
 def _upto(n: int):
@@ -119,15 +122,15 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     index, blocks = _packed(vectors, BLOCK, "sorted-lists", True)
     asked, query_blocks = _packed(queries, QUERIES, "queries", False)
     groups = max(1, min(blocks, 64))
-    left = index.select(F.pmod("block", F.lit(groups)).alias("g"), "n", "ids", "nulls", "values", "lists", F.explode(_upto(query_blocks)).alias("q"))
-    right = asked.select(F.col("block").alias("q"), F.explode(_upto(groups)).alias("g"), F.col("n").alias("m"), F.col("ids").alias("query_ids"), F.col("values").alias("queries"))
+    left = index.select(F.pmod("block", F.lit(groups)).alias("g"), "n", "ids", "nulls", "width", "values", "lists", F.explode(_upto(query_blocks)).alias("q"))
+    right = asked.select(F.col("block").alias("q"), F.explode(_upto(groups)).alias("g"), F.col("n").alias("m"), F.col("ids").alias("query_ids"), F.col("width").alias("query_width"), F.col("values").alias("queries"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict[int, Best] = {}
         for batch in batches:
             for r in batch.to_pylist():
                 ids, query_ids, nulls = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["query_ids"], np.int64), np.frombuffer(r["nulls"], bool)
-                v, q = np.frombuffer(r["values"], np.int64).reshape(r["n"], -1), np.frombuffer(r["queries"], np.int64).reshape(r["m"], -1)
+                v, q = (np.frombuffer(r[x], f"i{r[w]}").astype(np.int64).reshape(r[m], -1) for x, w, m in (("values", "width", "n"), ("queries", "query_width", "m")))
                 lists = np.frombuffer(r["lists"], np.int32).reshape(-1, r["n"])
                 d = min(v.shape[1], q.shape[1])
                 v, q, lists = v[:, :d], q[:, :d], lists[:d]
@@ -140,7 +143,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         rows = [(int(query_ids[i]), None if null else who, score >> 2 * LIMB, score >> LIMB & MASK, score & MASK) for i, best in state.items() for x, null, who in best for score in [int(x)]]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], names=["query_id", "vec_id", "high", "middle", "low"])
 
-    best = left.join(right, ["q", "g"]).groupBy("q", "g").applyInArrow(run, "query_id long, vec_id long, high long, middle long, low long")
+    # both sides are blocks: of the size that Spark sees on disk they are many times in memory, so neither is ever sent whole to the driver
+    best = left.hint("merge").join(right, ["q", "g"]).groupBy("q", "g").applyInArrow(run, "query_id long, vec_id long, high long, middle long, low long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("high"), F.desc("middle"), F.desc("low"), F.asc_nulls_last("vec_id")))
     top = best.withColumn("rank", rank).where(F.col("rank") <= k)
     small, below = (F.col("high") == 0) & (F.col("middle") == 0), (F.col("high") == -1) & (F.col("middle") == F.lit(MASK))
