@@ -116,7 +116,8 @@ def table_cells(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     tables = _pick(nodes, "Table").select("doc_id", F.col("node_id").alias("table_id"), "align")
     rows = _pick(nodes, "TableRow").select("doc_id", F.col("node_id").alias("row_id"), F.col("parent_id").alias("table_id"), F.col("ord").alias("row"))
     cells = _pick(nodes, "TableCell").select("doc_id", "node_id", F.col("parent_id").alias("row_id"), F.col("ord").alias("col"))
-    full = cells.join(rows, ["doc_id", "row_id"]).join(tables, ["doc_id", "table_id"]).join(plain_text(nodes, docs, "TableCell"), ["doc_id", "node_id"])
+    # a node table is many times larger in memory than on disk, so Spark would take too much of it for small enough to broadcast
+    full = cells.join(rows.hint("merge"), ["doc_id", "row_id"]).join(tables.hint("merge"), ["doc_id", "table_id"]).join(plain_text(nodes, docs, "TableCell").hint("merge"), ["doc_id", "node_id"])
     return full.select("doc_id", "table_id", "row", "col", F.get("align", F.col("col")).alias("align"), F.trim("content").alias("content"))
 
 
