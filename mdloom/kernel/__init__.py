@@ -8,8 +8,8 @@ from .inlines import Inlines
 from .tree import Node
 
 
-def parse(source: bytes, constructs: Constructs | None = None, inlines: bool = True) -> tuple[Node, Blocks]:
-    """The tree of a document, and the block parser with its blank lines and labels."""
+def parse(source: bytes, constructs: Constructs | None = None, inlines: bool | frozenset[str] = True) -> tuple[Node, Blocks]:
+    """The tree of a document, and the block parser with its blank lines and labels; ``inlines`` may name the blocks whose insides are parsed."""
     constructs = constructs or Constructs.markdown()
     blocks = Blocks(source, constructs)
     root = blocks.parse()
@@ -19,7 +19,8 @@ def parse(source: bytes, constructs: Constructs | None = None, inlines: bool = T
             node = todo.pop()
             lines = node.segments.get("text")
             if lines is not None:
-                node.kids = Inlines(source, lines, constructs, blocks.labels, blocks.footnotes).nodes()
+                if inlines is True or node.type in inlines:
+                    node.kids = Inlines(source, lines, constructs, blocks.labels, blocks.footnotes).nodes()
             else:
                 todo += node.kids
     return root, blocks

@@ -58,6 +58,7 @@ TITLES = {
 ANGLE_DESTINATION = re.compile(rb"<(?:\\[!-/:-@\[-`{-~]|[^<>\n])*>")
 LABEL = re.compile(rb"\[((?:\\[!-/:-@\[-`{-~]|[^\[\]])*)\]")
 SPACES = re.compile(rb"[ \t]*")
+PIPES = re.compile(rb"\\(?s:.)?|\|")
 SPACES_LINE = re.compile(rb"[ \t]*(?:\n[ \t]*)?")
 SPACES_LINES = re.compile(rb"[ \t\n]*")
 
@@ -96,14 +97,13 @@ def row_cells(line: bytes) -> list[tuple[int, int]]:
     end = len(line.rstrip(WS))
     at = SPACES.match(line, 0, end).end()
     at += line[at : at + 1] == b"|"
-    cuts, skip = [], False
-    for i in range(at, end):
-        if skip:
-            skip = False
-        elif line[i] == 0x5C:
-            skip = True
-        elif line[i] == 0x7C:
+    cuts, i = [], line.find(b"|", at, end)
+    if line.find(b"\\", at, end) < 0:
+        while i >= 0:
             cuts.append(i)
+            i = line.find(b"|", i + 1, end)
+    elif i >= 0:
+        cuts = [m.start() for m in PIPES.finditer(line, at, end) if m[0] == b"|"]
     cells = []
     for stop in (*cuts, end):
         raw = line[at:stop]

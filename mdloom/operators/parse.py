@@ -7,6 +7,9 @@ the two named never reach Python.
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Collection
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,30 +39,49 @@ _NODE = pa.schema(
 )
 
 
-def flat(doc_id, root: Node):
-    """The rows of a tree, in pre-order; subtree ends are filled in on the way back."""
-    rows: list[list] = []
+def _order(root: Node) -> tuple[list[tuple], array]:
+    """(node, parent, depth, ord, inline) of every node in pre-order, and where their subtrees end."""
+    order: list[tuple] = []
+    ends = array("i")
     todo: list = [(root, None, 0, 0, False)]
     while todo:
-        node, parent, depth, order, inline = todo.pop()
+        one = todo.pop()
+        node = one[0]
         if isinstance(node, int):
-            rows[node][3] = len(rows)
+            ends[node] = len(order)
+            continue
+        k, kids = len(order), node.kids
+        inline = one[4] or node.type in INLINE
+        order.append(one if inline is one[4] else (*one[:4], inline))
+        ends.append(k + 1)
+        if kids:
+            todo.append((k,))
+            depth = one[2] + 1
+            todo += [(kids[i], k, depth, i, inline) for i in range(len(kids) - 1, -1, -1)]
+    return order, ends
+
+
+def rows(doc_id, root: Node, types: frozenset[str] | None = None):
+    """The rows of a tree, in pre-order, one at a time: a document's rows need not be held together. ``types``: those of these types alone."""
+    order, ends = _order(root)
+    for k, (node, parent, depth, place, inline) in enumerate(order):
+        if types is not None and node.type not in types:
             continue
-        k, p = len(rows), node.props
-        inline = inline or node.type in INLINE
+        p = node.props
         family = "inline" if inline else "struct" if node.type in STRUCTURAL else "block"
         marker = p.get("fence") or p.get("marker") or (str(p["tildes"]) if "tildes" in p else None)
         kind = p.get("kind") or (str(p["html"]) if "html" in p else None) or (("ordered" if p["ordered"] else "bullet") if "ordered" in p else None)
         spans = [(key, {"start": a, "end": b}) for key, (a, b) in node.spans.items()]
         segments = [(key, [{"start": a, "end": b, "padding": c} for a, b, c in s]) for key, s in node.segments.items() if key != "text"]
-        rows.append([
-            doc_id, k, parent, 0, depth, order, family, node.type, node.start, node.end, p.get("level"), kind, marker, p.get("padding"),
+        yield [
+            doc_id, k, parent, ends[k], depth, place, family, node.type, node.start, node.end, p.get("level"), kind, marker, p.get("padding"),
             p.get("tight"), p.get("spread"), p.get("checked"), p.get("email"), p.get("angle"), p.get("cjk"), p.get("newline"),
             p.get("align"), spans, segments, [{"start": a, "end": b} for a, b in node.lazy],
-        ])
-        todo.append((k, None, 0, 0, False))
-        todo += [(kid, k, depth + 1, i, inline) for i, kid in reversed(list(enumerate(node.kids)))]
-    return rows
+        ]
+
+
+def flat(doc_id, root: Node) -> list[list]:
+    return list(rows(doc_id, root))
 
 
 def _source(docs: DataFrame, id_col: str, text_col: str, where: Column | None, *more: Column) -> DataFrame:
@@ -68,13 +90,17 @@ def _source(docs: DataFrame, id_col: str, text_col: str, where: Column | None, *
     return chosen.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("source"), *more)
 
 
-def parse_markdown(docs: DataFrame, constructs: Constructs | Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", inlines: bool = True, where: Column | None = None, max_doc_bytes: int = MAX_DOC_BYTES) -> DataFrame:
-    """The nodes of every document; ``inlines=False`` stops after the block phase.
+def parse_markdown(docs: DataFrame, constructs: Constructs | Column | None = None, *, id_col: str = "doc_id", text_col: str = "text", inlines: bool | Collection[str] = True, types: Collection[str] | None = None, where: Column | None = None, max_doc_bytes: int = MAX_DOC_BYTES) -> DataFrame:
+    """The nodes of every document; ``inlines=False`` stops after the block phase, and names of blocks parse the insides of these alone.
+
+    ``types``: give nodes of these types alone, with the ids that they have among all; no others leave Python.
 
     ``constructs`` may be a STRUCT column, as ``lexical.options`` makes it, with the switches of each document.
     """
     per_row = isinstance(constructs, Column)
     own, fixed = ([constructs.alias("options")], None) if per_row else ([], constructs)
+    inside = inlines if isinstance(inlines, bool) else frozenset(inlines)
+    chosen = None if types is None else frozenset(types)
 
     def run(batches):
         sets: dict[tuple, Constructs | None] = {(): fixed}
@@ -84,11 +110,12 @@ def parse_markdown(docs: DataFrame, constructs: Constructs | Column | None = Non
             for doc_id, source, switch in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), switches, strict=True):
                 if switch not in sets:  # each distinct set once a task
                     sets[switch] = Constructs(**{k: v for k, v in switch if v is not None})
-                root = parse(source, sets[switch], inlines)[0] if len(source) <= max_doc_bytes else Node("Root", 0, len(source))
-                held += flat(doc_id, root)
-                if len(held) >= ROWS:
-                    yield _batch(held)
-                    held = []
+                root = parse(source, sets[switch], inside)[0] if len(source) <= max_doc_bytes else Node("Root", 0, len(source))
+                for row in rows(doc_id, root, chosen):
+                    held.append(row)
+                    if len(held) >= ROWS:
+                        yield _batch(held)
+                        held = []
             if held:
                 yield _batch(held)
 

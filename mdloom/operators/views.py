@@ -9,30 +9,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from .ranges import interval_join, span_texts
+from .ranges import interval_join, named_texts, span_texts
+
+
+#: Inlines whose text counts; with SoftBreak, all that ``plain_text`` reads besides the nodes it is asked for.
+LEAVES = ("Text", "CodeSpan", "Autolink", "AutolinkLiteral", "HtmlInline", "MathSpan", "WikiLink", "Liquid")
+TEXTS = (*LEAVES, "SoftBreak")
 
 
 def _pick(nodes: DataFrame, *types: str) -> DataFrame:
     return nodes.where(F.col("type").isin(*types))
 
 
-def _source(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("source"))
+def span(name: str) -> Column:
+    """The named span of a node, as segments; null where it has none."""
+    s = F.element_at("spans", name)
+    return F.when(s.isNotNull(), F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(0).alias("padding"))))
 
 
-def with_text(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Nodes with ``source``, the text of their document."""
-    return nodes.join(_source(docs), "doc_id")
+def segments(name: str) -> Column:
+    return F.element_at("segments", name)
 
 
-def sliced(source: Column, span: str) -> Column:
-    s = F.element_at("spans", span)
-    return F.when(s.isNotNull(), t.span_slice(source, s["start"], s["end"]))
+def own(cut: int = 0) -> Column:
+    """The node's own span, less some bytes at both ends, as segments."""
+    return F.array(F.struct((F.col("start") + cut).alias("start"), (F.col("end") - cut).alias("end"), F.lit(0).alias("padding")))
 
 
-def joined(source: Column, key: str) -> Column:
-    s = F.element_at("segments", key)
-    return F.when(s.isNotNull(), t.segments_join(source, s))
+def with_texts(nodes: DataFrame, docs: DataFrame, *columns: str, **texts: Column) -> DataFrame:
+    """doc_id, node_id, these columns, and a text a name, of the segments it names."""
+    given = nodes.select("doc_id", "node_id", *columns, *(s.alias(f"{n}_at") for n, s in texts.items()))
+    return named_texts(given, docs, {n: F.col(f"{n}_at") for n in texts}).drop(*(f"{n}_at" for n in texts))
 
 
 def plain_text(nodes: DataFrame, docs: DataFrame, *types: str) -> DataFrame:
@@ -46,7 +53,7 @@ def plain_text(nodes: DataFrame, docs: DataFrame, *types: str) -> DataFrame:
     edge = F.when(kind == "Autolink", 1).when(kind == "WikiLink", 2).otherwise(0)
     own = F.array(F.struct((F.col("start") + edge).alias("start"), (F.col("end") - edge).alias("end"), F.lit(0).alias("padding")))
     spans = F.when(kind.isin("CodeSpan", "HtmlInline", "Liquid", "MathSpan"), F.element_at("segments", "pieces")).otherwise(own)
-    leaf = _pick(nodes, "Text", "CodeSpan", "Autolink", "AutolinkLiteral", "HtmlInline", "MathSpan", "WikiLink", "Liquid")
+    leaf = _pick(nodes, *LEAVES)
     parts = leaf.select("doc_id", "node_id", "type", F.size(spans).alias("parts"), F.posexplode(spans).alias("part", "s")).select("doc_id", "node_id", "type", "part", "parts", "s.*")
     raw = F.concat(F.repeat(F.lit(" "), F.col("padding")), "slice")
     math = F.when(F.col("part") == 0, F.ltrim(raw, F.lit("$"))).otherwise(raw)
@@ -64,7 +71,7 @@ def plain_text(nodes: DataFrame, docs: DataFrame, *types: str) -> DataFrame:
 def headings(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """doc_id, node_id, level, kind, start, content."""
     heads = _pick(nodes, "Heading").select("doc_id", "node_id", "level", "kind", "start")
-    return heads.join(plain_text(nodes, docs, "Heading"), ["doc_id", "node_id"])
+    return heads.join(plain_text(nodes, docs, "Heading").hint("merge"), ["doc_id", "node_id"])
 
 
 def outline(nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -86,28 +93,23 @@ def sections(nodes: DataFrame) -> DataFrame:
 
 
 def code_blocks(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    src = F.col("source")
-    return with_text(_pick(nodes, "CodeBlock"), docs).select(
-        "doc_id", "node_id", "kind", F.col("marker").alias("fence"), t.decode(sliced(src, "lang")).alias("lang"), t.decode(sliced(src, "meta")).alias("meta"), joined(src, "lines").alias("code")
-    )
+    rows = with_texts(_pick(nodes, "CodeBlock"), docs, "kind", "marker", lang=span("lang"), meta=span("meta"), code=segments("lines"))
+    return rows.select("doc_id", "node_id", "kind", F.col("marker").alias("fence"), t.decode(F.col("lang")).alias("lang"), t.decode(F.col("meta")).alias("meta"), "code")
 
 
 def verbatim(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """HTML, math and template blocks and spans, with their text."""
-    src = F.col("source")
     tail = F.when(F.col("trailing_newline"), "\n").otherwise("")
-    return with_text(_pick(nodes, "HtmlBlock", "MathBlock", "Liquid", "HtmlInline", "MathSpan", "CodeSpan"), docs).select(
-        "doc_id", "node_id", "type", "kind", F.concat(F.coalesce(joined(src, "lines"), joined(src, "pieces")), tail).alias("content")
-    )
+    rows = with_texts(_pick(nodes, "HtmlBlock", "MathBlock", "Liquid", "HtmlInline", "MathSpan", "CodeSpan"), docs, "type", "kind", "trailing_newline", content=F.coalesce(segments("lines"), segments("pieces")))
+    return rows.select("doc_id", "node_id", "type", "kind", F.concat("content", tail).alias("content"))
 
 
 def list_items(nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """Items with their list's kind and tightness, marker, number and checkbox."""
     lists = _pick(nodes, "List").select("doc_id", F.col("node_id").alias("parent_id"), F.col("kind"), F.col("tight"))
-    items = with_text(_pick(nodes, "ListItem").drop("kind", "tight"), docs)
-    marker = sliced(F.col("source"), "marker")
-    return items.join(lists, ["doc_id", "parent_id"]).select(
-        "doc_id", "node_id", F.col("parent_id").alias("list_id"), "ord", "kind", "tight", "spread", "padding", "checked", marker.alias("marker"), F.regexp_extract(marker, r"\A([0-9]+)", 1).try_cast("bigint").alias("number")
+    items = with_texts(_pick(nodes, "ListItem").drop("marker"), docs, "parent_id", "ord", "spread", "padding", "checked", marker=span("marker"))
+    return items.join(lists.hint("merge"), ["doc_id", "parent_id"]).select(
+        "doc_id", "node_id", F.col("parent_id").alias("list_id"), "ord", "kind", "tight", "spread", "padding", "checked", "marker", F.regexp_extract("marker", r"\A([0-9]+)", 1).try_cast("bigint").alias("number")
     )
 
 
@@ -122,18 +124,17 @@ def table_cells(nodes: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def directives(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    src = F.col("source")
-    return with_text(_pick(nodes, "ContainerDirective"), docs).select("doc_id", "node_id", sliced(src, "opening").alias("opening"), sliced(src, "closing").alias("closing"))
+    return with_texts(_pick(nodes, "ContainerDirective"), docs, opening=span("opening"), closing=span("closing"))
 
 
 def wiki_links(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    return with_text(_pick(nodes, "WikiLink"), docs).select("doc_id", "node_id", t.span_slice(F.col("source"), F.col("start") + 2, F.col("end") - 2).alias("target"))
+    return with_texts(_pick(nodes, "WikiLink"), docs, target=own(2))
 
 
 def autolinks(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    raw = t.span_slice(F.col("source"), F.col("start"), F.col("end"))
-    kind = F.when(F.col("type") == "AutolinkLiteral", t.literal_kind(raw)).when(F.col("email"), "Email").otherwise("Uri")
-    return with_text(_pick(nodes, "Autolink", "AutolinkLiteral"), docs).select("doc_id", "node_id", "type", kind.alias("kind"), F.regexp_replace(raw, r"\A<|>\z", "").alias("address"))
+    rows = with_texts(_pick(nodes, "Autolink", "AutolinkLiteral"), docs, "type", "email", raw=own())
+    kind = F.when(F.col("type") == "AutolinkLiteral", t.literal_kind(F.col("raw"))).when(F.col("email"), "Email").otherwise("Uri")
+    return rows.select("doc_id", "node_id", "type", kind.alias("kind"), F.regexp_replace("raw", r"\A<|>\z", "").alias("address"))
 
 
 def tightness_check(nodes: DataFrame, blanks: DataFrame) -> DataFrame:
@@ -144,7 +145,7 @@ def tightness_check(nodes: DataFrame, blanks: DataFrame) -> DataFrame:
     hit = gaps.join(loose, (F.col("doc_id") == F.col("d")) & (F.col("a") >= F.col("end")) & (F.col("a") < F.col("next")) & (F.col("b") <= F.col("next")), "left_semi")
     wide = hit.select("doc_id", "parent_id").union(gaps.where("spread").select("doc_id", "parent_id")).distinct().withColumn("loose", F.lit(True))
     lists = _pick(nodes, "List").select("doc_id", F.col("node_id").alias("parent_id"), "tight")
-    return lists.join(wide, ["doc_id", "parent_id"], "left").where(F.col("tight") == F.coalesce("loose", F.lit(False))).select("doc_id", F.col("parent_id").alias("list_id"))
+    return lists.join(wide.hint("merge"), ["doc_id", "parent_id"], "left").where(F.col("tight") == F.coalesce("loose", F.lit(False))).select("doc_id", F.col("parent_id").alias("list_id"))
 
 
 def tree_lines(nodes: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import lexical as lx
 from ..functions import text as t
 from ..kernel.constructs import Constructs
 from ..operators import invariants, resolve, views
-from ..operators.parse import blank_lines, diagnostics, parse_markdown, render_html, signatures, snapshots
+from ..operators.parse import INLINE, blank_lines, diagnostics, parse_markdown, render_html, signatures, snapshots
 from ..sources import corpus
 from ..sources.store import stored
 
@@ -26,9 +26,9 @@ def query(sql: str | None = None):
     return add
 
 
-def _parsed(docs: DataFrame, inlines: bool = True) -> DataFrame:
-    """The nodes of documents, parsed once for all the views of a query."""
-    return stored(parse_markdown(docs, inlines=inlines), "nodes")
+def _parsed(docs: DataFrame, *types: str, inlines: bool | tuple[str, ...] = True) -> DataFrame:
+    """The nodes of documents (of these types, or all), parsed once for all the views of a query."""
+    return stored(parse_markdown(docs, inlines=inlines, types=types or None), "nodes")
 
 
 def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:
 def md_order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order sheets as Markdown tables, parsed, and their cells summed."""
     docs = corpus.order_sheets(spark, sf_dir)
-    cells = views.table_cells(_parsed(docs), docs).where("row > 0 AND col IN (1, 2)")
+    cells = views.table_cells(_parsed(docs, "Table", "TableRow", "TableCell", *views.TEXTS), docs).where("row > 0 AND col IN (1, 2)")
     rows = cells.groupBy("doc_id", "table_id", "row").agg(F.max(F.when(F.col("col") == 1, F.col("content"))).alias("l_returnflag"), F.max(F.when(F.col("col") == 2, F.col("content").try_cast("bigint"))).alias("q"))
     return rows.groupBy("l_returnflag").agg(F.count("*").alias("n_lines"), F.sum("q").alias("sum_qty"))
 
@@ -102,21 +102,21 @@ def md_nation_outline(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(c_nationkey AS BIGINT) AS doc_id, count(*) AS n, CAST(sum(CASE WHEN c_acctbal > 0 THEN 1 ELSE 0 END) AS BIGINT) AS checked, true AS tight FROM customer GROUP BY c_nationkey")
 def md_customer_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.customer_checklists(spark, sf_dir)
-    items = views.list_items(parse_markdown(docs), docs)
+    items = views.list_items(_parsed(docs, "List", "ListItem", inlines=False), docs)
     return items.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.col("checked").cast("long")).alias("checked"), F.bool_and("tight").alias("tight"))
 
 
 @query("SELECT event_type AS lang, count(*) AS n, CAST(sum(length(coalesce(props, ''))) AS BIGINT) AS chars FROM events GROUP BY event_type")
 def md_event_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.event_logs(spark, sf_dir)
-    code = views.code_blocks(parse_markdown(docs, inlines=False), docs)
+    code = views.code_blocks(parse_markdown(docs, inlines=False, types=["CodeBlock"]), docs)
     return code.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.length("code")).alias("chars"))
 
 
 @query("SELECT event_id AS doc_id, 'user=' || user_id AS meta FROM events")
 def md_fence_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.event_logs(spark, sf_dir)
-    return views.code_blocks(parse_markdown(docs, inlines=False), docs).select("doc_id", "meta")
+    return views.code_blocks(parse_markdown(docs, inlines=False, types=["CodeBlock"]), docs).select("doc_id", "meta")
 
 
 @query("SELECT conv_id AS doc_id, count(*) AS turns, max(turn % 4 + 1) AS deepest FROM conversations GROUP BY conv_id")
@@ -133,9 +133,10 @@ def md_blank_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT l_orderkey AS doc_id, count(*) + 1 AS n_rows, 'Right,Center,Right,Right' AS aligned FROM lineitem GROUP BY l_orderkey")
 def md_table_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = _parsed(corpus.order_sheets(spark, sf_dir), inlines=False)
-    rows = nodes.where("type = 'TableRow'").groupBy("doc_id").agg(F.count("*").alias("n_rows"))
-    return rows.join(nodes.where("type = 'Table'").select("doc_id", F.array_join("align", ",").alias("aligned")), "doc_id")
+    nodes = parse_markdown(corpus.order_sheets(spark, sf_dir), inlines=False, types=["Table", "TableRow"])
+    row, aligned = F.col("type") == "TableRow", F.when(F.col("type") == "Table", F.array_join("align", ","))
+    tables = nodes.groupBy("doc_id").agg(F.count_if(row).alias("n_rows"), F.collect_list(aligned).alias("tables"))
+    return tables.where("n_rows > 0").select("doc_id", "n_rows", F.explode("tables").alias("aligned"))
 
 
 @query("SELECT CAST(NULL AS BIGINT) AS doc_id, 0 AS list_id WHERE false")
@@ -148,9 +149,9 @@ def md_list_tightness_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def md_section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each block with the path of its nearest heading."""
     docs = corpus.order_sheets(spark, sf_dir)
-    nodes = _parsed(docs)
+    nodes = _parsed(docs, "Heading", "Table", *views.TEXTS, inlines=("Heading",))
     paths = views.outline(nodes, docs).select("doc_id", F.col("node_id").alias("heading_id"), "path")
-    return views.sections(nodes).where("type = 'Table'").join(paths, ["doc_id", "heading_id"]).select("doc_id", "path", "type")
+    return views.sections(nodes).where("type = 'Table'").join(paths.hint("merge"), ["doc_id", "heading_id"]).select("doc_id", "path", "type")
 
 
 @query()
@@ -256,7 +257,7 @@ def lex_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT CAST(p_size AS BIGINT) AS doc_id, CAST(sum(CASE WHEN p_partkey % 3 <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS resolved, CAST(sum(CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS dangling FROM part GROUP BY p_size")
 def md_part_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.part_catalogues(spark, sf_dir)
-    nodes = _parsed(docs)
+    nodes = _parsed(docs, "Definition", "Link", "Image", "Text")
     found = resolve.links(nodes, docs).where("url IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("resolved"))
     lost = resolve.dangling_labels(nodes, docs).groupBy("doc_id").agg(F.count("*").alias("dangling"))
     full = docs.select("doc_id").join(found, "doc_id", "left").join(lost, "doc_id", "left")
@@ -266,55 +267,55 @@ def md_part_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT 'part-' || p_partkey AS label_key, '/parts/' || p_partkey AS url, p_brand AS title, 1 AS def_ord FROM part WHERE p_partkey % 3 <> 0")
 def md_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.part_catalogues(spark, sf_dir)
-    return resolve.definitions(parse_markdown(docs), docs).select("label_key", "url", "title", "def_ord")
+    return resolve.definitions(parse_markdown(docs, inlines=False, types=["Definition"]), docs).select("label_key", "url", "title", "def_ord")
 
 
 @query("SELECT CAST(NULL AS BIGINT) AS doc_id, '' AS label_key WHERE false")
 def md_unused_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = corpus.part_catalogues(spark, sf_dir)
-    return resolve.unused_definitions(_parsed(docs), docs)
+    return resolve.unused_definitions(_parsed(docs, "Definition", "Link", "Image"), docs)
 
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = corpus.table(spark, sf_dir, "customer")
+    c = corpus.dealt(corpus.table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey")
     text = F.concat(F.lit("*a* **b** ~~c~~ `d` [^N"), "c_custkey", F.lit("] <u@e.com> www.x.y/"), "c_custkey", F.lit(" [[w]] $$m$$ {{ l }}  \nx\\\ny\nz &amp; &#65;\n\n[^n"), "c_custkey", F.lit("]: note\n[^o]: other\n"))
     return c.select(F.col("c_custkey").alias("doc_id"), text.alias("text"))
 
 
 @query("SELECT type, count(*) * k AS n FROM customer, (VALUES ('Emphasis', 1), ('Strong', 1), ('Strikethrough', 1), ('CodeSpan', 1), ('FootnoteReference', 1), ('Autolink', 1), ('AutolinkLiteral', 1), ('WikiLink', 1), ('MathSpan', 1), ('Liquid', 1), ('HardBreak', 2), ('SoftBreak', 1)) v(type, k) GROUP BY type, k")
 def md_inline_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = parse_markdown(_notes(spark, sf_dir))
+    nodes = parse_markdown(_notes(spark, sf_dir), types=(INLINE - {"Text"}) | {"Liquid"})
     return nodes.where("family = 'inline' AND type <> 'Text' OR type = 'Liquid'").groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query("SELECT c_custkey AS doc_id, 'n' || c_custkey AS called, 'o' AS unused FROM customer")
 def md_footnotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _notes(spark, sf_dir)
-    nodes = _parsed(docs)
+    nodes = _parsed(docs, "FootnoteReference", "FootnoteDefinition", "Link", "Image")
     called = resolve.references(nodes, docs).where("type = 'FootnoteReference'").select("doc_id", F.col("label_key").alias("called"))
-    return called.join(resolve.unused_footnotes(nodes, docs).select("doc_id", F.col("label_key").alias("unused")), "doc_id")
+    return called.join(resolve.unused_footnotes(nodes, docs).select("doc_id", F.col("label_key").alias("unused")).hint("merge"), "doc_id")
 
 
 @query("SELECT c_custkey AS doc_id, 'a b c d  u@e.com www.x.y/' || c_custkey || ' w m {{ l }}x' AS content FROM customer")
 def md_plain_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text content: breaks and footnote calls have none, entities are decoded."""
     docs = _notes(spark, sf_dir)
-    nodes = _parsed(docs)
+    nodes = _parsed(docs, "Paragraph", *views.TEXTS)
     first = nodes.where("type = 'Paragraph' AND parent_id = 0").select("doc_id", "node_id")
-    text = views.plain_text(nodes, docs, "Paragraph").join(first, ["doc_id", "node_id"])
+    text = views.plain_text(nodes, docs, "Paragraph").join(first.hint("merge"), ["doc_id", "node_id"])
     return text.select("doc_id", F.regexp_replace("content", "(?s)xy.*", "x").alias("content"))
 
 
 @query("SELECT c_custkey AS doc_id, kind, address FROM customer, LATERAL (VALUES ('Email', 'u@e.com'), ('Www', 'www.x.y/' || c_custkey)) v(kind, address)")
 def md_autolinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _notes(spark, sf_dir)
-    return views.autolinks(parse_markdown(docs), docs).select("doc_id", "kind", "address")
+    return views.autolinks(parse_markdown(docs, types=["Autolink", "AutolinkLiteral"]), docs).select("doc_id", "kind", "address")
 
 
 @query("SELECT c_custkey AS doc_id, 'w' AS target FROM customer")
 def md_wiki_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _notes(spark, sf_dir)
-    return views.wiki_links(parse_markdown(docs), docs).select("doc_id", "target")
+    return views.wiki_links(parse_markdown(docs, types=["WikiLink"]), docs).select("doc_id", "target")
 
 
 @query("SELECT n_nationkey, CAST(0 AS INTEGER) AS opener, CAST(1 AS INTEGER) AS closer, n_nationkey % 2 = 0 AS strong FROM nation")

@@ -370,7 +370,8 @@ def check_planted_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def check_planted_tightness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Checklists of every nation, with the flag of some turned: just those come back."""
     docs = corpus.customer_checklists(spark, sf_dir)
-    turned = parse_markdown(docs, inlines=False).withColumn("tight", F.when(F.col("doc_id") % 3 == 0, ~F.col("tight")).otherwise(F.col("tight")))
+    nodes = stored(parse_markdown(docs, inlines=False, types=["List", "ListItem"]), "nodes")
+    turned = nodes.withColumn("tight", F.when(F.col("doc_id") % 3 == 0, ~F.col("tight")).otherwise(F.col("tight")))
     return views.tightness_check(turned, blank_lines(docs))
 
 
@@ -427,9 +428,9 @@ def lex_strip_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey AS doc_id, p_name || ' & ' || p_brand || chr(10) || p_partkey AS alt, '/img/' || p_partkey AS url, p_type AS title FROM part")
 def md_image_alt(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alternative texts of images, of the text below them: emphasis, references, code and line endings."""
-    p = corpus.table(spark, sf_dir, "part")
+    p = corpus.dealt(corpus.table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type"), "p_partkey")
     text = F.concat(F.lit("![*"), "p_name", F.lit("* &amp; **"), "p_brand", F.lit("**\n`"), "p_partkey", F.lit("`](/img/"), "p_partkey", F.lit(' "'), "p_type", F.lit('")\n'))
     docs = p.select(F.col("p_partkey").alias("doc_id"), text.alias("text"))
-    nodes = stored(parse_markdown(docs), "nodes")
+    nodes = stored(parse_markdown(docs, types=["Definition", "Link", "Image", *views.TEXTS]), "nodes")
     alt = views.plain_text(nodes, docs, "Image").withColumnRenamed("content", "alt")
-    return resolve.links(nodes, docs).where("type = 'Image'").join(alt, ["doc_id", "node_id"]).select("doc_id", "alt", "url", "title")
+    return resolve.links(nodes, docs).where("type = 'Image'").join(alt.hint("merge"), ["doc_id", "node_id"]).select("doc_id", "alt", "url", "title")

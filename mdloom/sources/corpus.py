@@ -44,6 +44,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a table dealt over several tasks a core, for work in Python that outweighs their bytes.
+
+    A table of a few MB is one row group, and one task, however many documents are rendered from it.
+    """
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def guarded(column):
     """A value that stays one table cell of plain text."""
     return F.regexp_replace(F.regexp_replace(column, r"([\\`*_\[\]<>|&~$])", r"\\$1"), r"[\r\n]+", " ")
@@ -93,7 +101,7 @@ def part_catalogues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log an event: its properties in a fence whose language is the event's type."""
-    e = table(spark, sf_dir, "events")
+    e = dealt(table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "props"), "event_id")
     return e.select(F.col("event_id").alias("doc_id"), F.concat(F.lit("~~~ "), "event_type", F.lit(" user="), F.col("user_id"), F.lit("\n"), F.coalesce("props", F.lit("")), F.lit("\n~~~\n")).alias("text"))
 
 
