@@ -9,23 +9,27 @@ from ..functions import text as t
 
 
 def broken_spans(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """doc_id, node_id, rule: bounds and character boundaries, containment, order, line endings in segments, empty text."""
+    """doc_id, node_id, rule: bounds and character boundaries, containment, order, line endings in segments, empty text.
+
+    Texts meet nodes once, for all rules that read them, and nodes meet their parents and siblings in one more pass.
+    """
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
-    rows = nodes.join(src, "doc_id")
     size = F.octet_length("raw")
     starts = lambda at: (at == size) | ~F.hex(F.substring("raw", (at + 1).cast("int"), 1)).rlike("^[89AB]")
     a, b = F.col("start"), F.col("end")
-    bounds = rows.where(~((a >= 0) & (a <= b) & (b <= size) & starts(a) & starts(b))).select("doc_id", "node_id", F.lit("bounds").alias("rule"))
+    listed = F.flatten(F.map_values("segments"))
+    each = lambda bad, name: F.transform(F.filter("listed", bad), lambda s: F.lit(name))
+    rules = F.concat(
+        F.array_compact(F.array(F.when(~((a >= 0) & (a <= b) & (b <= size) & starts(a) & starts(b)), "bounds"))),
+        each(lambda s: t.span_slice(F.col("raw"), s["start"], s["end"]).rlike(r"[\r\n]"), "ending"),
+        each(lambda s: (s["start"] < a) | (s["end"] > b), "segment"),
+    )
+    read = nodes.select("doc_id", "node_id", "start", "end", listed.alias("listed")).join(src, "doc_id").select("doc_id", "node_id", F.explode(rules).alias("rule"))
     parents = nodes.select("doc_id", F.col("node_id").alias("parent_id"), F.col("start").alias("pa"), F.col("end").alias("pb"))
-    inside = nodes.join(parents, ["doc_id", "parent_id"]).where((a < F.col("pa")) | (b > F.col("pb"))).select("doc_id", "node_id", F.lit("inside").alias("rule"))
     before = F.lag("end").over(Window.partitionBy("doc_id", "parent_id").orderBy("ord"))
-    order = nodes.withColumn("before", before).where(a < F.col("before")).select("doc_id", "node_id", F.lit("order").alias("rule"))
-    empty = nodes.where((F.col("type") == "Text") & (a == b)).select("doc_id", "node_id", F.lit("empty").alias("rule"))
-    pieces = rows.select("doc_id", "node_id", "start", "end", "raw", F.explode("segments").alias("key", "list")).select("*", F.explode("list").alias("s"))
-    text = t.span_slice(F.col("raw"), F.col("s")["start"], F.col("s")["end"])
-    ending = pieces.where(text.rlike(r"[\r\n]")).select("doc_id", "node_id", F.lit("ending").alias("rule"))
-    outside = pieces.where((F.col("s")["start"] < a) | (F.col("s")["end"] > b)).select("doc_id", "node_id", F.lit("segment").alias("rule"))
-    return bounds.unionByName(inside).unionByName(order).unionByName(empty).unionByName(ending).unionByName(outside)
+    placed = nodes.select("doc_id", "node_id", "parent_id", "ord", "type", "start", "end").join(parents.hint("merge"), ["doc_id", "parent_id"], "left").withColumn("before", before)
+    named = F.array(F.when((a < F.col("pa")) | (b > F.col("pb")), "inside"), F.when(a < F.col("before"), "order"), F.when((F.col("type") == "Text") & (a == b), "empty"))
+    return read.unionByName(placed.select("doc_id", "node_id", F.explode(F.array_compact(named)).alias("rule")))
 
 
 def broken_blanks(blanks: DataFrame, docs: DataFrame) -> DataFrame:

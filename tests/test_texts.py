@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from mdloom.kernel import parse
 from mdloom.operators import parse as P
-from mdloom.operators import ranges, resolve, views
+from mdloom.operators import invariants, ranges, resolve, views
 from mdloom.plans import queries
 
 
@@ -45,3 +45,17 @@ def test_documents_of_a_small_table_are_dealt_over_tasks(spark, tmp_path):
     notes = queries._notes(spark, str(tmp_path))
     assert notes.rdd.getNumPartitions() > 4
     assert views.autolinks(P.parse_markdown(notes, types=["Autolink"]), notes).where("address = 'u@e.com'").count() == notes.count()
+
+
+def test_spans_meet_their_texts_once(spark):
+    text = "a *b*\n\n~~~\nc\nd\n~~~\n"
+    docs = spark.createDataFrame([(1, text), (2, text), (3, "é")], "doc_id long, text string")
+    nodes = P.parse_markdown(docs)
+    assert invariants.broken_spans(nodes, docs).count() == 0
+    first = (F.col("doc_id") == 2) & (F.col("type") == "CodeBlock")
+    moved = F.transform_values("segments", lambda k, v: F.transform(v, lambda s: s.withField("end", s["end"] + 1)))
+    bad = nodes.withColumn("segments", F.when(first, moved).otherwise(F.col("segments"))).withColumn("start", F.when((F.col("doc_id") == 3) & (F.col("type") == "Text"), 1).otherwise(F.col("start")).cast("long"))
+    found = invariants.broken_spans(bad, docs)
+    assert sorted((r.doc_id, r.rule) for r in found.collect()) == [(2, "ending"), (2, "ending"), (3, "bounds")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("AS raw#") == 1
