@@ -7,6 +7,7 @@ the two named never reach Python.
 
 from __future__ import annotations
 
+import gc
 from array import array
 from collections.abc import Collection
 
@@ -39,6 +40,21 @@ _NODE = pa.schema(
 )
 
 
+def without_cycles(run):
+    """``run``, a generator over batches, without the search for cycles: trees hold none, and are freed when they are let go."""
+
+    def quiet(batches):
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            if was:
+                gc.enable()
+
+    return quiet
+
+
 def _order(root: Node) -> tuple[list[tuple], array]:
     """(node, parent, depth, ord, inline) of every node in pre-order, and where their subtrees end."""
     order: list[tuple] = []
@@ -102,6 +118,7 @@ def parse_markdown(docs: DataFrame, constructs: Constructs | Column | None = Non
     inside = inlines if isinstance(inlines, bool) else frozenset(inlines)
     chosen = None if types is None else frozenset(types)
 
+    @without_cycles
     def run(batches):
         sets: dict[tuple, Constructs | None] = {(): fixed}
         for batch in batches:
