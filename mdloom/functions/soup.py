@@ -6,6 +6,8 @@ number: no state is carried, rows need no order, and a retried task makes the sa
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,14 +27,20 @@ def _times(a: Column, b: Column) -> Column:
     return _low(a * b.bitwiseAND(F.lit(0xFFFF)) + F.shiftleft((a * _shift(b, 16)).bitwiseAND(F.lit(0xFFFF)), 16))
 
 
+def _let(x: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often it reads it."""
+    return F.get(F.transform(F.array(x), then), F.lit(0))
+
+
 def draw(seed: Column, n: Column | int) -> Column:
     """The ``n``-th number (from 1) of mulberry32 with this seed: a whole number from 0 to 2 ** 32 - 1."""
     step = F.lit(0x6D2B79F5).cast("long")
     n = n if isinstance(n, Column) else F.lit(n)
     state = _low(_low(seed.cast("long")) + _times(step, _low(n.cast("long"))))
-    x = _times(state.bitwiseXOR(_shift(state, 15)), state.bitwiseOR(F.lit(1)))
-    x = x.bitwiseXOR(_low(x + _times(x.bitwiseXOR(_shift(x, 7)), x.bitwiseOR(F.lit(61)))))
-    return _low(x.bitwiseXOR(_shift(x, 14)))
+    first = lambda s: _times(s.bitwiseXOR(_shift(s, 15)), s.bitwiseOR(F.lit(1)))
+    second = lambda x: x.bitwiseXOR(_low(x + _times(x.bitwiseXOR(_shift(x, 7)), x.bitwiseOR(F.lit(61)))))
+    last = lambda x: _low(x.bitwiseXOR(_shift(x, 14)))
+    return _let(_let(_let(state, first), second), last)
 
 
 def below(seed: Column, n: Column | int, count: Column | int) -> Column:
