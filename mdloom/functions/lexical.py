@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import fields
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,6 +24,8 @@ FOOTNOTE = r"\A\[\^((?:\\[\[\\\]]|\\(?![\[\\\]])|[^\]\[ \t\n\\])++)\]:"
 #: Bytes of a footnote's label.
 LABEL_BYTES = 999
 ITEM = r"\A(?:[-*+]|[0-9]{1,9}[.)])(?:[ \t]|\z)"
+#: A cell of a table row, up to the pipe that ends it; a backslash guards the character after it.
+CELL = r"(?s)\G((?:[^|\\]++|\\.)*+\\?)(?:\||\z)"
 DELIMITER = r"\A[ \t]*\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*+\|?[ \t]*\z"
 RAW_TAG = rf"(?i)\A<(?:{'|'.join(g.RAW_TAGS)})(?:[ \t>]|\z)"
 BLOCK_TAG = rf"(?i)\A(?:<(?:{'|'.join(g.BLOCK_TAGS)})(?:[ \t>]|/>|\z)|</(?:{'|'.join(g.BLOCK_TAGS)})(?:[ \t>]|\z))"
@@ -120,43 +123,65 @@ def options(constructs: Constructs | None = None, **switched: Column) -> Column:
     return F.struct(*(switched.get(f.name, F.lit(getattr(on, f.name))).cast("boolean").alias(f.name) for f in fields(on)))
 
 
-def _only(on: Constructs | Column, name: str, test: Column) -> Column | None:
+def _only(on: Constructs | Column, name: str | None, test: Column) -> Column | None:
     """``test`` where a construct is on: None if it is off for all rows. A null switch of a row has the default."""
+    if name is None:
+        return test
     if isinstance(on, Column):
         return test & F.coalesce(on[name], F.lit(getattr(Constructs.markdown(), name)))
     return test if getattr(on, name) else None
 
 
+def _tests(t: Column, in_paragraph: Column) -> list[tuple[str | None, Column, str | None]]:
+    """What a line's tail is tested for, in order of precedence: the construct that switches the test, the test, and what the line starts then."""
+    rest = F.when(t.startswith("{%"), F.regexp_extract(t, r"(?s)\A\{%.*?%\}(.*)\z", 1)).otherwise(F.regexp_extract(t, r"(?s)\A\{\{.*?\}\}(.*)\z", 1))
+    return [
+        (None, t.isNull(), None),
+        (None, t.startswith(">"), "Blockquote"),
+        (None, in_paragraph & t.rlike(SETEXT), "SetextUnderline"),
+        (None, t.rlike(THEMATIC), "ThematicBreak"),
+        (None, t.rlike(ATX), "AtxHeading"),
+        (None, t.rlike(FENCE), "CodeFence"),
+        ("html_flow", t.startswith("<") & html_type(t, in_paragraph).isNotNull(), "HtmlBlock"),
+        ("math_flow", t.rlike(MATH), "MathFence"),
+        ("liquid", t.rlike(LIQUID) & is_blank(rest), "Liquid"),
+        ("liquid", t.rlike(LIQUID), None),
+        ("container_directive", t.rlike(DIRECTIVE), "DirectiveOpener"),
+        ("gfm_footnote", footnote_starts(t), "FootnoteDefinition"),
+        (None, t.rlike(ITEM), "ListItem"),
+        ("gfm_table", in_paragraph & t.rlike(DELIMITER), "TableDelimiterRow"),
+        ("container_directive", t.rlike(DIRECTIVE_CLOSE), "DirectiveCloser"),
+        ("gfm_table", t.startswith("|"), "TableRow"),
+    ]
+
+
+def _first(tests: list[tuple[str | None, Column, str | None]], on: Constructs | Column) -> Column:
+    out = F
+    for construct, test, name in tests:
+        only = _only(on, construct, test)
+        if only is not None:
+            out = out.when(only, F.lit(name).cast("string"))
+    return out
+
+
 def tail_start(t: Column, in_paragraph: Column, constructs: Constructs | Column | None = None) -> Column:
     """What a line's tail, as ``flow_tail`` gives it, starts. A column that has it makes it once for all the tests here.
 
     ``constructs`` may be a STRUCT column as ``options`` makes it: one plan then serves rows with different switches.
     """
-    on = Constructs.markdown() if constructs is None else constructs
-    rest = F.when(t.startswith("{%"), F.regexp_extract(t, r"(?s)\A\{%.*?%\}(.*)\z", 1)).otherwise(F.regexp_extract(t, r"(?s)\A\{\{.*?\}\}(.*)\z", 1))
-    tests: list[tuple[Column | None, str | None]] = [
-        (t.isNull(), None),
-        (t.startswith(">"), "Blockquote"),
-        (in_paragraph & t.rlike(SETEXT), "SetextUnderline"),
-        (t.rlike(THEMATIC), "ThematicBreak"),
-        (t.rlike(ATX), "AtxHeading"),
-        (t.rlike(FENCE), "CodeFence"),
-        (_only(on, "html_flow", t.startswith("<") & html_type(t, in_paragraph).isNotNull()), "HtmlBlock"),
-        (_only(on, "math_flow", t.rlike(MATH)), "MathFence"),
-        (_only(on, "liquid", t.rlike(LIQUID) & is_blank(rest)), "Liquid"),
-        (_only(on, "liquid", t.rlike(LIQUID)), None),
-        (_only(on, "container_directive", t.rlike(DIRECTIVE)), "DirectiveOpener"),
-        (_only(on, "gfm_footnote", footnote_starts(t)), "FootnoteDefinition"),
-        (t.rlike(ITEM), "ListItem"),
-        (_only(on, "gfm_table", in_paragraph & t.rlike(DELIMITER)), "TableDelimiterRow"),
-        (_only(on, "container_directive", t.rlike(DIRECTIVE_CLOSE)), "DirectiveCloser"),
-        (_only(on, "gfm_table", t.startswith("|")), "TableRow"),
-    ]
-    out = F
-    for test, name in tests:
-        if test is not None:
-            out = out.when(test, F.lit(name).cast("string"))
-    return out
+    return _first(_tests(t, in_paragraph), Constructs.markdown() if constructs is None else constructs)
+
+
+def tail_tests(tail: Column, in_paragraph: Column) -> Column:
+    """The tests of a line's tail as the bits of a number: what it starts under any switches, for ``tests_start``."""
+    bits = (F.when(test, F.lit(1 << k)).otherwise(F.lit(0)) for k, (_, test, _) in enumerate(_tests(tail, in_paragraph)))
+    return reduce(lambda a, b: a + b, bits)
+
+
+def tests_start(tests: Column, constructs: Constructs | Column | None = None) -> Column:
+    """What a line with these ``tail_tests`` starts."""
+    known = _tests(F.lit(""), F.lit(False))
+    return _first([(construct, tests.bitwiseAND(F.lit(1 << k)) != 0, name) for k, (construct, _, name) in enumerate(known)], Constructs.markdown() if constructs is None else constructs)
 
 
 def item_interrupts(line: Column) -> Column:
@@ -187,11 +212,20 @@ def ordered_number(marker: Column) -> Column:
 
 def table_cells(line: Column) -> Column:
     """The cells of a table row, trimmed; outer pipes are decoration and a backslash guards a pipe."""
-    inner = F.regexp_replace(F.btrim(line, F.lit(" \t")), r"\A\|", "")
-    guarded = F.regexp_replace(inner, r"(?s)\\(.)", "\u0001$1")
-    split = F.split(F.regexp_replace(guarded, "\u0001\\|", "\u0002"), r"\|")
-    cells = F.transform(split, lambda c: F.btrim(F.replace(F.replace(c, F.lit("\u0002"), F.lit("\\|")), F.lit("\u0001"), F.lit("\\")), F.lit(" \t")))
-    return F.when(F.element_at(cells, -1) == "", F.slice(cells, F.lit(1), F.size(cells) - 1)).otherwise(cells)
+    row = F.btrim(line, F.lit(" \t"))
+    inner = F.when(row.startswith("|"), F.substring(row, 2, F.length(row))).otherwise(row)
+    found = F.transform(F.regexp_extract_all(inner, F.lit(CELL), F.lit(1)), lambda c: F.btrim(c, F.lit(" \t")))
+    return F.slice(found, F.lit(1), F.size(found) - 1)  # one more at the end: what is after the last pipe, or nothing
+
+
+def _pipes(row: Column) -> Column:
+    return F.length(row) - F.length(F.replace(row, F.lit("|"), F.lit("")))
+
+
+def table_width(line: Column) -> Column:
+    """How many cells a table row has, by its pipes alone."""
+    row = F.regexp_replace(F.btrim(line, F.lit(" \t")), r"(?s)\\.", "-")  # nothing that is guarded counts
+    return _pipes(row) + 1 - row.startswith("|").cast("int") - ((row == "") | row.endswith("|")).cast("int")
 
 
 def table_alignments(line: Column) -> Column:
@@ -204,8 +238,7 @@ def table_alignments(line: Column) -> Column:
 
 def table_delimiter_activates(header: Column, delimiter: Column) -> Column:
     """Whether a delimiter row makes a table of the line above it."""
-    align = table_alignments(delimiter)
-    return ~is_deep(header) & ~is_deep(delimiter) & F.coalesce(F.size(align) == F.size(table_cells(header)), F.lit(False))
+    return ~is_deep(header) & ~is_deep(delimiter) & F.coalesce(delimiter.rlike(DELIMITER) & (table_width(delimiter) == table_width(header)), F.lit(False))
 
 
 def code_info(info: Column) -> Column:

@@ -222,10 +222,12 @@ def lex_ordered_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 def lex_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row cells and delimiter activation: rows of four cells over delimiter rows of three to five."""
     rows = corpus.table(spark, sf_dir, "lineitem")
-    line = F.format_string("| %d | %s | %d | a\\|b |", F.col("l_linenumber"), F.col("l_returnflag"), F.col("l_partkey"))
-    cells = lx.table_cells(line)
+    told = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("null"))
+    line = F.concat(F.lit("| "), told("l_linenumber"), F.lit(" | "), told("l_returnflag"), F.lit(" | "), told("l_partkey"), F.lit(" | a\\|b |"))
     rule = F.concat(F.lit("|"), F.repeat(F.lit(":-:|"), (F.col("l_linenumber") % 3 + 3).cast("int")))
-    return rows.select("l_orderkey", "l_linenumber", F.size(cells).alias("n_cells"), F.get(cells, F.lit(1)).alias("second"), lx.table_delimiter_activates(line, rule).alias("activates"))
+    made = rows.select("l_orderkey", "l_linenumber", line.alias("line"), rule.alias("rule"))
+    cut = made.select("l_orderkey", "l_linenumber", lx.table_cells(F.col("line")).alias("cells"), lx.table_delimiter_activates(F.col("line"), F.col("rule")).alias("activates"))
+    return cut.select("l_orderkey", "l_linenumber", F.size("cells").alias("n_cells"), F.get("cells", F.lit(1)).alias("second"), "activates")
 
 
 @query("SELECT event_id, event_type AS lang, nullif('u' || user_id, '') AS meta FROM events")
