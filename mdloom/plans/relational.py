@@ -181,11 +181,14 @@ _QUOTED = {name: ", ".join(f"'{k}'" for k in _TAKES.get(name, ["-"])) for name i
 )
 def lex_switches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each switch of the grammar turned alone, as a column of options: lines whose class changes, and those that still have one."""
-    lines = _marked_lines(spark, sf_dir).withColumn("switch", F.explode(F.array(*map(F.lit, _SWITCHES))))
+    tails = _marked_lines(spark, sf_dir).select(lx.flow_tail(F.col("line")).alias("tail"))
+    tested = tails.groupBy(lx.tail_tests(F.col("tail"), F.lit(False)).alias("tests")).agg(F.count("*").alias("n"))  # lines of the same tests have the same classes
+    lines = tested.withColumn("switch", F.explode(F.array(*map(F.lit, _SWITCHES))))
     turned = {name: F.lit(getattr(Constructs.markdown(), name)) != (F.col("switch") == name) for name in _SWITCHES}
-    plain, own = lx.line_start(F.col("line"), F.lit(False)), lx.line_start(F.col("line"), F.lit(False), F.col("options"))
-    kinds = lines.withColumn("options", lx.options(**turned)).select("switch", plain.alias("plain"), own.alias("own"))
-    return kinds.groupBy("switch").agg(F.count("*").alias("n_lines"), F.sum((~F.col("plain").eqNullSafe(F.col("own"))).cast("long")).alias("n_changed"), F.count("own").alias("n_left"))
+    plain, own = lx.tests_start(F.col("tests")), lx.tests_start(F.col("tests"), F.col("options"))
+    kinds = lines.withColumn("options", lx.options(**turned)).select("switch", "n", plain.alias("plain"), own.alias("own"))
+    of = lambda those: F.sum(F.when(those, F.col("n")).otherwise(0))
+    return kinds.groupBy("switch").agg(F.sum("n").alias("n_lines"), of(~F.col("plain").eqNullSafe(F.col("own"))).alias("n_changed"), of(F.col("own").isNotNull()).alias("n_left"))
 
 
 def _kinds(spark: SparkSession, sf_dir: str, constructs: Constructs | None = None) -> DataFrame:
