@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from .common import Hasher, portions, ranges, table, tidy, utf8
 
 KNOWN = 400_000
-SUB_BATCH = 2 << 20
+#: Bytes of text that are worked on at once: numpy holds some fifty bytes for each.
+SUB_BATCH = 1 << 19
 SUFFIX = "</w>"
 LETTER, DIGIT, OTHER, SPACE, BREAK = 1, 2, 3, 4, 5
 
