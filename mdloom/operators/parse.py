@@ -24,7 +24,7 @@ from ..kernel.tree import Node
 from ..plans.schema import BLANKS, DIAGNOSTICS, NODES
 
 MAX_DOC_BYTES = 1 << 30
-ROWS = 20_000
+ROWS = 4_000
 STRUCTURAL = {"ListItem", "TableRow", "TableCell"}
 INLINE = {
     "Text", "SoftBreak", "HardBreak", "Emphasis", "Strong", "Strikethrough", "CodeSpan", "Link", "Image", "Autolink",
@@ -55,32 +55,45 @@ def without_cycles(run):
     return quiet
 
 
-def _order(root: Node) -> tuple[list[tuple], array]:
-    """(node, parent, depth, ord, inline) of every node in pre-order, and where their subtrees end."""
-    order: list[tuple] = []
+def _walk(root: Node):
+    """(node, parent, depth, ord, inline) of every node in pre-order, a frame a level held; then (number,) once all below that node was given."""
+    count, inline = 1, root.type in INLINE
+    yield root, None, 0, 0, inline
+    frames = [(0, iter(enumerate(root.kids)), inline)]
+    while frames:
+        k, kids, inline = frames[-1]
+        for place, node in kids:
+            own = inline or node.type in INLINE
+            yield node, k, len(frames), place, own
+            if node.kids:
+                frames.append((count, iter(enumerate(node.kids)), own))
+                count += 1
+                break
+            count += 1
+        else:
+            frames.pop()
+            yield (k,)
+
+
+def _ends(root: Node) -> array:
+    """Where the subtree of every node ends, by its number in pre-order."""
     ends = array("i")
-    todo: list = [(root, None, 0, 0, False)]
-    while todo:
-        one = todo.pop()
-        node = one[0]
-        if isinstance(node, int):
-            ends[node] = len(order)
-            continue
-        k, kids = len(order), node.kids
-        inline = one[4] or node.type in INLINE
-        order.append(one if inline is one[4] else (*one[:4], inline))
-        ends.append(k + 1)
-        if kids:
-            todo.append((k,))
-            depth = one[2] + 1
-            todo += [(kids[i], k, depth, i, inline) for i in range(len(kids) - 1, -1, -1)]
-    return order, ends
+    for one in _walk(root):
+        if len(one) == 1:
+            ends[one[0]] = len(ends)
+        else:
+            ends.append(len(ends) + 1)
+    return ends
 
 
 def rows(doc_id, root: Node, types: frozenset[str] | None = None):
     """The rows of a tree, in pre-order, one at a time: a document's rows need not be held together. ``types``: those of these types alone."""
-    order, ends = _order(root)
-    for k, (node, parent, depth, place, inline) in enumerate(order):
+    ends, k = _ends(root), -1
+    for one in _walk(root):
+        if len(one) == 1:
+            continue
+        node, parent, depth, place, inline = one
+        k += 1
         if types is not None and node.type not in types:
             continue
         p = node.props
@@ -133,6 +146,7 @@ def parse_markdown(docs: DataFrame, constructs: Constructs | Column | None = Non
                     if len(held) >= ROWS:
                         yield _batch(held)
                         held = []
+                root = row = None  # let go before the next tree is made
             if held:
                 yield _batch(held)
 
@@ -153,6 +167,7 @@ def blank_lines(docs: DataFrame, constructs: Constructs | None = None, *, id_col
                 blocks = parse(source, constructs, False)[1]
                 loose = set(blocks.loosening)
                 rows += [(doc_id, i, a, b, (a, b) in loose) for i, (a, b) in enumerate(blocks.blanks)]
+                blocks = loose = None  # let go before the next document is parsed
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "ord", "start", "end", "loosening"])
