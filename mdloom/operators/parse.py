@@ -184,17 +184,21 @@ def diagnostics(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     return long.selectExpr(*(c.split()[0].join(("`", "`")) for c in DIAGNOSTICS.split(", ")))
 
 
-def _each(docs: DataFrame, make, name: str, constructs, id_col: str, text_col: str, where) -> DataFrame:
+def _each(docs: DataFrame, make, name: str, constructs, id_col: str, text_col: str, where, keep: Collection[str] = ()) -> DataFrame:
+    @without_cycles
     def run(batches):
         for batch in batches:
             out = [make(source, *parse(source, constructs)) for source in batch.column(1).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.string())], ["doc_id", name])
+            yield pa.record_batch([batch.column(0), *batch.columns[2:], pa.array(out, pa.string())], ["doc_id", *keep, name])
 
-    return _source(docs, id_col, text_col, where).mapInArrow(run, f"doc_id long, {name} string")
+    source = _source(docs, id_col, text_col, where, *(F.col(c) for c in keep))
+    kept = "".join(f"`{c}` {t}, " for c, t in source.dtypes[2:])
+    return source.mapInArrow(run, f"doc_id long, {kept}{name} string")
 
 
-def render_html(docs: DataFrame, constructs: Constructs | None = None, *, id_col: str = "doc_id", text_col: str = "text", where: Column | None = None) -> DataFrame:
-    return _each(docs, lambda source, root, _: to_html(source, root), "html", constructs, id_col, text_col, where)
+def render_html(docs: DataFrame, constructs: Constructs | None = None, *, id_col: str = "doc_id", text_col: str = "text", where: Column | None = None, keep: Collection[str] = ()) -> DataFrame:
+    """The HTML of every document; ``keep`` names columns that come along, so that no join has to fetch them."""
+    return _each(docs, lambda source, root, _: to_html(source, root), "html", constructs, id_col, text_col, where, keep)
 
 
 def signatures(docs: DataFrame, constructs: Constructs | None = None, *, id_col: str = "doc_id", text_col: str = "text", where: Column | None = None) -> DataFrame:

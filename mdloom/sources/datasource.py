@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import SparkSession
 from pyspark.sql import datasource as ds
 
-PARTITION_BYTES, PARTITION_EXAMPLES = 32 << 20, 200
+PARTITION_BYTES, PARTITION_EXAMPLES = 32 << 20, 2000
 SUFFIXES = (".md", ".markdown", ".txt")
 FILES = "path string, name string, bytes bigint, modified timestamp, text string"
 SUITE = "path string, example int, section string, markdown string, html string"
