@@ -16,7 +16,9 @@ share. Only keys and ids go through the rounds; a sketch joins once for each dis
 group is first compared with one of its documents, and pairs that verified links have put into one component
 need no comparison. Groups that still hold several components are compared in full, in tasks of two portions
 of a group each, which give only the pairs whose sizes and sketches (Hamming distance) allow the similarity.
-What the sketches let through is verified by its shingle sets.
+Sketches of so many bits say little of large sets, which also have one of a bit a shingle; of two lengths, the
+longer is folded. What the sketches let through is verified by its shingle sets, made anew from the texts, which
+travel compressed: a set of hashes is larger than its text, and does not compress.
 
 Defined cases: null and empty texts, and texts of white space, have an empty set and link with nothing;
 fewer than five words are one shingle; rows that share a doc_id are one document with each of their texts: a link
@@ -52,6 +54,8 @@ NUMBERS = 16
 SKETCH = [f"s{k}" for k in range(NUMBERS)]
 LARGE = 4096
 FEW = 32
+#: Sets of more shingles than this have a fine sketch, of as many bits as shingles or up to twice as many.
+COARSE = 64 * NUMBERS
 
 
 def bands(top: int) -> np.ndarray:
@@ -156,6 +160,23 @@ def short_sketch(owner: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
     return out.reshape(n, NUMBERS)
 
 
+def fine_sketch(value: np.ndarray) -> bytes | None:
+    """Parity bits of a large set, their number the power of two from its size on; none of a small one, whose short sketch says enough."""
+    if len(value) <= COARSE:
+        return None
+    bits = 1 << (len(value) - 1).bit_length()
+    odd = np.bincount((value >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def apart(x: bytes, y: bytes) -> int:
+    """Bits in which two fine sketches differ, the longer folded to the shorter: no more than the shingles in which their sets do."""
+    a, b = (np.frombuffer(s, np.uint8) for s in (x, y))
+    size = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(s.reshape(-1, size)) for s in (a, b))
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _pack(key: np.ndarray, doc: np.ndarray, crowd: np.ndarray) -> bytes:
     """Low 48 bits of sorted keys, documents, and marks of crowds, as byte planes, compressed if there are many."""
     planes = key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T.tobytes() + doc.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() + crowd.astype(np.uint8).tobytes()
@@ -320,7 +341,7 @@ def small(ids: DataFrame) -> DataFrame:
 
 
 def sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc, n, sketch, hashes): set size, short sketch and shingle set of the nodes in ``wanted``, stored."""
+    """(doc, n, sketch, fine, packed): set size, sketches and compressed text of the nodes in ``wanted``, stored."""
 
     def run(batches):
         hasher = Hasher()
@@ -331,37 +352,70 @@ def sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 owner, value = shingles(data[own[0] : own[-1]], own - own[0], hasher)
                 ends = np.searchsorted(owner, np.arange(hi - lo + 1))
                 sketch = short_sketch(owner, value, hi - lo).view(np.int64)
-                cut = ends.tolist()
-                hashes = pa.array([value[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(ends)), *(pa.array(x.copy()) for x in sketch.T), hashes], ["doc", "n", *SKETCH, "hashes"])
+                cut, at = ends.tolist(), own.tolist()
+                fine = pa.array([fine_sketch(value[a:b]) for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())
+                packed = pa.array([(b - a).to_bytes(8, "little") + pa.compress(data[a:b], "zstd", asbytes=True) for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())
+                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(ends)), *(pa.array(x.copy()) for x in sketch.T), fine, packed], ["doc", "n", *SKETCH, "fine", "packed"])
 
     texts = docs.withColumnRenamed("node", "doc").join(small(wanted), "doc", "left_semi")
     if docs.groupBy("node").count().where("count > 1").limit(1).count():  # only where nodes repeat do texts have to meet
         texts = texts.dropDuplicates(["doc"])
     numbers = ", ".join(f"{s} long" for s in SKETCH)
-    return stored(texts.select("doc", "text").mapInArrow(tidy(run), f"doc long, n long, {numbers}, hashes binary"), "sets")
+    return stored(texts.select("doc", "text").mapInArrow(tidy(run), f"doc long, n long, {numbers}, fine binary, packed binary"), "sets")
+
+
+def finer(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the fine sketches of large sets allow, and those of sets without one."""
+
+    def run(batches):
+        for batch in batches:
+            keep = [x is None or y is None or apart(x, y) * 9 <= n for n, x, y in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda end, fine: known.where("fine IS NOT NULL").select(F.col("doc").alias(end), F.col("n").alias(f"{end}_n"), F.col("fine").alias(fine))
+    met = pairs.join(side("a", "x"), "a", "left").join(side("b", "y"), "b", "left")
+    return met.select("a", "b", (F.col("a_n") + F.col("b_n")).alias("n"), "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
-def verified(pairs: DataFrame, hashes: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough."""
 
     def run(batches):
+        hasher = Hasher()
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.searchsorted(x, y)
-                both = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
-                keep.append(both > 0 and both * 100 >= (len(x) + len(y) - both) * 80)
+            a, packed = np.asarray(batch.column(0)), batch.columns[2:4]
+            new = np.r_[True, a[1:] != a[:-1]][: len(a)]
+            sizes = np.array([[int.from_bytes(p[k].as_buffer()[:8], "little") for p in packed] for k in range(len(a))], np.int64).reshape(-1, 2)
+            keep: list[bool] = []
+            for lo, hi in portions(np.r_[0, np.cumsum(sizes[:, 1] + sizes[:, 0] * new)], SUB_BATCH):
+                texts, place = [], []
+                for k in range(lo, hi):
+                    if new[k] or k == lo:  # pairs of one document come together, and its set is made once
+                        first = len(texts)
+                        texts.append(_text(packed[0][k]))
+                    place.append((first, len(texts)))
+                    texts.append(_text(packed[1][k]))
+                owner, value = shingles(np.frombuffer(b"".join(texts), np.uint8), np.r_[0, np.cumsum([len(t) for t in texts])], hasher)
+                ends = np.searchsorted(owner, np.arange(len(texts) + 1))
+                for i, j in place:
+                    x, y = value[ends[i] : ends[i + 1]], value[ends[j] : ends[j + 1]]
+                    at = np.searchsorted(x, y)
+                    both = int((x[np.minimum(at, len(x) - 1)] == y).sum()) if len(x) else 0
+                    keep.append(both > 0 and both * 100 >= (len(x) + len(y) - both) * 80)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     ends = small(stored(pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct(), "ends"))
-    hashes = hashes.select("doc", "hashes").join(ends, "doc", "left_semi")
-    right = pairs.join(hashes.select(F.col("doc").alias("b"), F.col("hashes").alias("y")), "b")
-    full = right.join(hashes.select(F.col("doc").alias("a"), F.col("hashes").alias("x")), "a")
+    texts = known.select("doc", "packed").join(ends, "doc", "left_semi")
+    right = pairs.join(texts.select(F.col("doc").alias("b"), F.col("packed").alias("y")), "b")
+    full = right.join(texts.select(F.col("doc").alias("a"), F.col("packed").alias("x")), "a")
     return full.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
+def _text(packed: pa.Scalar) -> bytes:
+    raw = packed.as_py()
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
+
+
 def likely(pairs: DataFrame, known: DataFrame) -> DataFrame:
     """The pairs (a, b) that set sizes and the Hamming distance of sketches allow."""
     side = lambda end: known.select(F.col("doc").alias(end), F.col("n").alias(f"{end}_n"), *(F.col(s).alias(f"{end}_{s}") for s in SKETCH))
@@ -454,7 +508,7 @@ def link(docs: DataFrame) -> DataFrame:
         else:
             found = crosswise(grouped.select("key", "doc", "own", "size"), known, dealt(spark, size))
         fresh = stored(found if tested is None else found.join(tested, ["a", "b"], "left_anti"), "pairs")
-        more = stored(verified(fresh, known), "links")
+        more = stored(verified(stored(finer(fresh, known), "finer"), known), "links")
         tested = fresh if tested is None else tested.unionByName(fresh)
         discard(spark, opened)
         release(spark)
