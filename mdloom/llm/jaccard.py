@@ -206,6 +206,20 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     return docs.withColumn("kind", kind).join(names, ["doc_id", "kind"], "left").select("node", "text"), names.select("node", "doc_id")
 
 
+def gathered(batches, most: int):
+    """``batches`` put together while they are of ``most`` bytes at most: what meets in a batch need not be sent."""
+    held, size = [], 0
+    for batch in batches:
+        if held and size + batch.nbytes > most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+        if len(batch):
+            held.append(batch)
+            size += batch.nbytes
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def sift(docs: DataFrame, size: int) -> DataFrame:
     """One shuffle of (node, text), ``size`` bytes together: stored rows (kind, a, b, docs).
 
@@ -218,7 +232,7 @@ def sift(docs: DataFrame, size: int) -> DataFrame:
 
     def split(batches):
         hasher = Hasher()
-        for whole in batches:
+        for whole in gathered(batches, BATCH):
             for lo, hi in portions(utf8(whole.column(1))[1], BATCH):
                 yield from one_batch(whole.slice(lo, hi - lo), hasher)
 
