@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..kernel import parse
 from ..kernel.constructs import Constructs
+from ..kernel.grammar import decode
 from ..kernel.render import html as to_html
 from ..kernel.render import signature as to_signature
 from ..kernel.snapshot import snapshot as to_snapshot
@@ -31,6 +32,11 @@ INLINE = {
     "AutolinkLiteral", "HtmlInline", "FootnoteReference", "MathSpan", "WikiLink",
 }
 
+#: Inlines whose text is in pieces, and the bytes at both ends of the others that are no text.
+PIECED = {"CodeSpan", "HtmlInline", "Liquid", "MathSpan"}
+EDGES = {"Autolink": 1, "AutolinkLiteral": 0, "WikiLink": 2}
+CELLS = "doc_id long, table_id int, row int, col int, align string, content string"
+
 _SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 _SEGMENT = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("padding", pa.int32())])
 _NODE = pa.schema(
@@ -157,6 +163,66 @@ def _batch(rows: list[list]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _NODE, strict=True)], schema=_NODE)
 
 
+def _content(source: bytes, leaf: Node) -> str:
+    """The decoded text of an inline, as ``views.plain_text`` has it; that of one without a text of its own is empty."""
+    kind = leaf.type
+    if kind == "Text":
+        return decode(source[leaf.start : leaf.end].decode())
+    if kind in PIECED:
+        parts = [" " * pad + source[a:b].decode() for a, b, pad in leaf.segments.get("pieces", ())]
+        if kind == "MathSpan" and parts:
+            parts[0] = parts[0].lstrip("$")
+            parts[-1] = parts[-1].rstrip("$")
+        return "\n".join(parts)
+    if kind == "SoftBreak":
+        return "\n"
+    edge = EDGES.get(kind)
+    return "" if edge is None else source[leaf.start + edge : leaf.end - edge].decode()
+
+
+def parse_cells(docs: DataFrame, constructs: Constructs | None = None, *, id_col: str = "doc_id", text_col: str = "text", where: Column | None = None, max_doc_bytes: int = MAX_DOC_BYTES) -> DataFrame:
+    """The cells of every table as ``views.table_cells`` has them, from the parse itself: no node leaves Python, and nothing is joined."""
+
+    @without_cycles
+    def run(batches):
+        for batch in batches:
+            held: list[list] = []
+            for doc_id, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if len(source) > max_doc_bytes:
+                    continue
+                k, table, row, align, cell, level = -1, 0, 0, (), None, 0
+                for one in _walk(parse(source, constructs)[0]):
+                    if len(one) == 1:
+                        continue
+                    node, _, depth, place, _ = one
+                    k += 1
+                    if cell is not None and depth > level:
+                        cell[5] += _content(source, node)
+                        continue
+                    cell = None
+                    if node.type == "Table":
+                        table, align = k, node.props.get("align") or ()
+                    elif node.type == "TableRow":
+                        row = place
+                    elif node.type == "TableCell":
+                        cell = [doc_id, table, row, place, align[place] if place < len(align) else None, ""]
+                        level = depth
+                        held.append(cell)
+                if len(held) >= ROWS:
+                    yield _cells(held)
+                    held = []
+            if held:
+                yield _cells(held)
+
+    return _source(docs, id_col, text_col, where).mapInArrow(run, CELLS)
+
+
+def _cells(rows: list[list]) -> pa.RecordBatch:
+    *keys, align, content = zip(*rows, strict=True)
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    return pa.record_batch([*(pa.array(c, k) for c, k in zip(keys, kinds, strict=True)), pa.array(align, pa.string()), pa.array([c.strip(" ") for c in content], pa.string())], ["doc_id", "table_id", "row", "col", "align", "content"])
+
+
 def blank_lines(docs: DataFrame, constructs: Constructs | None = None, *, id_col: str = "doc_id", text_col: str = "text", where: Column | None = None) -> DataFrame:
     """All blank lines, and whether each can loosen a list."""
 

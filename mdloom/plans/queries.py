@@ -9,7 +9,7 @@ from ..functions import lexical as lx
 from ..functions import text as t
 from ..kernel.constructs import Constructs
 from ..operators import invariants, resolve, views
-from ..operators.parse import INLINE, blank_lines, diagnostics, parse_markdown, render_html, signatures, snapshots
+from ..operators.parse import INLINE, blank_lines, diagnostics, parse_cells, parse_markdown, render_html, signatures, snapshots
 from ..sources import corpus
 from ..sources.store import stored
 
@@ -41,8 +41,7 @@ def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT l_returnflag, count(*) AS n_lines, CAST(sum(l_quantity) AS BIGINT) AS sum_qty FROM lineitem GROUP BY l_returnflag")
 def md_order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Order sheets as Markdown tables, parsed, and their cells summed."""
-    docs = corpus.order_sheets(spark, sf_dir)
-    cells = views.table_cells(_parsed(docs, "Table", "TableRow", "TableCell", *views.TEXTS), docs).where("row > 0 AND col IN (1, 2)")
+    cells = parse_cells(corpus.order_sheets(spark, sf_dir)).where("row > 0 AND col IN (1, 2)")
     rows = cells.groupBy("doc_id", "table_id", "row").agg(F.max(F.when(F.col("col") == 1, F.col("content"))).alias("l_returnflag"), F.max(F.when(F.col("col") == 2, F.col("content").try_cast("bigint"))).alias("q"))
     return rows.groupBy("l_returnflag").agg(F.count("*").alias("n_lines"), F.sum("q").alias("sum_qty"))
 
